@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrastock.llm import chat_events, lang_mixture, line_dedup, mil_quality, pii, scaled_sketch, sp_codec, window_packing
+from terrastock.llm import chat_events, lang_mixture, line_dedup, mil_quality, nn_descent, parity_join, pii, scaled_sketch, sp_codec, window_packing
 from terrastock.llm.common import held_out
 
 
@@ -42,6 +42,10 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +75,10 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.read_back(chat_events.render_turns(chat_events.ordered(chat_events.fold_events(log))))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~held_out())
 
@@ -85,10 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
     "op2_scaled_sketch": op2_scaled_sketch,
     "op3_piece_codec": op3_piece_codec,
+    "op4_nn_descent": op4_nn_descent,
     "op5_window_packing": op5_window_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_chat_events": op8_chat_events,
+    "op9_parity_join": op9_parity_join,
     "op10_mil_quality": op10_mil_quality,
 }
 
@@ -117,4 +127,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id""",
+    "op9_parity_join": r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM worded),
+sized AS (SELECT doc_id, len(shingles) AS n, shingles FROM sets),
+items AS (SELECT doc_id, n, unnest(shingles) AS s FROM sized),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM sized JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
 }
