@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and graph search (operator 4).
 
 Index. Vectors get one more component that makes all norms equal, so that inner products order as distances do. Nodes
-are dealt to blocks of a fixed size by hash; the first graph holds the best neighbours inside two such dealings. Each
+are dealt to blocks of a fixed size by hash; the first graph holds the best neighbours inside a few such dealings. Each
 round joins every node with its neighbours and (a bounded, hashed choice of) those it is a neighbour of, and compares
 these with each other: neighbours of neighbours. What beats a node's worst neighbour is sent to it. Rounds end when
 few neighbours change.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from terrastock.llm.common import cut
 
 BLOCK = 4096
-K, REVERSE = 24, 24
+K, REVERSE = 32, 32
+#: Dealings of the nodes to blocks that the first graph is taken from.
+DEALINGS = 4
 EDGES = "node long, nid long, sim float, mark int"
 
 
@@ -166,7 +168,7 @@ def build_graph(points: DataFrame, n: int, rounds: int = 6, settled: float = 0.0
     """Edges (node, nid, sim, mark) of the neighbour graph, up to ``K`` for each node."""
     blocks = max(1, -(-n // BLOCK))
     first = None
-    for salt in (1, 2) if blocks > 1 else (1,):
+    for salt in range(1, 1 + (DEALINGS if blocks > 1 else 1)):
         own = points.select("id", "v", _block("id", blocks, salt).alias("b")).groupBy("b").applyInArrow(_within_block, EDGES)
         first = own if first is None else first.unionByName(own)
     graph = cut(_best(first, K))
@@ -203,7 +205,7 @@ def _score(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(_edges(q[keep], m[keep], sim[keep], np.full(int(keep.sum()), 2)))
 
 
-def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, n: int, beam: int = 128, follow: int = 32, rounds: int = 4) -> DataFrame:
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, n: int, beam: int = 192, follow: int = 64, rounds: int = 4) -> DataFrame:
     """Beams (node, nid, sim, mark) of the ``queries`` (id), whose vectors are among ``points``."""
     blocks = max(1, -(-n // BLOCK))
     order = Window.partitionBy("nid").orderBy(F.desc("sim"), "node")
@@ -231,7 +233,7 @@ def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, n: int
     return state
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = 192) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found for each row of which ``is_query`` holds."""
     rows = cut(usable(vectors, vec_id, embedding))
     n = rows.count()
