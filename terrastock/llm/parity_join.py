@@ -9,7 +9,8 @@ differing element changes at most one cell, and sketches differ in no more place
    any order common to all documents share one between two alike sets (pigeonhole). The order puts cells with rare
    shingles first, by a table of those that are frequent in a bounded sample of documents; it steers cost, not results.
 2. Equal cells are brought together by a shuffle and a sort. A small group gives its pairs; a large one gives links to
-   its first member, and after these are settled, its pairs of different components, compared in blocks.
+   its first member, and after these are settled, its pairs of different components, compared in blocks, the
+   nearest pairs first.
 3. Candidates pass if their bit sketches (one parity bit for each of four cells an element) differ in at most t bits;
    the rest is compared by exact sets of 64-bit shingle hashes, built again from the texts of the documents concerned.
 4. Links join into components.
@@ -246,8 +247,30 @@ def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
 
 
-def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Pairs of different components that share a cell of a large group and may be alike; None without such groups."""
+def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Differing bits of all pairs of parity sketches, by array operations for each pair of lengths."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    by_size = lambda sketches: {z: np.array([k for k, x in enumerate(sketches) if len(x) == z]) for z in set(map(len, sketches))}
+
+    def folded(sketches: list[bytes], at: np.ndarray, size: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(sketches[k] for k in at), np.uint8).reshape(len(at), -1)
+        while x.shape[1] > size:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return np.ascontiguousarray(x).view(np.uint64)
+
+    for zl, il in by_size(left).items():
+        for zr, ir in by_size(right).items():
+            x, y = folded(left, il, min(zl, zr)), folded(right, ir, min(zl, zr))
+            for k, row in zip(il.tolist(), x, strict=True):
+                out[k, ir] = np.bitwise_count(row ^ y).sum(axis=1)
+    return out
+
+
+def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
+    """Pairs of different components that share a cell of a large group and may be alike; None without such groups.
+
+    Each member gives its ``most`` nearest ones in each other block; a number above every block's size gives all.
+    """
     large = met.where(F.col("cell").isNotNull())
     members = large.select("cell", F.col("b").alias("node")).unionByName(large.select("cell", F.col("a").alias("node")).distinct())
     known = members.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
@@ -261,15 +284,17 @@ def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     spread = dealt.withColumn("with", other).select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "component", "n", "sketch")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iat[0], rows["j"].iat[0]
-        found = []
-        left, right = (rows[rows["own"] == k].itertuples(index=False) for k in (i, j))
-        right = list(right)
-        for x in left:
-            for y in right:
-                if x.component != y.component and (i != j or x.node < y.node) and 5 * min(x.n, y.n) >= 4 * max(x.n, y.n) and bit_distance(x.sketch, y.sketch) <= difference_limit(x.n, y.n):
-                    found.append((min(x.node, y.node), max(x.node, y.node)))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        x, y = (rows[rows["own"] == rows[k].iat[0]] for k in ("i", "j"))
+        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
+        a, b = x["node"].to_numpy()[:, None], y["node"].to_numpy()[None]
+        limit, distance = difference_limit(nx, ny), _distances(x["sketch"].tolist(), y["sketch"].tolist())
+        ok = (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]) & (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (distance <= limit)
+        far = np.where(ok, distance / (limit + 1.0), np.inf)
+        if most < far.shape[1]:
+            ok &= far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]
+            ok &= np.cumsum(ok, axis=1) <= most
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"a": np.minimum(a[i, 0], b[0, j]), "b": np.maximum(a[i, 0], b[0, j])}, dtype="int64")
 
     return spread.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -284,8 +309,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     owners = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     links = cut(_verified(cut(_near(met.select("a", "b").distinct(), nodes)), owners, docs))
     labels = connected_components(links)
-    if (rest := _left_over(met, labels, nodes)) is not None:
-        labels = connected_components(links.unionByName(cut(_verified(cut(rest), owners, docs))))
+    refuted = None
+    for most in (1, 16, 1 << 30):  # the nearest ones join most components, after which few pairs are left
+        if (rest := _left_over(met, labels, nodes, most)) is None:
+            break
+        rest = cut(rest if refuted is None else rest.join(refuted, ["a", "b"], "left_anti"))
+        if refuted is None and rest.isEmpty():
+            break
+        more = cut(_verified(rest, owners, docs))
+        refuted = rest if refuted is None else refuted.unionByName(rest)
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            labels = connected_components(links)
     named = owners.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id")
