@@ -35,10 +35,11 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sp_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    encoded = sp_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    encoded = encoded.select("doc_id", "ids", F.coalesce(F.array_max("span_end"), F.lit(0)).cast("long").alias("span_bytes"))
     return sp_codec.decode_documents(encoded, model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.array_max("span_end"), F.lit(0)).cast("long").alias("span_bytes"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "span_bytes",
     )
 
 

@@ -203,7 +203,7 @@ class _Encoder:
         import sentencepiece
 
         self.model, self.merge = PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table = SegmentTable(self._rows, 2, [SPACE, ""])
+        self.table = SegmentTable(self._rows, 2, [SPACE, ""], most_chars=5_000_000)
         self.words, self.raw = self.table.indexes
         self.alone = self.model.encode(SPACE)[0]
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -300,7 +300,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", spans
         encoder = _Encoder(model_path)
         for b in batches:
             texts = [t or "" for t in b.column(columns.index(text)).to_pylist()]
-            for i, j in slices(texts):
+            for i, j in slices(texts, 1_000_000):
                 ids, starts, stops, lengths = encoder.batch(texts[i:j])
                 made = [list_array(x, lengths) for x in ((ids, starts, stops) if spans else (ids,))]
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, *made], names=[*columns, *names])
