@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +45,46 @@ def non_maximum_suppression(boxes: DataFrame, iou: float = 0.2) -> DataFrame:
     """Greedy by falling score within an image and label: a box goes if it overlaps a kept one by more than ``iou``."""
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "box_id"], ascending=[False, True])
         a = rows[["x1", "y1", "x2", "y2"]].to_numpy()
-        area, left, kept = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]), list(range(len(a))), []
-        while left:
-            i, rest = left[0], left[1:]
-            kept.append(i)
-            w = (a[rest, 2].clip(max=a[i, 2]) - a[rest, 0].clip(min=a[i, 0])).clip(min=0)
-            h = (a[rest, 3].clip(max=a[i, 3]) - a[rest, 1].clip(min=a[i, 1])).clip(min=0)
-            both = w * h
-            left = [j for j, x in zip(rest, both / (area[i] + area[rest] - both), strict=True) if x <= iou]
-        return rows.iloc[kept]
-
-    return boxes.groupBy("image", "label").applyInPandas(keep, boxes.schema)
+        area, chosen = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]), []
+        for start, end in _groups(rows, ["image", "label"]):
+            left = np.arange(start, end)
+            while len(left):
+                i, rest = left[0], left[1:]
+                chosen.append(i)
+                w = (np.minimum(a[rest, 2], a[i, 2]) - np.maximum(a[rest, 0], a[i, 0])).clip(0)
+                h = (np.minimum(a[rest, 3], a[i, 3]) - np.maximum(a[rest, 1], a[i, 1])).clip(0)
+                both = w * h
+                left = rest[both / (area[i] + area[rest] - both) <= iou]
+        return rows.iloc[chosen]
+
+    return _whole_groups(boxes, ["image", "label"], [F.desc("score"), F.col("box_id")], keep, boxes.schema)
+
+
+def _groups(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """Where each group of sorted rows starts and ends."""
+    new = np.zeros(len(rows), bool)
+    for k in keys:
+        v = rows[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new | (np.arange(len(rows)) == 0)).tolist()
+    return list(zip(starts, [*starts[1:], len(rows)], strict=True))
+
+
+def _whole_groups(df: DataFrame, keys: list[str], order: list[Column], f: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """``f`` on many whole, sorted groups at a time: one shuffle, and no call for each small group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(held) and (last := _groups(held, keys)[-1][0]):
+                yield f(held.iloc[:last].reset_index(drop=True))
+                held = held.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield f(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def overlapping_boxes(boxes: DataFrame, share: float = 0.75) -> DataFrame:
@@ -70,9 +98,11 @@ def floor_counts(boxes: DataFrame, width: float, height: float) -> DataFrame:
     """(image, floors): the largest stack of boxes above each other; see ``_floors`` for one image."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image": rows["image"].iloc[:1], "floors": [_floors(rows, width)]})
+        table = rows[["x1", "y1", "x2", "y2", "score"]].to_numpy()
+        found = [(rows["image"].iat[a], _floors(table[a:b], width)) for a, b in _groups(rows, ["image"])]
+        return pd.DataFrame(found, columns=["image", "floors"])
 
-    return boxes.groupBy("image").applyInPandas(count, "image long, floors long")
+    return _whole_groups(boxes, ["image"], [F.col("box_id")], count, "image long, floors long")
 
 
 def _share(a, b) -> float:
@@ -80,18 +110,16 @@ def _share(a, b) -> float:
     return max(w, 0) * max(h, 0) / max((a[2] - a[0]) * (a[3] - a[1]), 1e-9)
 
 
-def _floors(rows: pd.DataFrame, width: float) -> int:
-    """Adapt the threshold, drop nested boxes, stack boxes whose widened columns overlap, take the most central stacks."""
-    rows = rows.sort_values("box_id")
-    level = 0.2
-    while True:
-        own = [tuple(r) for r in rows.loc[rows["score"] > level, ["x1", "y1", "x2", "y2"]].to_numpy()]
-        if not own and level > 0:
-            level = round(level - 0.02, 4)
-        elif own and level <= 1 and any(sum(_share(o, b) > 0.75 for o in own if o is not b) > 2 for b in own):
-            level = round(level + 0.1, 4)
-        else:
-            break
+def _floors(rows: np.ndarray, width: float) -> int:
+    """Of rows (x1, y1, x2, y2, score): adapt the threshold, drop nested boxes, stack boxes whose widened columns overlap, take the most central stacks."""
+    at = lambda percent: [tuple(r) for r in rows[rows[:, 4] > percent / 100, :4].tolist()]
+    level, own = 20, at(20)
+    while not own and level > 0:
+        level -= 2
+        own = at(level)
+    if level == 20:  # too many boxes in one another: ask for higher scores while any are left
+        while any(sum(_share(o, b) > 0.75 for o in own if o is not b) > 2 for b in own) and (higher := at(level + 10)):
+            level, own = level + 10, higher
     if not own:
         return 0
     keep = [b for k, b in enumerate(own) if not any(_share(b, o) > 0.75 and (_share(o, b) <= 0.75 or j < k) for j, o in enumerate(own) if j != k)]

@@ -443,7 +443,7 @@ def crop_bounds(s, d):
     return e.select("event_id", F.col("v.left").cast("long").alias("lo"), F.col("v.right").cast("long").alias("hi"))
 
 
-@query(f"WITH {_FPS}, c AS (SELECT bldg_id, {D(-122.25)} AS px, {D(37.75)} AS py, x0, x1, y0, y1 FROM fps) SELECT bldg_id, unnest([0, 1, 2, 3]) AS edge, unnest([py < y0, px > x1, py > y1, px < x0]) AS seen FROM c")
+@query(f"WITH {_FPS}, c AS (SELECT bldg_id, {D(-122.25)} AS px, {D(37.75)} AS py, x0, x1, y0, y1 FROM fps) SELECT bldg_id, unnest([0, 1, 2, 3]) AS edge, unnest([py < y0 OR within_, px > x1 OR within_, py > y1 OR within_, px < x0 OR within_]) AS seen FROM (SELECT *, px > x0 AND px < x1 AND py > y0 AND py < y1 AS within_ FROM c)")
 def visible_edges(s, d):
     """Edges whose midpoint is seen from a camera outside the ring."""
     cam = geo.point(F.lit(-122.25), F.lit(37.75))
