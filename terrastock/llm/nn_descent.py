@@ -9,8 +9,8 @@ few neighbours change.
 Search. A query keeps a beam of its best nodes; each round joins the best ones not yet followed with the graph, scores
 the nodes they lead to, and merges. The last beam is scored again on the original vectors in double precision.
 
-Every vector is indexed. Work is dealt by blocks of bounded size, whatever the number of vectors; a vector is sent
-once to each block that needs it. Rounds are cut by checkpoints. Recall at 20 of the query on this repository's tables
+Every vector is indexed. Work is dealt by blocks of bounded size, whatever the number of vectors; near vectors share a
+block, and a vector is sent once to each block that needs it. Rounds are cut by checkpoints. Recall at 20 of the query on this repository's tables
 is at least 0.9 (see the tests).
 
 Defined results: rows whose vector is null, zero, of a length other than the most common one, or holds null or
@@ -29,6 +29,8 @@ from terrastock.llm.common import cut
 
 BLOCK = 4096
 K, REVERSE = 32, 32
+#: About so many vectors, at most, are drawn to deal the others to blocks by nearness; only cost depends on them.
+PIVOTS = 2048
 #: Dealings of the nodes to blocks that the first graph is taken from.
 DEALINGS = 4
 EDGES = "node long, nid long, sim float, mark int"
@@ -66,6 +68,29 @@ def _points(rows: DataFrame) -> DataFrame:
     return rows.select("id", "x").mapInArrow(pack, "id long, v binary, q binary")
 
 
+def _settle_places(points: DataFrame, n: int) -> DataFrame:
+    """``points`` with their block ``b``: near vectors share one, and a block holds about ``BLOCK`` vectors at most.
+
+    A vector belongs to the nearest of up to ``PIVOTS`` drawn ones; what belongs to one and is more than a block, as
+    with many equal vectors, is dealt on by hash.
+    """
+    share = min(1.0, PIVOTS / max(1, n))
+    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "v").toArrow().sort_by("id")
+    pivots = _matrix(drawn.column("v"))[: -(-n // BLOCK)] if len(drawn) else np.zeros((1, 1), np.float32)
+    if len(pivots) < 2:
+        return points.withColumn("b", _block("id", max(1, -(-n // BLOCK))).cast("long"))
+
+    def nearest_pivot(batches):
+        for b in batches:
+            leaf = (_matrix(b.column(1)) @ pivots.T).argmax(axis=1) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["id", "v", "q", "leaf"])
+
+    leaves = cut(points.select("id", "v", "q").mapInArrow(nearest_pivot, "id long, v binary, q binary, leaf long"))
+    # a row for each pivot
+    parts = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return leaves.join(F.broadcast(parts), "leaf").select("id", "v", "q", (F.col("leaf") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(0)), "parts")).alias("b"))
+
+
 def _top(node: np.ndarray, nid: np.ndarray, sim: np.ndarray, mark: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` best different neighbours of each node; of equal ones the smallest mark stays."""
     o = np.lexsort((mark, nid, node))
@@ -157,10 +182,10 @@ def _local_join(lists: pa.Table, vectors: pa.Table) -> pa.Table:
         found = [m[a, i], m[a, j], sim[a, i, j], np.ones(len(a), np.int32)]
         held = found if held is None else [np.concatenate(p) for p in zip(held, found, strict=True)]
         if len(held[0]) > 2_000_000:
-            held = list(_top(*held, K // 2))
+            held = list(_top(*held, K))
     if held is None:
         held = [np.zeros(0, np.int64)] * 4
-    node, nid, sim, mark = _top(*held, K // 2)
+    node, nid, sim, mark = _top(*held, K)
     return pa.Table.from_pydict(_edges(ids[node], ids[nid], sim, mark))
 
 
@@ -168,8 +193,9 @@ def build_graph(points: DataFrame, n: int, rounds: int = 6, settled: float = 0.0
     """Edges (node, nid, sim, mark) of the neighbour graph, up to ``K`` for each node."""
     blocks = max(1, -(-n // BLOCK))
     first = None
-    for salt in range(1, 1 + (DEALINGS if blocks > 1 else 1)):
-        own = points.select("id", "v", _block("id", blocks, salt).alias("b")).groupBy("b").applyInArrow(_within_block, EDGES)
+    for salt in range(DEALINGS if blocks > 1 else 1):
+        dealt = points.select("id", "v", _block("id", blocks, salt).alias("b") if salt else "b")
+        own = dealt.groupBy("b").applyInArrow(_within_block, EDGES)
         first = own if first is None else first.unionByName(own)
     graph = cut(_best(first, K))
     for step in range(rounds if blocks > 1 else 0):
@@ -178,7 +204,8 @@ def build_graph(points: DataFrame, n: int, rounds: int = 6, settled: float = 0.0
         lists = graph.select(F.col("node").alias("centre"), F.col("nid").alias("member"), F.col("mark").alias("fresh")).unionByName(
             back.select(F.col("nid").alias("centre"), F.col("node").alias("member"), F.col("mark").alias("fresh"))
         )
-        lists = lists.groupBy("centre", "member").agg(F.max("fresh").alias("fresh")).withColumn("b", _block("centre", blocks))
+        # centres near each other share a block, and so do most of their members
+        lists = lists.join(points.select(F.col("id").alias("centre"), "b"), "centre").groupBy("centre", "member").agg(F.max("fresh").alias("fresh"), F.first("b").alias("b"))
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         known = points.select("id", "v").join(worst, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         needed = lists.select("b", F.col("member").alias("id")).distinct().join(known, "id").select(F.col("b").alias("to"), "id", "v", "worst")
@@ -205,19 +232,19 @@ def _score(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(_edges(q[keep], m[keep], sim[keep], np.full(int(keep.sum()), 2)))
 
 
-def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, n: int, beam: int = 192, follow: int = 64, rounds: int = 4) -> DataFrame:
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 192, follow: int = 64, rounds: int = 4) -> DataFrame:
     """Beams (node, nid, sim, mark) of the ``queries`` (id), whose vectors are among ``points``."""
-    blocks = max(1, -(-n // BLOCK))
     order = Window.partitionBy("nid").orderBy(F.desc("sim"), "node")
     back = graph.select("node", "nid", F.row_number().over(order).alias("r"), "sim").where(F.col("r") <= REVERSE)
-    around = cut(graph.select("node", "nid").unionByName(back.select(F.col("nid").alias("node"), F.col("node").alias("nid"))).distinct())
+    both = graph.select("node", "nid").unionByName(back.select(F.col("nid").alias("node"), F.col("node").alias("nid"))).distinct()
+    around = cut(both.join(points.select(F.col("id").alias("nid"), "b"), "nid"))
     asked = points.join(queries, "id").select("id", F.col("q").alias("v"))
     state, frontier = None, queries.select(F.col("id").alias("q"), F.col("id").alias("node"))
     for _ in range(rounds + 1):
-        reached = frontier.join(around, "node").select("q", F.col("nid").alias("m")).where("q <> m").distinct()
+        reached = frontier.join(around, "node").select("q", F.col("nid").alias("m"), "b").where("q <> m").distinct()
         if state is not None:
             reached = reached.join(state.select(F.col("node").alias("q"), F.col("nid").alias("m")), ["q", "m"], "left_anti")
-        wanted = reached.withColumn("b", _block("m", blocks))
+        wanted = reached.select("q", "m", "b")
         low = F.lit(float("-inf")).cast("float")
         if state is None:
             limits = asked.select("id", "v", low.alias("worst"))
@@ -225,7 +252,7 @@ def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, n: int
             worst = state.groupBy("node").agg(F.when(F.count("*") >= beam, F.min("sim")).otherwise(low).cast("float").alias("worst"))
             limits = asked.join(worst, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("worst", low).alias("worst"))
         asking = wanted.select("b", F.col("q").alias("id")).distinct().join(limits, "id").select(F.col("b").alias("to"), "id", "v", "worst", F.lit(1).alias("query"))
-        held = points.select(_block("id", blocks).alias("to"), "id", "v", low.alias("worst"), F.lit(0).alias("query"))
+        held = points.select(F.col("b").alias("to"), "id", "v", low.alias("worst"), F.lit(0).alias("query"))
         scored = wanted.groupBy("b").cogroup(asking.unionByName(held).groupBy("to")).applyInArrow(_score, EDGES)
         done = scored if state is None else state.withColumn("mark", F.when(F.col("mark") == 1, 0).otherwise(F.col("mark"))).unionByName(scored)
         state = cut(_best(done, beam, follow))
@@ -237,10 +264,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found for each row of which ``is_query`` holds."""
     rows = cut(usable(vectors, vec_id, embedding))
     n = rows.count()
-    points = cut(_points(rows))
+    points = cut(_settle_places(cut(_points(rows)), n))
     queries = cut(rows.withColumnRenamed("id", vec_id).where(is_query).select(F.col(vec_id).alias("id")))
     graph = build_graph(points, n)
-    beams = search_graph(points, graph, queries, n, beam=max(beam, 2 * k))
+    beams = search_graph(points, graph, queries, beam=max(beam, 2 * k))
     few = _best(beams, 2 * k).select(F.col("node").alias("query_id"), F.col("nid").alias("id"))
     pairs = few.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("x").alias("y")), "query_id")
     exact = pairs.select("query_id", F.col("id").alias("vec_id"), F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
