@@ -269,7 +269,8 @@ def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
 def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
     """Pairs of different components that share a cell of a large group and may be alike; None without such groups.
 
-    Each member gives its ``most`` nearest ones in each other block; a number above every block's size gives all.
+    Each member gives its ``most`` nearest ones in each other block; a number above every block's size gives all. A row
+    of nulls tells that some pair was left out for that.
     """
     large = met.where(F.col("cell").isNotNull())
     members = large.select("cell", F.col("b").alias("node")).unionByName(large.select("cell", F.col("a").alias("node")).distinct())
@@ -290,11 +291,13 @@ def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
         limit, distance = difference_limit(nx, ny), _distances(x["sketch"].tolist(), y["sketch"].tolist())
         ok = (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]) & (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (distance <= limit)
         far = np.where(ok, distance / (limit + 1.0), np.inf)
+        every = ok.sum()
         if most < far.shape[1]:
             ok &= far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]
             ok &= np.cumsum(ok, axis=1) <= most
         i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(a[i, 0], b[0, j]), "b": np.maximum(a[i, 0], b[0, j])}, dtype="int64")
+        found = pd.DataFrame({"a": np.minimum(a[i, 0], b[0, j]), "b": np.maximum(a[i, 0], b[0, j])}, dtype="Int64")
+        return found if len(i) == every else pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")])
 
     return spread.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -314,13 +317,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if (rest := _left_over(met, labels, nodes, most)) is None:
             break
         rest = cut(rest if refuted is None else rest.join(refuted, ["a", "b"], "left_anti"))
-        if refuted is None and rest.isEmpty():
+        whole, rest = rest.where("a IS NULL").isEmpty(), rest.where("a IS NOT NULL")
+        if whole and rest.isEmpty():
             break
         more = cut(_verified(rest, owners, docs))
         refuted = rest if refuted is None else refuted.unionByName(rest)
         links = links.unionByName(more)
         if not more.isEmpty():
             labels = connected_components(links)
+        if whole:  # each pair that was of different components has been compared
+            break
     named = owners.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id")
