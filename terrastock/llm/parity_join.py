@@ -20,6 +20,7 @@ Equal sets are one node, named by a 64-bit hash of the set; of a node seen befor
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing; rows that share an id are
 documents of their own, and a component's id is the least of all its rows; rows with a null id take part and can't
 give a component its id (null if all its rows have none); extra columns are left out; an empty table gives none.
+A component's first row is that of the least id, nulls last, then of the least mark (a 64-bit hash of id and text).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrastock.llm.common import Shingler, cut, mix64, slices
@@ -40,7 +41,12 @@ SMALL = 8
 BLOCK = 256
 SAMPLE_DOCS, FREQUENT = 4096, 8
 _TABLE_BITS, _BITMAP_BITS = 23, 22
-SIGNATURES = "doc_id long, n long, node long, cells array<long>, sketch binary"
+SIGNATURES = "doc_id long, mark long, n long, node long, cells array<long>, sketch binary"
+
+
+def mark(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 64-bit name for a row's id and text together; never null."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def difference_limit(a, b):
@@ -126,7 +132,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, cells, sketch) of (doc_id, text). Node is null without shingles; cells and sketch are null
+    """(doc_id, mark, n, node, cells, sketch) of (doc_id, text). Node is null without shingles; cells and sketch are null
     too for a node that the task has met before."""
     spark = docs.sparkSession
     packed = spark.sparkContext.broadcast(np.packbits(_frequent(docs)).tobytes())
@@ -149,9 +155,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     cells.append(cells_of(s, frequent) if fresh else None)
                     sketches.append(parity_bits(s) if fresh else None)
                 made = [pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *made], names=["doc_id", "n", "node", "cells", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *made], names=["doc_id", "mark", "n", "node", "cells", "sketch"])
 
-    return docs.mapInArrow(run, SIGNATURES)
+    return docs.select("doc_id", "text", mark().alias("mark")).mapInArrow(run, SIGNATURES)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +211,11 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets are alike. ``owners``: a document's id for each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node")
+    """Of pairs (a, b), those whose shingle sets are alike. ``owners``: the mark of a row for each node."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners.select("node", "mark"), "node")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _BITMAP_BITS))
     # a bitmap of bounded size keeps texts that no pair needs from being shuffled
-    maps = wanted.groupBy(F.bitmap_bucket_number(place("doc_id") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id") + 1)).alias("bits"))
+    maps = wanted.groupBy(F.bitmap_bucket_number(place("mark") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("mark") + 1)).alias("bits"))
     bits = np.zeros(1 << _BITMAP_BITS, bool)
     for r in maps.collect():
         own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
@@ -217,9 +223,16 @@ def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        table, met = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), set()
         for b in batches:
-            yield b.filter(pa.array(table[b.column(2).to_numpy()])).select(["doc_id", "text"])
+            marks, keep = b.column(0).to_pylist(), []
+            for k in np.flatnonzero(table[b.column(2).to_numpy()]).tolist():
+                if marks[k] not in met:  # rows that repeat id and text are sent once by a task
+                    keep.append(k)
+                    if len(met) >= 500_000:
+                        met.clear()
+                    met.add(marks[k])
+            yield b.select(["mark", "text"]).take(pa.array(keep, pa.int64()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -241,8 +254,8 @@ def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame
                     keep.append(k)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(needed, "doc_id long, text string")
-    held = wanted.join(texts, "doc_id").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    texts = docs.select(mark().alias("mark"), "text").withColumn("place", place("mark")).mapInArrow(needed, "mark long, text string")
+    held = wanted.join(texts, "mark").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
     side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
 
@@ -303,13 +316,14 @@ def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, node, mark, first) of every row of ``docs``; ``first`` is the mark of its component's first row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(signatures(docs))
     cells = signed.select(F.explode("cells").alias("cell"), "node")
     met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_meet, "cell long, a long, b long").distinct())
     nodes = signed.where(F.col("sketch").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
-    owners = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    earliest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("row")
+    owners = signed.where(F.col("node").isNotNull()).groupBy("node").agg(earliest).select("node", "row.doc_id", "row.mark")
     links = cut(_verified(cut(_near(met.select("a", "b").distinct(), nodes)), owners, docs))
     labels = connected_components(links)
     refuted = None
@@ -327,8 +341,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             labels = connected_components(links)
         if whole:  # each pair that was of different components has been compared
             break
-    named = owners.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n", "node").join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    named = owners.join(labels, "node", "left").select("node", "doc_id", "mark", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(earliest).select("component", F.col("row.doc_id").alias("component_id"), F.col("row.mark").alias("first"))
+    by_node = named.join(least, "component").select("node", "component_id", "first")
+    out = signed.select("doc_id", "mark", "n", "node").join(by_node, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "mark", "first")

@@ -135,6 +135,23 @@ def test_stages(spark):
     assert check_pieces(stage["packing"](spark, clean, SF).collect(), pairs(clean)) < 0.05
 
 
+def test_one_of_each_without_or_with_shared_ids(spark):
+    """Null ids take part, rows alone stay, and repeated ids leave one row of a group."""
+    rng = random.Random(8)
+    one, two, three, four, five = (text(rng, 40) for _ in range(5))
+    near = lambda t: t + " tail"
+    far = near(near(two))
+    rows = [(None, one), (None, near(two)), (3, two), (7, three), (7, three), (7, three.upper()), (8, near(three)), (9, four), (9, five), (None, None), (None, ""), (11, ""), (11, "")]
+    chain = text(rng, 40).split()
+    a, b, c = (" ".join(chain + [f"x{i}" for i in range(k)]) for k in (0, 6, 12))  # a to b and b to c are near, a to c is not
+    rows += [(20, a), (None, b), (21, c)]
+    docs = odd(spark, rows + [(30, far)])
+    got = sorted(pairs(corpus_pipeline.keep_one_of_each(spark, docs, SF)), key=str)
+    assert [(k, t.lower() if k == 7 else t) for k, t in got] == sorted([(None, one), (3, two), (7, three), (9, four), (9, five), (None, None), (None, ""), (11, ""), (11, ""), (20, a)], key=str)
+    found = {(r["doc_id"]): r["component_id"] for r in parity_join.near_duplicates(docs).collect() if r["doc_id"] in (20, 21)}
+    assert found == {20: 20, 21: 20}
+
+
 def test_run(spark):
     import __spark_entry__
 
