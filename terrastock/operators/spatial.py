@@ -79,6 +79,28 @@ def knn_prefer_inside(rings: DataFrame, points: DataFrame, key: str, point_key:
     return best.select(key, F.col(f"v.{point_key}").alias(point_key), F.col("v.inside").alias("inside"))
 
 
+def lines_near(points: DataFrame, segs: DataFrame, radius_ft: float, key: str, line_key: str = "line_id") -> DataFrame:
+    """Distinct (key, line_key) of points and the lines that meet the circle about them: the polygon ``geo.circle``,
+    whose radius is in degrees both ways. ``points``: (key, lon, lat); ``segs``: (line_key, a, b)."""
+    from math import cos, degrees, pi
+
+    r = degrees(radius_ft / geo.AREA_RADIUS_FT)
+    side = lambda f, k: f(f"a.{k}", f"b.{k}")
+    spread = with_cells(segs.select(line_key, "a", "b"), 2 * r, side(F.least, "lon"), side(F.least, "lat"), side(F.greatest, "lon"), side(F.greatest, "lat"))
+    around = with_cells(points.select(key, "lon", "lat"), 2 * r, F.col("lon") - r, F.col("lat") - r, F.col("lon") + r, F.col("lat") + r)
+    dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
+    px, py = F.col("lon") - F.col("a.lon"), F.col("lat") - F.col("a.lat")
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    near = around.join(spread, ["__cx", "__cy"]).withColumn("__t", t)
+    far2 = (px - F.col("__t") * dx) * (px - F.col("__t") * dx) + (py - F.col("__t") * dy) * (py - F.col("__t") * dy)
+    near = near.withColumn("__d2", far2).where(F.col("__d2") <= r * r * (1 + 1e-9))
+    # between the polygon's inner and outer radius its edges decide
+    ring = geo.circle(F.col("lon"), F.col("lat"), radius_ft)
+    edges = geo.segments(F.concat(ring, F.slice(ring, 1, 1)))
+    meets = F.exists(edges, lambda e: geo.segments_intersect(F.col("a"), F.col("b"), e["a"], e["b"])) | geo.point_in_ring(F.col("a.lon"), F.col("a.lat"), F.concat(ring, F.slice(ring, 1, 1)))
+    return near.where(F.when(F.col("__d2") < (r * cos(pi / 100)) ** 2 * (1 - 1e-9), True).otherwise(meets)).select(key, line_key).distinct()
+
+
 def mesh_counts(points: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float, rows: int, cols: int) -> DataFrame:
     """(row, col, n) of the cells of an envelope that hold points."""
     place = lambda x, lo, hi, n: F.least(F.floor((x - lo) / ((hi - lo) / n)), F.lit(n - 1)).cast("long")

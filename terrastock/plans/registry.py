@@ -311,11 +311,13 @@ def duplicate_lines(s, d):
 
 @query()
 def name_match_tfidf(s, d):
-    """suppliers' parts against the parts of lines near them."""
+    """suppliers' parts against the first parts of lines that meet the circle about them."""
     names = views.table(s, d, "part").select("p_partkey", "p_name")
-    starts = views.roads(s, d).select("line_id", F.get("line", F.lit(0)).alias("p"), F.col("first_part").alias("p_partkey")).join(names, "p_partkey").select(F.col("p.lon").alias("rlon"), F.col("p.lat").alias("rlat"), "line_id", F.col("p_name").alias("line_name"))
+    roads = views.roads(s, d)
+    named = roads.select("line_id", F.col("first_part").alias("p_partkey")).join(names, "p_partkey", "left").select("line_id", F.col("p_name").alias("line_name"))
     bridges = views.points(s, d, "supplier").join(names, F.col("s_suppkey") == F.col("p_partkey")).select("s_suppkey", "lon", "lat", F.col("p_name").alias("point_name"))
-    return graph.match_names(spatial.pairs_within(bridges, starts, 5000), "s_suppkey", "line_id", "point_name", "line_name")
+    pairs = spatial.lines_near(bridges, graph.explode_segments(roads), 5000, "s_suppkey")
+    return graph.match_names(pairs.join(bridges.drop("lon", "lat"), "s_suppkey").join(named, "line_id"), "s_suppkey", "line_id", "point_name", "line_name")
 
 
 _TERMS = "regexp_extract_all(lower({}), '\\w\\w+')"
