@@ -281,10 +281,16 @@ def line_intersections(s, d):
     return graph.line_intersections(_segments(s, d, 20), 0.005)
 
 
+@query()
+def line_intersections_all(s, d):
+    """G8, J14, U7 over all roads; the query above is kept, with its filter, for its SQL."""
+    return graph.line_intersections(_segments(s, d), 0.005)
+
+
 @query()
 def cut_lines(s, d):
     """G9, J15."""
-    segs = _segments(s, d, 20)
+    segs = _segments(s, d)
     met = graph.line_intersections(segs, 0.005)
     points = met.select(F.col("left_id").alias("line_id"), "lon", "lat").unionByName(met.select(F.col("right_id").alias("line_id"), "lon", "lat"))
     return graph.cut_segments(segs, points).select("line_id", "part", "piece", F.round("a.lon", 6).alias("a_lon"), F.round("b.lat", 6).alias("b_lat"))

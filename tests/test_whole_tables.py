@@ -21,6 +21,33 @@ def without(name, *cuts):
     return sql
 
 
+CROSSINGS = without("line_intersections", (" WHERE l_orderkey % 20 = 0", ""))
+
+
+def test_all_intersections(spark):
+    same(spark, QUERIES["line_intersections_all"], CROSSINGS)
+
+
+def test_cut_lines_of_all_roads(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    points = {}
+    for left, right, lon, lat in con.sql(CROSSINGS).fetchall():
+        points.setdefault(left, set()).add((lon, lat))
+        points.setdefault(right, set()).add((lon, lat))
+    want = {}
+    for line, part, a, b in registry._segments(spark, SF).collect():
+        dx, dy, n = b[0] - a[0], b[1] - a[1], 1
+        size = dx * dx + dy * dy
+        for x, y in points.get(line, ()) if size else ():
+            t, off = ((x - a[0]) * dx + (y - a[1]) * dy) / size, abs((x - a[0]) * dy - (y - a[1]) * dx) / size**0.5
+            n += off < 2e-7 and 1e-9 < t < 1 - 1e-9
+        want[line, part] = n
+    got = {(r["line_id"], r["part"]): r["count"] for r in QUERIES["cut_lines"](spark, SF).groupBy("line_id", "part").count().collect()}
+    assert got == want and max(want.values()) > 1
+
+
 def meets(x, y, r, a, b):
     """Whether a segment meets the polygon of 100 vertices about a point, by clipping with its edges' half planes."""
     lo, hi = 0.0, 1.0
