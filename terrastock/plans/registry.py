@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastock.functions import geo, parse
@@ -296,17 +296,10 @@ def cut_lines(s, d):
     return graph.cut_segments(segs, points).select("line_id", "part", "piece", F.round("a.lon", 6).alias("a_lon"), F.round("b.lat", 6).alias("b_lat"))
 
 
-def _lattice(s, d):
-    items = views.table(s, d, "lineitem").where("l_orderkey % 50 = 0")
-    node = F.concat_ws("_", F.col("l_partkey") % 40, F.col("l_suppkey") % 40)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return items.select(node.alias("u"), F.lead(node).over(w).alias("v")).where("v is not null and u <> v")
-
-
 @query()
 def contract_degree2(s, d):
-    """G3 to G6."""
-    return graph.contract_degree2(_lattice(s, d))
+    """G3 to G6, over all roads."""
+    return graph.contract_degree2(graph.graph_edges(_segments(s, d)).select(F.col("node_start").alias("u"), F.col("node_end").alias("v")))
 
 
 @query(f"WITH {_ROADS}, w AS (SELECT line_id, string_agg(printf('%.7f', lon) || ' ' || printf('%.7f', lat), ', ' ORDER BY pos) AS wkt, count(*) AS n FROM placed GROUP BY line_id HAVING n >= 2), d AS (SELECT line_id % 5 AS k, line_id FROM w) SELECT line_id FROM w QUALIFY row_number() OVER (PARTITION BY wkt ORDER BY line_id) > 1")

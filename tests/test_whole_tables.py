@@ -48,6 +48,35 @@ def test_cut_lines_of_all_roads(spark):
     assert got == want and max(want.values()) > 1
 
 
+def chains(edges):
+    """(edges, least end, greatest end) of chains through nodes of degree 2."""
+    edges = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    at = {}
+    for e in edges:
+        for n in e:
+            at.setdefault(n, []).append(e)
+    out, seen = [], set()
+    for e in edges:
+        if e in seen:
+            continue
+        chain, todo = {e}, [e]
+        while todo:
+            for n in todo.pop():
+                if len(at[n]) == 2:
+                    todo += (new := [x for x in at[n] if x not in chain])
+                    chain.update(new)
+        seen |= chain
+        ends = sorted(n for x in chain for n in x if len(at[n]) != 2)
+        out.append((len(chain), ends[0] if ends else "", ends[-1] if ends else ""))
+    return sorted(out)
+
+
+def test_contraction_of_all_roads(spark):
+    edges = [(r["node_start"], r["node_end"]) for r in graph.graph_edges(registry._segments(spark, SF)).collect()]
+    got = sorted((r["edges"], r["end_low"] or "", r["end_high"] or "") for r in QUERIES["contract_degree2"](spark, SF).collect())
+    assert got == chains(edges) and sum(n for n, _, _ in got) > 4000
+
+
 def meets(x, y, r, a, b):
     """Whether a segment meets the polygon of 100 vertices about a point, by clipping with its edges' half planes."""
     lo, hi = 0.0, 1.0
