@@ -125,6 +125,24 @@ def tfidf_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot / F.nullif(norm(x, y) * norm(y, x), F.lit(0.0)), F.lit(0.0))
 
 
+def tfidf_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """``tfidf_cosine`` of all pairs of rows that share a term, as ``score``; that of any other pair is 0. The columns of
+    the two tables differ in name. Distinct names meet by their terms, with counts, and rows by their names."""
+    lone2 = (1 + F.log(F.lit(1.5))) ** 2
+
+    def terms(df: DataFrame, name: str, k: str) -> DataFrame:
+        each = df.select(F.col(name).alias(f"__{k}")).distinct().withColumn("__t", F.explode(_terms(F.col(f"__{k}")))).groupBy(f"__{k}", "__t").agg(F.count("*").cast("double").alias(f"__c{k}"))
+        whole = each.groupBy(f"__{k}").agg(F.sum(F.col(f"__c{k}") * F.col(f"__c{k}")).alias(f"__w{k}"))
+        return each.join(whole, f"__{k}")
+
+    met = terms(left, left_name, "x").join(terms(right, right_name, "y"), "__t")
+    square = lambda k: F.sum(F.col(f"__c{k}") * F.col(f"__c{k}"))
+    sums = met.groupBy("__x", "__y").agg(F.sum(F.col("__cx") * F.col("__cy")).alias("dot"), square("x").alias("sx"), square("y").alias("sy"), F.first("__wx").alias("wx"), F.first("__wy").alias("wy"))
+    norm = lambda k: F.sqrt(F.col(f"s{k}") + lone2 * (F.col(f"w{k}") - F.col(f"s{k}")))
+    scored = sums.select("__x", "__y", (F.col("dot") / (norm("x") * norm("y"))).alias("score"))
+    return scored.join(left, F.col("__x") == F.col(left_name)).join(right, F.col("__y") == F.col(right_name)).drop("__x", "__y")
+
+
 def match_names(pairs: DataFrame, point_key: str, line_key: str, point_name: str, line_name: str) -> DataFrame:
     """Of the lines near each point those named most like it, ties all kept: (point, lines joined by commas, score).
 

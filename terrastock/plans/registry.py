@@ -334,6 +334,14 @@ def tfidf_similarity(s, d):
     return b.join(other, "k").select("s_suppkey", "p_partkey", F.round(graph.tfidf_cosine(F.col("a"), F.col("p_name")), 6).alias("score"))
 
 
+@query()
+def tfidf_similarity_all(s, d):
+    """X6 of all suppliers and parts that share a term; the query above is kept, with its filters, for its SQL."""
+    part = views.table(s, d, "part")
+    b = views.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.col("p_name").alias("a"))
+    return graph.tfidf_pairs(b, part.select("p_partkey", "p_name"), "a", "p_name").select("s_suppkey", "p_partkey", F.round("score", 6).alias("score"))
+
+
 @query("SELECT c_custkey AS k, c_acctbal AS v, 'P' AS layer FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'S' FROM supplier UNION ALL SELECT p_partkey, NULL, 'L' FROM part")
 def union_tagged_layers(s, d):
     """U1 to U4."""

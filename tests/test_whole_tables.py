@@ -107,3 +107,16 @@ def test_names_of_lines_that_pass(spark):
     assert sorted(QUERIES["name_match_tfidf"](spark, SF).collect()) == sorted(graph.match_names(pairs, "s_suppkey", "line_id", "a", "b").collect())
     long = spark.createDataFrame([(1, [(-1.0, 0.0), (-0.5, 0.4), (0.5, 0.4), (2.0, 0.405)]), (2, [(0.0, 0.3), (0.1, 0.3)])], "line_id long, line array<struct<lon double, lat double>>")
     assert [tuple(x) for x in spatial.lines_near(spark.createDataFrame([(7, 0.0, 0.41)], "k long, lon double, lat double"), graph.explode_segments(long), 5000, "k").collect()] == [(7, 1)]
+
+
+def test_similarity_of_all_parts(spark):
+    sql = without("tfidf_similarity", ("p_partkey % 10 = s_suppkey % 10 AND p_partkey <= 500", "true"))
+    same(spark, QUERIES["tfidf_similarity_all"], f"SELECT * FROM ({sql}) WHERE score > 0")
+
+
+def test_similarity_of_odd_names(spark):
+    left = spark.createDataFrame([(1, "red red Blue"), (2, "red red Blue"), (3, None), (4, "a b")], "k long, x string")
+    right = spark.createDataFrame([(600, "blue red"), (601, "green"), (602, ""), (603, "red red blue")], "j long, y string")
+    got = {(p["k"], p["j"]): round(p["score"], 9) for p in graph.tfidf_pairs(left, right, "x", "y").collect()}
+    every = left.crossJoin(right).select("k", "j", F.round(graph.tfidf_cosine(F.col("x"), F.col("y")), 9)).collect()
+    assert got == {(k, j): v for k, j, v in every if v} and len(got) == 4
