@@ -79,6 +79,44 @@ def knn_prefer_inside(rings: DataFrame, points: DataFrame, key: str, point_key:
     return best.select(key, F.col(f"v.{point_key}").alias(point_key), F.col("v.inside").alias("inside"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
+def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float = 0.05, ring: str = "ring") -> DataFrame:
+    """``knn_prefer_inside`` without a limit of distance. ``reach`` is where the search begins; it is doubled for the
+    rings that have fewer than ``k`` points so near, until it spans all. ``key`` must not be null."""
+    first = F.col(ring)[0]
+    todo = rings.select(key, ring, first["lon"].alias("__x"), first["lat"].alias("__y"))
+    places = todo.select(F.col("__x").alias("x"), F.col("__y").alias("y")).unionByName(points.select(F.col("lon").alias("x"), F.col("lat").alias("y")))
+    span = places.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    d2 = (F.col("lon") - F.col("__x")) * (F.col("lon") - F.col("__x")) + (F.col("lat") - F.col("__y")) * (F.col("lat") - F.col("__y"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("__d2", point_key))
+    inside = geo.point_in_ring(F.col("lon"), F.col("lat"), F.col(ring))
+    out = None
+    while True:
+        last = reach > span
+        spread = with_cells(todo, reach, F.col("__x") - reach, F.col("__y") - reach, F.col("__x") + reach, F.col("__y") + reach)
+        near = spread.join(with_cell(points, reach), ["__cx", "__cy"]).withColumn("__d2", d2)
+        near = near if last else near.where(F.col("__d2") <= reach * reach)
+        ranked = near.withColumn("__rank", rank).where(F.col("__rank") <= k).withColumn("inside", inside)
+        best = ranked.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(point_key, "inside"), F.struct(~F.col("inside"), F.col("__rank"))).alias("v"))
+        found = _cut(best if last else best.where(F.col("n") >= k))
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        todo = _cut(todo.join(found.select(key), key, "left_anti"))
+        if todo.isEmpty():
+            break
+        reach *= 2
+    return out.select(key, F.col(f"v.{point_key}").alias(point_key), F.col("v.inside").alias("inside"))
+
+
 def lines_near(points: DataFrame, segs: DataFrame, radius_ft: float, key: str, line_key: str = "line_id") -> DataFrame:
     """Distinct (key, line_key) of points and the lines that meet the circle about them: the polygon ``geo.circle``,
     whose radius is in degrees both ways. ``points``: (key, lon, lat); ``segs``: (line_key, a, b)."""

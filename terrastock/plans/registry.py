@@ -97,6 +97,12 @@ def knn_contains_preference(s, d):
     return spatial.knn_prefer_inside(views.footprints(s, d).select("bldg_id", "ring"), _customers(s, d), "bldg_id", "c_custkey")
 
 
+@query()
+def knn_contains_preference_all(s, d):
+    """J11 without a limit of distance; the query above is kept, with its window, for its SQL."""
+    return spatial.knn_prefer_inside_all(views.footprints(s, d).select("bldg_id", "ring"), _customers(s, d), "bldg_id", "c_custkey")
+
+
 @query(f"WITH {_FPS} SELECT bldg_id, round(cx, 6) AS lon, round(cy, 6) AS lat FROM fps")
 def ring_centroid(s, d):
     """F4."""

@@ -120,3 +120,20 @@ def test_similarity_of_odd_names(spark):
     got = {(p["k"], p["j"]): round(p["score"], 9) for p in graph.tfidf_pairs(left, right, "x", "y").collect()}
     every = left.crossJoin(right).select("k", "j", F.round(graph.tfidf_cosine(F.col("x"), F.col("y")), 9)).collect()
     assert got == {(k, j): v for k, j, v in every if v} and len(got) == 4
+
+
+def test_nearest_without_a_window(spark):
+    sql = without("knn_contains_preference", ("ON abs(lon - x0) <= cast(0.05 as double) AND abs(lat - y0) <= cast(0.05 as double)", "ON true"))
+    same(spark, QUERIES["knn_contains_preference_all"], sql)
+
+
+def test_nearest_of_isolated_rings(spark):
+    """Points in a far cluster are found, and of fewer than ten points all are ranked."""
+    square = lambda x, y: [(x + dx, y + dy) for dx, dy in ((0.0, 0.0), (0.3, 0.0), (0.3, 0.3), (0.0, 0.3), (0.0, 0.0))]
+    rings = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(5.0, 5.0))], "k long, ring array<struct<lon double, lat double>>")
+    spots = [(10, 0.2, 0.2), (11, -0.1, 0.0), (12, 7.0, 7.0), (13, 6.0, 6.0)]
+    points = lambda rows: spark.createDataFrame(rows, "p long, lon double, lat double")
+    got = lambda rows: sorted(map(tuple, spatial.knn_prefer_inside_all(rings, points(rows), "k", "p").collect()))
+    assert got(spots) == [(1, 10, True), (2, 13, False)]
+    assert got([]) == []
+    assert got(spots + [(k, -0.001 * (k - 19), 0.0) for k in range(20, 40)]) == [(1, 20, False), (2, 13, False)]
