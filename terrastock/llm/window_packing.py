@@ -19,9 +19,11 @@ their own; an empty table gives no pieces; other columns are left out.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +40,19 @@ class ByteTokens:
     """Ids of a byte-level BPE vocabulary given as ranks, for batches of texts.
 
     A token never goes over a single space between two other characters, so the parts between spaces are encoded once
-    and remembered. Strings that look like special tokens are ordinary text.
+    and remembered. ``added`` holds tokens that are cut out of a text before all else, with their ids.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.table = SegmentTable(lambda parts: [(self.encoding.encode_ordinary(p),) for p in parts], 1, ["", " "])
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.added = list(added)
+        self.table = SegmentTable(lambda parts: [(self.encoding.encode(p, allowed_special="all"),) for p in parts], 1, ["", " "])
         self.first, self.rest = self.table.indexes
-        self.stops, self.line_ends, self.opens = (np.zeros(max(ranks.values()) + 1, bool) for _ in range(3))
+        self.stops, self.line_ends, self.opens = (np.zeros(max(*ranks.values(), *added.values()) + 1, bool) for _ in range(3))
         for token, i in ranks.items():
             self.stops[i] = token[-1:] in (b".", b"!", b"?")
             self.line_ends[i] = token[-1:] == b"\n"
@@ -59,8 +62,8 @@ class ByteTokens:
         """Flat ids, and how many each text has."""
         self.table.begin()
         first, rest = self.first, self.rest.__getitem__
-        # a run of spaces is a token of its own, so texts with such stay whole
-        split = [[t] if "  " in t else t.split(" ") for t in texts]
+        # a run of spaces is a token of its own, and an added token ends what is before it, so texts with such stay whole
+        split = [[t] if any(x in t for x in ("  ", *self.added)) else t.split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         heads = np.cumsum(counts) - counts
         at = np.fromiter(map(rest, chain.from_iterable(parts[1:] for parts in split)), np.int64, int((counts - 1).sum()))
@@ -156,6 +159,12 @@ class _Packer:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer's JSON file that lies beside its ranks; none without such a file."""
+    path = Path(ranks_path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(path.read_text())["added_tokens"]} if path.exists() else {}
+
+
 def pack_documents(
     docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024,
     sentence_penalty: float = 2, word_penalty: float = 6, grid: int = 64, separator: int = 0, block_chars: int = 600_000,
@@ -166,8 +175,10 @@ def pack_documents(
     32-bit numbers); doc_tokens (ids of the document with the separator); sequence_id; offset (place in the sequence).
     """
 
+    added = added_tokens(ranks_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(ByteTokens(ranks_path, pattern), window, sentence_penalty, word_penalty, grid, separator)
+        packer = _Packer(ByteTokens(ranks_path, pattern, added), window, sentence_penalty, word_penalty, grid, separator)
         keys: list[int | None] = []
         texts: list[str] = []
         chars = 0

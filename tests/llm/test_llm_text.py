@@ -170,6 +170,21 @@ def test_packing_of_odd_rows(spark):
     assert pack(odd(spark).limit(0)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    """Ids are those of the library as it is read from its file, the sign of a text's end included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sign = "<|endoftext|>"
+    texts = [f"x {sign} y", sign, f"{sign}{sign}", f"a\n {sign}\n b", f"two  spaces {sign}  end ", f"a{sign[:-1]}", f"a word {sign}. Then more."]
+    docs = odd(spark, list(enumerate(texts)))
+    pieces = window_packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in enumerate(texts)}
+    assert {p["doc_id"]: (p["length"], p["doc_tokens"], p["ids_crc32"]) for p in pieces} == {k: (len(v), len(v), zlib.crc32(v.tobytes())) for k, v in want.items()}
+    assert len(want[0]) == 5 and 50256 in want[0]
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(30):
