@@ -8,12 +8,14 @@ differing element changes at most one cell, and sketches differ in no more place
    number of cells, a 64-bit exclusive or in each. With at most t differing cells, the t + 1 cells that come first in
    any order common to all documents share one between two alike sets (pigeonhole). The order puts cells with rare
    shingles first, by a table of those that are frequent in a bounded sample of documents; it steers cost, not results.
-2. Equal cells are brought together by a shuffle and a sort. A small group gives its pairs; a large one gives links to
-   its first member, and after these are settled, its pairs of different components, compared in blocks, the
-   nearest pairs first.
+2. Equal cells are brought together by a shuffle and a sort. A small group gives its pairs; a large one gives pairs with
+   its first member.
 3. Candidates pass if their bit sketches (one parity bit for each of four cells an element) differ in at most t bits;
    the rest is compared by exact sets of 64-bit shingle hashes, built again from the texts of the documents concerned.
-4. Links join into components.
+4. Links join into components. Members of large groups that are still of different components are dealt to cells once
+   more, now ordered by exact counts over all of these members: cells that a set has alone come first and bring nobody
+   together. Groups that remain are compared for pairs of different components, nearest pairs first; those above
+   ``BLOCK`` sets by pairs of blocks. Only sets near a crowd of others in all but a few cells get there.
 
 Equal sets are one node, named by a 64-bit hash of the set; of a node seen before, a task sends no cells again.
 
@@ -28,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,32 +84,46 @@ def node_of(shingles: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _cells(shingles: np.ndarray, band: int, limit: int, frequent: np.ndarray) -> np.ndarray:
-    """Names of the first ``limit + 1`` cells of a set in one band."""
-    bits = 2 * band + 1
+def _named_cells(shingles: np.ndarray, band: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the cells of a set in one band that hold something, and of the empty ones if those may be too few."""
+    bits, first = 2 * band + 1, np.uint64((band + 1) << 40)
     part = shingles >> np.uint64(64 - bits)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    value = np.bitwise_xor.reduceat(shingles, starts)
+    names = mix64(np.bitwise_xor.reduceat(shingles, starts) ^ mix64(part[starts] + first)) >> np.uint64(2)
+    if len(names) > limit:
+        return names, names[:0]
+    free = np.setdiff1d(np.arange(1 << bits, dtype=np.uint64), part[starts]) + first
+    return names, mix64(mix64(free)) >> np.uint64(2)
+
+
+def _rarity(shingles: np.ndarray, band: int, frequent: np.ndarray) -> np.ndarray:
+    """For each cell that holds something: 0 with two rare shingles or more, 1 with one, 2 with none."""
+    part = shingles >> np.uint64(64 - 2 * band - 1)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     rare = np.add.reduceat(~frequent[(shingles >> np.uint64(8)).astype(np.int64) & (len(frequent) - 1)], starts, dtype=np.int64)
-    place = part[starts] + np.uint64((band + 1) << 40)
-    rank = np.uint64(2) - np.minimum(rare, 2).astype(np.uint64)
-    names = (rank << np.uint64(62)) | (mix64(value ^ mix64(place)) >> np.uint64(2))
-    if len(names) <= limit:  # empty cells come last
-        free = np.setdiff1d(np.arange(1 << bits, dtype=np.uint64), part[starts]) + np.uint64((band + 1) << 40)
-        names = np.concatenate([names, (np.uint64(3) << np.uint64(62)) | (mix64(mix64(free)) >> np.uint64(2))])
-    return np.partition(names, limit)[: limit + 1]
+    return np.uint64(2) - np.minimum(rare, 2).astype(np.uint64)
 
 
-def cells_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """All cells by which a set must meet every set like it but not equal."""
-    n = len(shingles)
+def _bands(n: int) -> list[tuple[int, int]]:
+    """Bands in which a set of ``n`` takes part, and the largest difference from a set like it but not equal there."""
     band = (n.bit_length() - 1) // 2
     above = 4 ** (band + 1)
-    found = [np.zeros(0, np.uint64)]
+    found = []
     if limit := difference_limit(n, min(_longest_partner(n), above - 1)):
-        found.append(_cells(shingles, band, limit, frequent))
+        found.append((band, limit))
     if _longest_partner(n) >= above:
-        found.append(_cells(shingles, band + 1, difference_limit(n, _longest_partner(n)), frequent))
+        found.append((band + 1, difference_limit(n, _longest_partner(n))))
+    return found
+
+
+def cells_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Cells by which a set must meet every set like it but not equal: in each band as many as may differ and one more,
+    those with rare shingles first, empty ones last."""
+    found = [np.zeros(0, np.uint64)]
+    for band, limit in _bands(len(shingles)):
+        names, empty = _named_cells(shingles, band, limit)
+        ranked = np.concatenate([(_rarity(shingles, band, frequent) << np.uint64(62)) | names, (np.uint64(3) << np.uint64(62)) | empty])
+        found.append(np.partition(ranked, limit)[: limit + 1])
     return np.concatenate(found).view(np.int64)
 
 
@@ -210,11 +225,11 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets are alike. ``owners``: the mark of a row for each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners.select("node", "mark"), "node")
+def _sets(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles binary) of the nodes in ``wanted``. ``owners``: the mark of a row for each node."""
+    wanted = wanted.select("node").distinct().join(owners.select("node", "mark"), "node")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _BITMAP_BITS))
-    # a bitmap of bounded size keeps texts that no pair needs from being shuffled
+    # a bitmap of bounded size keeps texts that nobody needs from being shuffled
     maps = wanted.groupBy(F.bitmap_bucket_number(place("mark") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("mark") + 1)).alias("bits"))
     bits = np.zeros(1 << _BITMAP_BITS, bool)
     for r in maps.collect():
@@ -243,21 +258,27 @@ def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame
                 right = [k for k, (node, s) in enumerate(zip(nodes[i:j], made, strict=True)) if len(s) and node_of(s) == node]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i + k] for k in right], pa.int64()), pa.array([made[k].tobytes() for k in right], pa.binary())], names=["node", "shingles"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(mark().alias("mark"), "text").withColumn("place", place("mark")).mapInArrow(needed, "mark long, text string")
+    return wanted.join(texts, "mark").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose shingle sets, as ``held``, are alike; other columns stay."""
+    columns = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
             keep = []
             for k in range(len(x)):
                 s, t = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= 80 * (len(s) + len(t) - both):
                     keep.append(k)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield b.select(columns).take(pa.array(keep, pa.int64()))
 
-    texts = docs.select(mark().alias("mark"), "text").withColumn("place", place("mark")).mapInArrow(needed, "mark long, text string")
-    held = wanted.join(texts, "mark").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
     side = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(*columns, "sa", "sb").mapInArrow(run, pairs.schema)
 
 
 def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -279,40 +300,145 @@ def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def _left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
-    """Pairs of different components that share a cell of a large group and may be alike; None without such groups.
-
-    Each member gives its ``most`` nearest ones in each other block; a number above every block's size gives all. A row
-    of nulls tells that some pair was left out for that.
-    """
+def _open_nodes(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node) of the members of those large groups that are not of one component."""
     large = met.where(F.col("cell").isNotNull())
     members = large.select("cell", F.col("b").alias("node")).unionByName(large.select("cell", F.col("a").alias("node")).distinct())
     known = members.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-    if mixed.isEmpty():
-        return None
-    # members dealt to blocks by hash; every pair of blocks of a group is compared in one place
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = known.join(mixed.select("cell", "size"), "cell").join(nodes, "node").withColumn("k", count).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    spread = dealt.withColumn("with", other).select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "component", "n", "sketch")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = (rows[rows["own"] == rows[k].iat[0]] for k in ("i", "j"))
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
-        a, b = x["node"].to_numpy()[:, None], y["node"].to_numpy()[None]
-        limit, distance = difference_limit(nx, ny), _distances(x["sketch"].tolist(), y["sketch"].tolist())
-        ok = (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]) & (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (distance <= limit)
-        far = np.where(ok, distance / (limit + 1.0), np.inf)
+    mixed = known.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return known.join(mixed.select("cell"), "cell", "left_semi").select("node").distinct()
+
+
+def _all_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every cell of the sets of a batch; ``most`` is how many of the rarest ones of a band are needed."""
+    for b in batches:
+        node, cell, band, most, free = [], [], [], [], []
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for own, limit in _bands(len(x) // 8):
+                names, empty = _named_cells(np.frombuffer(x, np.uint64), own, limit)
+                node.append(np.full(len(names) + len(empty), k))
+                cell += [names, empty]
+                band.append(np.full(len(node[-1]), own, np.int32))
+                most.append(np.full(len(node[-1]), limit + 1, np.int32))
+                free.append(np.arange(len(node[-1])) >= len(names))
+        if node:
+            made = [np.concatenate(node), np.concatenate(cell).view(np.int64), np.concatenate(band), np.concatenate(most), np.concatenate(free)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["node", "cell", "band", "most", "free"])
+
+
+def _dealt_again(held: DataFrame) -> DataFrame:
+    """(cell, n_cell, node) of the rarest cells of each set, by exact counts over all sets of ``held``.
+
+    Cells of one set alone come first in the order and bring nobody together, so a set that has more of them than it may
+    differ in is done. ``n_cell`` is the count.
+    """
+    cells = cut(held.mapInArrow(_all_cells, "node long, cell long, band int, most int, free boolean"))
+    counts = cells.groupBy("cell").count().where("count > 1")
+    counted = cells.join(counts, "cell", "left").groupBy("node", "band", "most").agg(F.array_sort(F.collect_list(F.struct("free", F.coalesce("count", F.lit(1)).alias("n_cell"), "cell"))).alias("order"))
+    first = counted.select("node", F.explode(F.slice("order", F.lit(1), F.col("most"))).alias("c")).where("c.n_cell > 1")
+    return cut(first.select("c.cell", "c.n_cell", "node"), replaces=cells)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that agree in the first ``keys`` columns, which the batches are sorted by."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        rest.append(b)
+        whole = pa.Table.from_batches(rest).combine_chunks().to_batches()
+        if not whole:
+            continue
+        rows = whole[0]
+        key = np.stack([rows.column(i).to_numpy() for i in range(keys)])
+        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])).tolist()
+        for i, j in zip(starts, starts[1:], strict=False):
+            yield rows.slice(i, j - i)
+        rest = [rows.slice(starts[-1])]
+    if rest and (whole := pa.Table.from_batches(rest).combine_chunks().to_batches()):
+        yield whole[0]
+
+
+def _between_components(dealt: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of nodes of different components ca and cb that share a cell and may be alike.
+
+    ``known``: (node, component, n, sketch). A group of more than ``BLOCK`` nodes is dealt to blocks by hash and its
+    blocks compared in pairs. Each node gives its ``most`` nearest ones in each other block; a number above every
+    block's size gives all. A row of nulls tells that some pair was left out for that.
+    """
+    blocks = F.ceil(F.col("n_cell") / BLOCK).cast("int")
+    own = dealt.join(known, "node").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    spread = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = spread.select("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "component", "n", "sketch")
+
+    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, bool]:
+        """Rows (a, b, ca, cb), and whether that is all."""
+        own, node, component, n = (rows.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+        sketch = rows.column("sketch").to_pylist()
+        x, y = (np.flatnonzero(own == rows.column(c)[0].as_py()) for c in ("i", "j"))
+        nx, ny = n[x][:, None], n[y][None]
+        limit, distance = difference_limit(nx, ny), _distances([sketch[k] for k in x], [sketch[k] for k in y])
+        ok = (component[x][:, None] != component[y][None]) & (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (distance <= limit)
         every = ok.sum()
-        if most < far.shape[1]:
+        if most < len(y):
+            far = np.where(ok, distance / (limit + 1.0), np.inf)
             ok &= far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]
             ok &= np.cumsum(ok, axis=1) <= most
         i, j = np.nonzero(ok)
-        found = pd.DataFrame({"a": np.minimum(a[i, 0], b[0, j]), "b": np.maximum(a[i, 0], b[0, j])}, dtype="Int64")
-        return found if len(i) == every else pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")])
+        a, b = x[i], y[j]
+        turn = node[a] > node[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        return np.stack([node[a], node[b], component[a], component[b]]), len(i) == every
 
-    return spread.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, whole, found, held = ["a", "b", "ca", "cb"], True, [], 0
+        for rows in _groups(batches, 3):
+            if rows.num_rows < 2 or (c := rows.column("component").to_numpy()).min() == c.max():
+                continue
+            pairs, all_of_them = compare(rows)
+            whole &= all_of_them
+            if pairs.shape[1]:
+                found.append(pairs)
+                held += pairs.shape[1]
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names=names)
+                found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], names=names)
+        if not whole:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4, names=names)
+
+    return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = b.column(1).to_pylist()
+        sketches = [parity_bits(np.frombuffer(x, np.uint64)) for x in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+
+
+def _join_left_over(met: DataFrame, labels: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """``labels`` with the links inside the large groups of ``met``."""
+    nodes = cut(_open_nodes(met, labels))
+    if nodes.isEmpty():
+        return labels
+    held = cut(_sets(nodes, owners, docs), replaces=nodes)
+    dealt, sized = _dealt_again(held), cut(held.mapInArrow(_sized, "node long, n long, sketch binary"))
+    refuted = None
+    for most in (1, 1 << 30):  # the nearest ones join most components, after which few pairs are left
+        known = sized.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "sketch")
+        found = cut(_between_components(dealt, known, most))
+        whole = found.where("a IS NULL").isEmpty()
+        pairs = found.where("a IS NOT NULL")
+        if refuted is not None:
+            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
+        links = cut(_alike(pairs, held).select("ca", "cb"))
+        if not links.isEmpty():
+            stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = connected_components(stars.unionByName(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        if whole:  # each pair that was of different components has been compared
+            break
+        refuted = pairs.select("a", "b")  # those found alike are of one component now
+    return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,24 +449,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_meet, "cell long, a long, b long").distinct())
     nodes = signed.where(F.col("sketch").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("row")
-    owners = signed.where(F.col("node").isNotNull()).groupBy("node").agg(earliest).select("node", "row.doc_id", "row.mark")
-    links = cut(_verified(cut(_near(met.select("a", "b").distinct(), nodes)), owners, docs))
-    labels = connected_components(links)
-    refuted = None
-    for most in (1, 16, 1 << 30):  # the nearest ones join most components, after which few pairs are left
-        if (rest := _left_over(met, labels, nodes, most)) is None:
-            break
-        rest = cut(rest if refuted is None else rest.join(refuted, ["a", "b"], "left_anti"))
-        whole, rest = rest.where("a IS NULL").isEmpty(), rest.where("a IS NOT NULL")
-        if whole and rest.isEmpty():
-            break
-        more = cut(_verified(rest, owners, docs))
-        refuted = rest if refuted is None else refuted.unionByName(rest)
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            labels = connected_components(links)
-        if whole:  # each pair that was of different components has been compared
-            break
+    owners = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(earliest).select("node", "row.doc_id", "row.mark"))
+    near = cut(_near(met.select("a", "b").distinct(), nodes))
+    held = cut(_sets(near.select(F.explode(F.array("a", "b")).alias("node")), owners, docs))
+    links = cut(_alike(near, held), replaces=held)
+    labels = _join_left_over(met, connected_components(links), owners, docs)
     named = owners.join(labels, "node", "left").select("node", "doc_id", "mark", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(earliest).select("component", F.col("row.doc_id").alias("component_id"), F.col("row.mark").alias("first"))
     by_node = named.join(least, "component").select("node", "component_id", "first")
