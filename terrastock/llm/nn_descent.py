@@ -1,17 +1,19 @@
-"""Approximate nearest neighbours by largest inner product: NN-descent and graph search (operator 4).
+"""Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search (operator 4).
 
-Index. Vectors get one more component that makes all norms equal, so that inner products order as distances do. Nodes
-are dealt to blocks of a fixed size by hash; the first graph holds the best neighbours inside a few such dealings. Each
-round joins every node with its neighbours and (a bounded, hashed choice of) those it is a neighbour of, and compares
-these with each other: neighbours of neighbours. What beats a node's worst neighbour is sent to it. Rounds end when
-few neighbours change.
+Index. Vectors get one more component that makes all norms equal, so that inner products order as distances do. The
+first graph holds the best neighbours inside the leaves of a few trees: each tree splits by the sides of hyperplanes
+between drawn vectors, and range partitions of (leaf, hash) are cut into pieces of bounded size, so no leaf is too
+large for a task. Each round joins every node with its neighbours and (a bounded, hashed choice of) those it is a
+neighbour of, fetches each such member's vector by a join on its id, and compares the members of a node's list with
+each other: neighbours of neighbours. What beats a member's worst neighbour is sent to it. Rounds end when few
+neighbours change. A round moves at most ``K + REVERSE`` vectors for each node, whatever their number.
 
-Search. A query keeps a beam of its best nodes; each round joins the best ones not yet followed with the graph, scores
-the nodes they lead to, and merges. The last beam is scored again on the original vectors in double precision.
+Search. A query keeps a beam of its best nodes, at first ``ENTRIES`` drawn ones and, if it is a node itself, those its
+own node leads to. Each round joins the best nodes not yet followed with the graph, fetches the vectors of the nodes
+they lead to, and merges. The last beam is scored again on the original vectors in double precision.
 
-Every vector is indexed. Work is dealt by blocks of bounded size, whatever the number of vectors; near vectors share a
-block, and a vector is sent once to each block that needs it. Rounds are cut by checkpoints. Recall at 20 of the query on this repository's tables
-is at least 0.9 (see the tests).
+Vectors travel with 8 bits a component. Every vector is indexed, and the descent runs at every size. Recall at 20 of
+the query on this repository's tables is at least 0.9 (see the tests).
 
 Defined results: rows whose vector is null, zero, of a length other than the most common one, or holds null or
 non-finite components take no part, nor do rows with a null id; of rows that share an id, the least vector counts;
@@ -20,6 +22,8 @@ ties go to the smaller id; extra columns are left out; an empty table, or one wi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +31,11 @@ from pyspark.sql import functions as F
 
 from terrastock.llm.common import cut
 
-BLOCK = 4096
-K, REVERSE = 32, 32
-#: About so many vectors, at most, are drawn to deal the others to blocks by nearness; only cost depends on them.
-PIVOTS = 2048
-#: Dealings of the nodes to blocks that the first graph is taken from.
-DEALINGS = 4
+K, REVERSE = 48, 32
+#: Trees, and about how many vectors a leaf has; a tree has 2**LEAST_SPLITS leaves or more.
+TREES, LEAF, LEAST_SPLITS = 4, 1024, 3
+#: Drawn vectors: those that hyperplanes lie between, and those that every search looks at first.
+DRAWN, ENTRIES = 2048, 64
 EDGES = "node long, nid long, sim float, mark int"
 
 
@@ -45,13 +48,20 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("x") == (sizes["d"] if sizes else 0)).groupBy("id").agg(F.min("x").alias("x"))
 
 
-def _block(node: Column | str, n: int, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(n)).cast("int")
+def packed(x: np.ndarray, more: np.ndarray) -> list[bytes]:
+    """Each vector as its scale, one more component, and 8 bits a component."""
+    scale = np.abs(x).max(axis=1, initial=0) / 127
+    ints = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+    head = np.stack([scale, more], axis=1).astype(np.float32)
+    return [h.tobytes() + r.tobytes() for h, r in zip(head, ints, strict=True)]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of ``packed`` as rows; the one more component comes last."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return np.concatenate([raw[:, 8:].view(np.int8) * head[:, :1], head[:, 1:]], axis=1)
 
 
 def _points(rows: DataFrame) -> DataFrame:
@@ -61,36 +71,12 @@ def _points(rows: DataFrame) -> DataFrame:
     def pack(batches):
         for b in batches:
             x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            more = np.sqrt(np.maximum(0, top - (x * x).sum(axis=1)))[:, None]
-            v, q = (np.concatenate([x, m], axis=1).astype(np.float32) for m in (more, np.zeros_like(more)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in q], pa.binary())], names=["id", "v", "q"])
+            more = np.sqrt(np.maximum(0, top - (x * x).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(packed(x, m), pa.binary()) for m in (more, np.zeros_like(more)))], names=["id", "v", "q"])
 
     return rows.select("id", "x").mapInArrow(pack, "id long, v binary, q binary")
 
 
-def _settle_places(points: DataFrame, n: int) -> DataFrame:
-    """``points`` with their block ``b``: near vectors share one, and a block holds about ``BLOCK`` vectors at most.
-
-    A vector belongs to the nearest of up to ``PIVOTS`` drawn ones; what belongs to one and is more than a block, as
-    with many equal vectors, is dealt on by hash.
-    """
-    share = min(1.0, PIVOTS / max(1, n))
-    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "v").toArrow().sort_by("id")
-    pivots = _matrix(drawn.column("v"))[: -(-n // BLOCK)] if len(drawn) else np.zeros((1, 1), np.float32)
-    if len(pivots) < 2:
-        return points.withColumn("b", _block("id", max(1, -(-n // BLOCK))).cast("long"))
-
-    def nearest_pivot(batches):
-        for b in batches:
-            leaf = (_matrix(b.column(1)) @ pivots.T).argmax(axis=1) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["id", "v", "q", "leaf"])
-
-    leaves = cut(points.select("id", "v", "q").mapInArrow(nearest_pivot, "id long, v binary, q binary, leaf long"))
-    # a row for each pivot
-    parts = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return leaves.join(F.broadcast(parts), "leaf").select("id", "v", "q", (F.col("leaf") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(0)), "parts")).alias("b"))
-
-
 def _top(node: np.ndarray, nid: np.ndarray, sim: np.ndarray, mark: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` best different neighbours of each node; of equal ones the smallest mark stays."""
     o = np.lexsort((mark, nid, node))
@@ -110,164 +96,239 @@ def _edges(node, nid, sim, mark) -> dict[str, pa.Array]:
     return {"node": pa.array(node, pa.int64()), "nid": pa.array(nid, pa.int64()), "sim": pa.array(sim, pa.float32()), "mark": pa.array(mark, pa.int32())}
 
 
-def _best(edges: DataFrame, k: int, follow: int = 0) -> DataFrame:
-    """The ``k`` best edges of each node. With ``follow``, its so many best with mark 1 or 2 get mark 1, the others 2."""
-
-    def settle(held):
-        node, nid, sim, mark = _top(*held, k)
-        if follow and len(node):
-            mark = np.where(mark > 0, 2, 0)
-            o = np.flatnonzero(mark)
-            own = node[o]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(o) else np.zeros(0, int)
-            rank = np.arange(len(o)) - np.repeat(starts, np.diff(np.append(starts, len(o))))
-            mark[o[rank < follow]] = 1
-        return node, nid, sim, mark
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best edges of each node."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int32)]
         for b in batches:
             held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
             if not len(held[0]):
                 continue
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield pa.RecordBatch.from_pydict(_edges(*settle([h[:last] for h in held])))
+            if last := int(np.searchsorted(held[0], held[0][-1])):
+                yield pa.RecordBatch.from_pydict(_edges(*_top(*(h[:last] for h in held), k)))
                 held = [h[last:] for h in held]
             if len(held[0]) > 50 * k:
                 held = list(_top(*held, k))
         if len(held[0]):
-            yield pa.RecordBatch.from_pydict(_edges(*settle(held)))
+            yield pa.RecordBatch.from_pydict(_edges(*_top(*held, k)))
 
     return edges.repartition("node").sortWithinPartitions("node").mapInArrow(run, EDGES)
 
 
-def _within_block(table: pa.Table) -> pa.Table:
-    """Best neighbours of each vector inside its block; blocks that came out larger are compared in strips."""
-    ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
-    out = []
-    for i in range(0, len(ids), 1024):
-        s = v[i : i + 1024] @ v.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        k = min(K, len(ids) - 1)
-        if not k:
-            break
-        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        out.append((np.repeat(ids[i : i + 1024], k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()))
-    node, nid, sim = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return pa.Table.from_pydict(_edges(node, nid, sim, np.ones(len(node))))
-
-
-def _local_join(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-    """Compare the members of each centre's list; what beats a member's worst neighbour goes to it."""
-    o = np.argsort(vectors.column("id").to_numpy())
-    ids, v = vectors.column("id").to_numpy()[o], _matrix(vectors.column("v"))[o]
-    worst = vectors.column("worst").to_numpy()[o]
-    centre, member, fresh = (lists.column(c).to_numpy() for c in ("centre", "member", "fresh"))
-    o = np.lexsort((member, centre))
-    centre, member, fresh = centre[o], np.searchsorted(ids, member[o]), fresh[o].astype(bool)
-    starts = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]])) if len(centre) else np.zeros(0, int)
-    sizes = np.diff(np.append(starts, len(centre)))
-    width, held = int(sizes.max(initial=0)), None
-    for g in range(0, len(starts), 256):
-        s, z = starts[g : g + 256], sizes[g : g + 256]
-        place = s[:, None] + np.arange(width)
-        real = np.arange(width) < z[:, None]
-        place = np.where(real, place, s[:, None])
-        m, f = member[place], fresh[place] & real
-        x = v[m]
-        sim = x @ x.transpose(0, 2, 1)
-        ok = (f[:, :, None] | f[:, None, :]) & real[:, :, None] & real[:, None, :] & (sim > worst[m][:, :, None]) & (m[:, :, None] != m[:, None, :])
-        a, i, j = np.nonzero(ok)
-        found = [m[a, i], m[a, j], sim[a, i, j], np.ones(len(a), np.int32)]
-        held = found if held is None else [np.concatenate(p) for p in zip(held, found, strict=True)]
-        if len(held[0]) > 2_000_000:
-            held = list(_top(*held, K))
-    if held is None:
-        held = [np.zeros(0, np.int64)] * 4
-    node, nid, sim, mark = _top(*held, K)
-    return pa.Table.from_pydict(_edges(ids[node], ids[nid], sim, mark))
-
-
-def build_graph(points: DataFrame, n: int, rounds: int = 6, settled: float = 0.03) -> DataFrame:
-    """Edges (node, nid, sim, mark) of the neighbour graph, up to ``K`` for each node."""
-    blocks = max(1, -(-n // BLOCK))
-    first = None
-    for salt in range(DEALINGS if blocks > 1 else 1):
-        dealt = points.select("id", "v", _block("id", blocks, salt).alias("b") if salt else "b")
-        own = dealt.groupBy("b").applyInArrow(_within_block, EDGES)
-        first = own if first is None else first.unionByName(own)
-    graph = cut(_best(first, K))
-    for step in range(rounds if blocks > 1 else 0):
-        order = Window.partitionBy("nid").orderBy(F.xxhash64("node", F.lit(step)), "node")
-        back = graph.select("node", "nid", "mark", F.row_number().over(order).alias("r")).where(F.col("r") <= REVERSE)
+def _drawn(points: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of up to ``most`` nodes, drawn by a hash of the id."""
+    share = min(1.0, 2 * most / max(1, n))
+    rows = points.where(F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    table = rows.orderBy(F.xxhash64("id", F.lit(-1)), "id").limit(most).select("id", "v").toArrow()
+    return table.column("id").to_numpy(), unpacked(table.column("v")) if len(table) else np.zeros((0, 1), np.float32)
+
+
+def _leaf_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best neighbours of each vector inside its leaf, from rows (leaf, id, v) sorted by leaf; a large leaf comes in pieces."""
+    leaf, ids, v = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def compare(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if k := min(K // 2, len(ids) - 1):
+            s = v @ v.T
+            np.fill_diagonal(s, -np.inf)
+            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            yield pa.RecordBatch.from_pydict(_edges(np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel(), np.ones(at.size)))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = unpacked(b.column(2))
+        leaf, ids = np.concatenate([leaf, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
+        v = x if v is None else np.concatenate([v, x])
+        at, last = 0, int(np.searchsorted(leaf, leaf[-1]))
+        while at < last or len(leaf) - at > 2 * LEAF:
+            end = min(at + (LEAF if leaf[min(at + 2 * LEAF, len(leaf) - 1)] == leaf[at] else 2 * LEAF), int(np.searchsorted(leaf, leaf[at], side="right")))
+            yield from compare(ids[at:end], v[at:end])
+            at = end
+        leaf, ids, v = leaf[at:], ids[at:], v[at:]
+    if len(leaf):
+        yield from compare(ids, v)
+
+
+def _first_graph(points: DataFrame, n: int) -> DataFrame:
+    """Edges inside the leaves of ``TREES`` trees."""
+    splits = max(LEAST_SPLITS, (-(-n // LEAF) - 1).bit_length())
+    _, drawn = _drawn(points, n, DRAWN)
+    rng = np.random.default_rng(0)
+    planes = [drawn[rng.integers(0, len(drawn), splits)] - drawn[rng.integers(0, len(drawn), splits)] for _ in range(TREES)]
+
+    def leaves(batches):
+        for b in batches:
+            if b.num_rows:
+                x = unpacked(b.column(1))
+                for tree, p in enumerate(planes):
+                    code = ((x @ p.T) > 0) @ (1 << np.arange(splits, dtype=np.int64)) + (tree << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), b.column(0), b.column(1)], names=["leaf", "id", "v"])
+
+    place = F.xxhash64("id", F.lit(0))
+    dealt = points.select("id", "v").mapInArrow(leaves, "leaf long, id long, v binary").withColumn("place", place)
+    return dealt.repartitionByRange("leaf", "place").sortWithinPartitions("leaf", "place").select("leaf", "id", "v").mapInArrow(_leaf_neighbours, EDGES)
+
+
+def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare the members of each centre's list, from rows (centre, member, fresh, worst, v) sorted by centre.
+
+    Only pairs with a fresh member are new. What beats a member's worst neighbour goes to it.
+    """
+    held: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int32)]
+
+    def compare(rows: pa.RecordBatch) -> None:
+        centre, member, fresh, worst = (rows.column(i).to_numpy() for i in range(4))
+        o = np.lexsort((-fresh, member, centre))
+        new = np.ones(len(o), bool)
+        new[1:] = (centre[o][1:] != centre[o][:-1]) | (member[o][1:] != member[o][:-1])
+        o = o[new]
+        centre, member, fresh, worst = centre[o], member[o], fresh[o] > 0, worst[o]
+        v = unpacked(rows.column(4))[o]
+        starts = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
+        sizes = np.diff(np.append(starts, len(centre)))
+        width = int(sizes.max())
+        for g in range(0, len(starts), 64):
+            place = starts[g : g + 64, None] + np.arange(width)
+            real = np.arange(width) < sizes[g : g + 64, None]
+            place = np.where(real, place, starts[g : g + 64, None])
+            x, f = v[place], fresh[place] & real
+            sim = x @ x.transpose(0, 2, 1)
+            ok = (f[:, :, None] | f[:, None, :]) & real[:, :, None] & real[:, None, :] & (sim > worst[place][:, :, None])
+            ok[:, np.arange(width), np.arange(width)] = False
+            c, i, j = np.nonzero(ok)
+            m = member[place]
+            for k, found in enumerate((m[c, i], m[c, j], sim[c, i, j], np.ones(len(c), np.int32))):
+                held[k] = np.concatenate([held[k], found])
+
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rest.append(b)
+        rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        centre = rows.column(0).to_numpy()
+        if last := int(np.searchsorted(centre, centre[-1])):
+            compare(rows.slice(0, last))
+        rest = [rows.slice(last)]
+        if len(held[0]) > 1_000_000:
+            yield pa.RecordBatch.from_pydict(_edges(*_top(*held, K)))
+            held[:] = [h[:0] for h in held]
+    if rest:
+        compare(rest[0])
+    yield pa.RecordBatch.from_pydict(_edges(*_top(*held, K)))
+
+
+def _reverse(graph: DataFrame, order: Column) -> DataFrame:
+    """Up to ``REVERSE`` edges that lead to each node, the first ones in ``order``."""
+    place = F.row_number().over(Window.partitionBy("nid").orderBy(order, "node"))
+    return graph.withColumn("r", place).where(F.col("r") <= REVERSE)
+
+
+def build_graph(points: DataFrame, n: int, rounds: int = 12, settled: float = 0.06) -> DataFrame:
+    """Edges (node, nid, sim, mark) of the neighbour graph, up to ``K`` for each node.
+
+    At least one round of descent runs, and the last is the one that changes less than the share ``settled`` of all edges.
+    """
+    graph = cut(_best(_first_graph(points, n), K))
+    for step in range(rounds):
+        back = _reverse(graph, F.xxhash64("node", F.lit(step)))
         lists = graph.select(F.col("node").alias("centre"), F.col("nid").alias("member"), F.col("mark").alias("fresh")).unionByName(
             back.select(F.col("nid").alias("centre"), F.col("node").alias("member"), F.col("mark").alias("fresh"))
         )
-        # centres near each other share a block, and so do most of their members
-        lists = lists.join(points.select(F.col("id").alias("centre"), "b"), "centre").groupBy("centre", "member").agg(F.max("fresh").alias("fresh"), F.first("b").alias("b"))
-        worst = graph.groupBy("node").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-        known = points.select("id", "v").join(worst, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-        needed = lists.select("b", F.col("member").alias("id")).distinct().join(known, "id").select(F.col("b").alias("to"), "id", "v", "worst")
-        news = lists.groupBy("b").cogroup(needed.groupBy("to")).applyInArrow(_local_join, EDGES)
-        graph = cut(_best(graph.withColumn("mark", F.lit(0)).unionByName(news), K))
+        low = F.lit(float("-inf")).cast("float")
+        worst = graph.groupBy(F.col("node").alias("id")).agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(low).alias("worst"))
+        known = points.select(F.col("id"), "v").join(worst, "id", "left").select(F.col("id").alias("member"), F.coalesce("worst", low).alias("worst"), "v")
+        fetched = lists.join(known, "member").select("centre", "member", "fresh", "worst", "v")
+        news = fetched.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join, EDGES)
+        graph = cut(_best(graph.withColumn("mark", F.lit(0)).unionByName(news), K), replaces=graph)
         if graph.where("mark = 1").count() < settled * n * K:
             break
     return graph
 
 
-def _score(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
-    """Inner products of (query, node) pairs; those that can't enter the query's beam are left out."""
-    ids, v, worst = vectors.column("id").to_numpy(), _matrix(vectors.column("v")), vectors.column("worst").to_numpy()
-    query = vectors.column("query").to_numpy().astype(bool)
-    sides = []
-    for own in (query, ~query):
-        o = np.flatnonzero(own)
-        o = o[np.argsort(ids[o])]
-        sides.append((ids[o], o))
-    q, m = wanted.column("q").to_numpy(), wanted.column("m").to_numpy()
-    a, b = sides[0][1][np.searchsorted(sides[0][0], q)], sides[1][1][np.searchsorted(sides[1][0], m)]
-    sim = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 65536]], v[b[i : i + 65536]]) for i in range(0, max(1, len(q)), 65536)])
-    keep = sim > worst[a]
-    return pa.Table.from_pydict(_edges(q[keep], m[keep], sim[keep], np.full(int(keep.sum()), 2)))
-
-
-def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 192, follow: int = 64, rounds: int = 4) -> DataFrame:
-    """Beams (node, nid, sim, mark) of the ``queries`` (id), whose vectors are among ``points``."""
-    order = Window.partitionBy("nid").orderBy(F.desc("sim"), "node")
-    back = graph.select("node", "nid", F.row_number().over(order).alias("r"), "sim").where(F.col("r") <= REVERSE)
-    both = graph.select("node", "nid").unionByName(back.select(F.col("nid").alias("node"), F.col("node").alias("nid"))).distinct()
-    around = cut(both.join(points.select(F.col("id").alias("nid"), "b"), "nid"))
-    asked = points.join(queries, "id").select("id", F.col("q").alias("v"))
-    state, frontier = None, queries.select(F.col("id").alias("q"), F.col("id").alias("node"))
+def _merged(beam: int, follow: int):
+    """A task's step of the search, over rows (q, m, sim, mark, v) sorted by query.
+
+    Mark -1 is the query's own vector, -2 a node to be scored; others are of its beam, as in ``search_graph``.
+    """
+
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        q, m, sim, mark = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        own, ask = np.flatnonzero(mark == -1), np.flatnonzero(mark == -2)
+        keep = [np.flatnonzero(mark >= 0)]
+        sim, mark = sim.astype(np.float32), np.where(mark == 1, 0, mark)
+        for i in range(0, len(ask), 65536):
+            part = ask[i : i + 65536]
+            at = own[np.searchsorted(q[own], q[part])]  # every query has its vector among its rows
+            sim[part] = np.einsum("ij,ij->i", unpacked(rows.column(4).take(pa.array(at))), unpacked(rows.column(4).take(pa.array(part))))
+        mark[ask] = 2
+        keep = np.concatenate([*keep, ask])
+        node, nid, sim, mark = _top(q[keep], m[keep], sim[keep], mark[keep], beam)
+        o = np.flatnonzero(mark == 2)
+        if len(o):
+            starts = np.flatnonzero(np.concatenate([[True], node[o][1:] != node[o][:-1]]))
+            rank = np.arange(len(o)) - np.repeat(starts, np.diff(np.append(starts, len(o))))
+            mark[o[rank < follow]] = 1
+        return pa.RecordBatch.from_pydict(_edges(node, nid, sim, mark))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest.append(b)
+            rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            q = rows.column(0).to_numpy()
+            if last := int(np.searchsorted(q, q[-1])):
+                yield settle(rows.slice(0, last))
+            rest = [rows.slice(last)]
+        if rest:
+            yield settle(rest[0])
+
+    return run
+
+
+def search_graph(points: DataFrame, n: int, graph: DataFrame, queries: DataFrame, beam: int = 128, follow: int = 32, rounds: int = 3) -> DataFrame:
+    """Beams (node, nid, sim, mark) of the ``queries`` (q, vq), which may be nodes of the graph or not.
+
+    ``vq`` is a vector as in ``packed`` with zero as its last component. A node of a beam has mark 2 until it is to be
+    followed, 1 then, and 0 after that.
+    """
+    ids, drawn = _drawn(points, n, ENTRIES)
+    back = _reverse(graph, F.desc("sim"))
+    around = cut(graph.select("node", "nid").unionByName(back.select(F.col("nid").alias("node"), F.col("node").alias("nid"))).distinct())
+
+    def enter(batches):
+        for b in batches:
+            q = b.column(0).to_numpy()
+            if len(q) and len(ids):
+                s = unpacked(b.column(1)) @ drawn.T
+                a, c = np.nonzero(q[:, None] != ids[None])
+                yield pa.RecordBatch.from_pydict(_edges(q[a], ids[c], s[a, c], np.full(len(a), 2)))
+
+    state = queries.select("q", "vq").mapInArrow(enter, EDGES)
+    frontier, before = queries.select("q", F.col("q").alias("node")), None
+    asked = queries.select("q", F.lit(None).cast("long").alias("m"), F.lit(None).cast("float").alias("sim"), F.lit(-1).alias("mark"), F.col("vq").alias("v"))
     for _ in range(rounds + 1):
-        reached = frontier.join(around, "node").select("q", F.col("nid").alias("m"), "b").where("q <> m").distinct()
-        if state is not None:
-            reached = reached.join(state.select(F.col("node").alias("q"), F.col("nid").alias("m")), ["q", "m"], "left_anti")
-        wanted = reached.select("q", "m", "b")
-        low = F.lit(float("-inf")).cast("float")
-        if state is None:
-            limits = asked.select("id", "v", low.alias("worst"))
-        else:
-            worst = state.groupBy("node").agg(F.when(F.count("*") >= beam, F.min("sim")).otherwise(low).cast("float").alias("worst"))
-            limits = asked.join(worst, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("worst", low).alias("worst"))
-        asking = wanted.select("b", F.col("q").alias("id")).distinct().join(limits, "id").select(F.col("b").alias("to"), "id", "v", "worst", F.lit(1).alias("query"))
-        held = points.select(F.col("b").alias("to"), "id", "v", low.alias("worst"), F.lit(0).alias("query"))
-        scored = wanted.groupBy("b").cogroup(asking.unionByName(held).groupBy("to")).applyInArrow(_score, EDGES)
-        done = scored if state is None else state.withColumn("mark", F.when(F.col("mark") == 1, 0).otherwise(F.col("mark"))).unionByName(scored)
-        state = cut(_best(done, beam, follow))
-        frontier = state.where("mark = 1").select(F.col("node").alias("q"), F.col("nid").alias("node"))
+        reached = frontier.join(around, "node").select("q", F.col("nid").alias("m")).where("q <> m").distinct()
+        held = state.select(F.col("node").alias("q"), F.col("nid").alias("m"), "sim", "mark")
+        fetched = reached.join(held.select("q", "m"), ["q", "m"], "left_anti").join(points.select(F.col("id").alias("m"), "v"), "m")
+        rows = held.withColumn("v", F.lit(None).cast("binary")).unionByName(fetched.select("q", "m", F.lit(None).cast("float").alias("sim"), F.lit(-2).alias("mark"), "v")).unionByName(asked)
+        state = cut(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_merged(beam, follow), EDGES), replaces=before)
+        before, frontier = state, state.where("mark = 1").select(F.col("node").alias("q"), F.col("nid").alias("node"))
     return state
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = 192) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found for each row of which ``is_query`` holds."""
     rows = cut(usable(vectors, vec_id, embedding))
     n = rows.count()
-    points = cut(_settle_places(cut(_points(rows)), n))
-    queries = cut(rows.withColumnRenamed("id", vec_id).where(is_query).select(F.col(vec_id).alias("id")))
-    graph = build_graph(points, n)
-    beams = search_graph(points, graph, queries, beam=max(beam, 2 * k))
+    points = cut(_points(rows))
+    ids = rows.withColumnRenamed("id", vec_id).where(is_query).select(F.col(vec_id).alias("id"))
+    queries = cut(points.join(ids, "id", "left_semi").select(F.col("id").alias("q"), F.col("q").alias("vq")))
+    beams = search_graph(points, n, build_graph(points, n), queries, beam=max(beam, 2 * k))
     few = _best(beams, 2 * k).select(F.col("node").alias("query_id"), F.col("nid").alias("id"))
     pairs = few.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("x").alias("y")), "query_id")
     exact = pairs.select("query_id", F.col("id").alias("vec_id"), F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
