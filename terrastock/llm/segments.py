@@ -27,11 +27,11 @@ class _Index(dict):
 class SegmentTable:
     """Rows of numbers for each segment, computed once by ``encode`` for many new segments at a time.
 
-    ``encode`` takes segments and returns, for each of them, one sequence per column, all equally long.
+    ``encode`` takes segments and returns how many numbers each of them has, and for each column all numbers in order.
     Memory is bounded: beyond ``most_chars`` of held segments the table starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[Sequence[int]]]], columns: int, prefixes: Sequence[str], most_chars: int = 12_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], columns: int, prefixes: Sequence[str], most_chars: int = 12_000_000) -> None:
         self.encode, self.columns, self.most = encode, columns, most_chars
         self.indexes = [_Index(self, p) for p in prefixes]
         self._reset()
@@ -51,15 +51,12 @@ class SegmentTable:
     def _flush(self) -> None:
         if not self.pending:
             return
-        rows = self.encode(self.pending)
-        lengths = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
+        lengths, columns = self.encode(self.pending)
         base = len(self.flat[0])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        total = int(lengths.sum())
-        for c in range(self.columns):
-            self.flat[c] = np.concatenate([self.flat[c], np.fromiter((v for r in rows for v in r[c]), np.int32, total)])
-        self.known += len(rows)
+        self.flat = [np.concatenate([f, c.astype(np.int32)]) for f, c in zip(self.flat, columns, strict=True)]
+        self.known += len(lengths)
         self.pending = []
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -50,7 +50,7 @@ class ByteTokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         self.added = list(added)
-        self.table = SegmentTable(lambda parts: [(self.encoding.encode(p, allowed_special="all"),) for p in parts], 1, ["", " "])
+        self.table = SegmentTable(self._rows, 1, ["", " "])
         self.first, self.rest = self.table.indexes
         self.stops, self.line_ends, self.opens = (np.zeros(max(*ranks.values(), *added.values()) + 1, bool) for _ in range(3))
         for token, i in ranks.items():
@@ -58,6 +58,11 @@ class ByteTokens:
             self.line_ends[i] = token[-1:] == b"\n"
             self.opens[i] = token[:1] in (b" ", b"\n")
 
+    def _rows(self, parts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        found = [self.encoding.encode(p, allowed_special="all") for p in parts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, [np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))]
+
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and how many each text has."""
         self.table.begin()

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -102,16 +103,40 @@ def test_pieces_are_those_of_the_library(spark, docs):
     got = sp_codec.decode_documents(sp_codec.encode_documents(more, model), model).collect()
     assert len(got) == len(ODD) + docs.count()
     for r in got:
-        text = r["text"] or ""
-        want = library.encode(text)
-        assert r["ids"] == want
-        assert r["decoded"] == library.decode(want)
-        data = text.encode()
-        assert all(0 <= a <= b <= len(data) for a, b in zip(r["span_start"], r["span_end"], strict=True))
-        assert r["span_start"] == sorted(r["span_start"])
+        want = library.encode(r["text"] or "", return_type="proto").pieces
+        assert r["ids"] == [p.id for p in want]
+        assert r["decoded"] == library.decode(r["ids"])
+        assert list(zip(r["span_start"], r["span_end"], strict=True)) == [(p.begin, p.end) for p in want]
     assert sp_codec.encode_documents(more.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("mapped", "squeeze", "prefix"), [(True, True, True), (True, False, True), (True, True, False), (False, True, True)])
+def test_pieces_by_a_compiled_map(tmp_path, rows, mapped, squeeze, prefix):
+    """Ids and spans of models with a character map, squeezed spaces or no space in front, against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto, rules = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    if mapped:
+        proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = squeeze, prefix
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec._Encoder(path)
+    rng = random.Random(3)
+    texts = ["", " ", "▁", "▁x ▁▁ y", "Ａｂｃ①㍿ é 한글 하", "½ ﷺ \u00a0 z\u200b q", "é" * 200, "x" * 300, *("".join(rng.choice("ab é日▁ 😀ﬁＡ①\t  \n") for _ in range(rng.randrange(40))) for _ in range(300)), *((t or "") for _, t in rows[:60])]
+    ids, starts, ends, lengths = (x.tolist() for x in encoder.batch(texts))
+    at = 0
+    for t, n in zip(texts, lengths, strict=True):
+        want = library.encode(t, return_type="proto").pieces
+        assert list(zip(ids[at : at + n], starts[at : at + n], ends[at : at + n], strict=True)) == [(p.id, p.begin, p.end) for p in want], t
+        at += n
+
+
 def test_piece_digests(spark, rows):
     import sentencepiece
 
@@ -131,7 +156,6 @@ def check_pieces(pieces, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for p in pieces:
         by_doc.setdefault(p["doc_id"], []).append(p)
