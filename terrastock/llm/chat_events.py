@@ -4,8 +4,9 @@
 regenerations into final messages; ``render_turns`` writes each message with its markers; ``read_back`` parses the
 rendered text again and digests it.
 
-One shuffle by conversation serves all three; a conversation is sorted and streamed, never gathered, so the longest
-one needs no more memory than its longest message.
+One shuffle by conversation serves all three. Folding sorts a conversation's events in windows, which spill, and
+gathers the pieces of one message at a time; rendering and reading back stream the turns. So memory goes with the
+longest message.
 
 Defined results: a null text or role counts as empty; rows that tie in order are taken by role and then by text;
 repeated rows are turns of their own; a null conversation is one conversation; an empty log gives no rows.

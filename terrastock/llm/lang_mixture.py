@@ -36,7 +36,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def _grams(token: str) -> list[int]:
     """Buckets of the trigrams of a token's letters, with marks at both ends; none without letters."""
     word = _NOT_LETTERS.sub("", token)
-    if not word:
+    if not word or not (word.isascii() or any(map(str.isalpha, word))):  # other signs of words, such as ², are no letters
         return []
     word = f"<{word}>"
     return [zlib.crc32(word[i : i + 3].encode()) % BUCKETS for i in range(len(word) - 2)]

@@ -4,9 +4,10 @@ Lines are exploded and normalised, their keys hashed to 128 bits, and distinct d
 whose key is long enough and found in enough documents go, except in the largest document that holds the key; the
 other lines are put together again by position.
 
-Plan: the counts are aggregated before they are shuffled, so a line of every document costs a row for each task. Only
-(id, position, hash) rows meet the recurring keys, in a join whose skewed partitions Spark splits; texts move once,
-to meet their dropped positions, or stay where they are if those are few enough to be sent to every task.
+Plan: texts are exploded once, to a table of (id, position, hash) rows of long lines in the shared folder. The counts
+are aggregated before they are shuffled, so a line of every document costs a row for each task. The recurring keys are
+a table of their own, so that the rows of a hot key meet it in a join whose skewed partitions Spark splits. Texts move
+once, to meet their dropped positions, or stay where they are if those are few enough to be sent to every task.
 
 Defined results: a null or empty text is one empty line and is never changed from null by a drop, since an empty line
 is short; ids may repeat, and equal ids count as one document; null ids count as one document below all others;
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrastock.llm.common import cut
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LONG = -(2**63)
@@ -38,37 +41,34 @@ def drop_recurring_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, n_lines: str = "n_lines", n_dropped: str = "n_dropped"
 ) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and the columns ``n_lines`` (before) and ``n_dropped``."""
-    key_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_LONG)).alias("__id")
-    of_text = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text")  # tells rows of one id apart
-    marks = (
-        docs.select(key_id, of_text, F.posexplode(lines_of(F.col(text))).alias("__pos", "__line"))
-        .where(F.char_length("__line") >= min_chars)
-        .select("__id", "__text", "__pos", line_key(F.col("__line")).alias("__key"))
-        .where(F.char_length("__key") >= min_chars)
-        .select("__id", "__text", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(7), "__key").alias("__h2"))
-    )
-    recurring = (
-        marks.groupBy("__h1", "__h2")
-        .agg(F.count_distinct("__id").alias("__docs"), F.max("__id").alias("__keeper"))
-        .where(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2", "__keeper")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # names of the input can't clash
+    whole = F.col("row").getField(text)
+    key_id = F.coalesce(F.col("row").getField(doc_id).cast("long"), F.lit(LEAST_LONG)).alias("id")
+    of_text = F.xxhash64(F.coalesce(whole, F.lit(""))).alias("of_text")  # tells rows of one id apart
+    marks = cut(
+        row.select(key_id, of_text, F.posexplode(lines_of(whole)).alias("pos", "line"))
+        .where(F.char_length("line") >= min_chars)
+        .select("id", "of_text", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.char_length("key") >= min_chars)
+        .select("id", "of_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
-    drops = (
-        marks.join(recurring, ["__h1", "__h2"])
-        .where(F.col("__id") != F.col("__keeper"))
-        .groupBy("__id", "__text")
-        .agg(F.collect_set("__pos").alias("__drop"))
+    recurring = cut(
+        marks.groupBy("h1", "h2")
+        .agg(F.count_distinct("id").alias("held"), F.max("id").alias("keeper"))
+        .where(F.col("held") >= min_docs)
+        .select("h1", "h2", "keeper")
     )
-    lines = lines_of(F.col(text))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, n_lines, n_dropped)]
+    drops = marks.join(recurring, ["h1", "h2"]).where("id <> keeper").groupBy("id", "of_text").agg(F.collect_set("pos").alias("drop"))
+    lines = lines_of(whole)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("drop"), i)), "\n")
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, n_lines, n_dropped)]
     return (
-        docs.withColumns({"__id": key_id, "__text": of_text})
-        .join(drops, ["__id", "__text"], "left")
+        row.withColumns({"id": key_id, "of_text": of_text})
+        .join(drops, ["id", "of_text"], "left")
         .select(
             *rest,
-            F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept).alias(text),
+            F.when(F.col("drop").isNull(), whole).otherwise(kept).alias(text),
             F.size(lines).cast("long").alias(n_lines),
-            F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(n_dropped),
+            F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(n_dropped),
         )
     )

@@ -1,12 +1,12 @@
 """Document quality by attention-based multiple-instance learning (operator 10).
 
-A document is a bag of passages. Every passage of the whole text is encoded (shares of character classes and of their
-pairs, through a learned layer); gated attention, learned from labels of documents alone, weighs the passages; the
+A document is a bag of passages. Every passage of the whole text is encoded (shares of character classes, of their
+pairs and of hashed byte trigrams, through a learned layer); gated attention, learned from labels of documents alone, weighs the passages; the
 weighted passage representation is scored.
 
-The model is fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids, and on at
-most ``passages`` evenly spaced passages of each; these bounds hold for fitting only. Scoring is a narrow
-transformation over all documents and whole texts.
+The model is fitted on a bounded sample of labelled rows: at most ``sample`` of them, those with the smallest hashes of
+their ids, as long as they have ``passages`` passages or fewer together; of a document in it, all passages count. These
+bounds hold for fitting only. Scoring is a narrow transformation over all documents and whole texts.
 
 Defined results: null and empty texts are one empty passage and get a score like any other; repeated rows score
 alike; of several labels of a document the largest counts, null labels none; without labels of both kinds every score
@@ -30,7 +30,8 @@ PASSAGE_BYTES = 600
 #: Classes of bytes, in order; bytes above 127 are one more class, all others the last.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t", ".", ",", "!?", "'\"()[]{}", "-_", "*#$%&@^~`", "|/\\", ":;=<>+")
 N_CLASSES = len(CLASSES) + 2
-WIDTH = N_CLASSES * (N_CLASSES + 1) + 1
+TRIGRAMS = 256
+WIDTH = N_CLASSES * (N_CLASSES + 1) + TRIGRAMS + 1
 
 
 def _byte_classes() -> np.ndarray:
@@ -52,7 +53,8 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(size) - size
     first = np.cumsum(counts) - counts
     total, n = int(size.sum()), int(counts.sum())
-    kind = _CLASS_OF[np.frombuffer(b"".join(data), np.uint8)]
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    kind = _CLASS_OF[raw]
     passage = np.repeat(first, size) + (np.arange(total) - np.repeat(begin, size)) // PASSAGE_BYTES
     single = np.bincount(passage * N_CLASSES + kind, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     pair = kind[:-1] * N_CLASSES + kind[1:]
@@ -60,8 +62,11 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(size)[:-1] - 1
     inside[ends[(ends >= 0) & (ends < total - 1)]] = False
     pairs = np.bincount((passage[:-1] * N_CLASSES**2 + pair)[inside], minlength=n * N_CLASSES**2).reshape(n, N_CLASSES**2)
+    three = raw.astype(np.uint32)
+    three = (three[:-2] * np.uint32(0x9E3779B1) ^ three[1:-1] * np.uint32(0x85EBCA77) ^ three[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
+    grams = np.bincount((passage[:-2] * TRIGRAMS + three)[inside[:-1] & inside[1:]], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
     length = np.maximum(1, single.sum(axis=1, keepdims=True))
-    return np.concatenate([np.sqrt(single / length), np.sqrt(pairs / length), length / PASSAGE_BYTES], axis=1, dtype=np.float32), counts
+    return np.concatenate([*(np.sqrt(x / length) for x in (single, pairs, grams)), length / PASSAGE_BYTES], axis=1, dtype=np.float32), counts
 
 
 @dataclass
@@ -127,11 +132,12 @@ def fit(x: np.ndarray, counts: np.ndarray, good: np.ndarray, hidden: int = 24, g
     return m
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2000, passages: int = 16) -> AttentionModel | float:
+def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2000, passages: int = 50_000) -> AttentionModel | float:
     """Fit on a bounded sample of labelled documents. ``labels`` must hold only rows that may be learned from.
 
     The sample's ids (at most ``sample`` of them) go to every task; its passages come to the driver, at most
-    ``sample * passages`` rows of 4 * ``WIDTH`` bytes. Without labels of both kinds: the share of good ones.
+    ``passages`` rows of 4 * ``WIDTH`` bytes. A document that goes beyond that is left out whole, with those after it.
+    Without labels of both kinds: the share of good ones.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
@@ -146,12 +152,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             ids, marks, texts = (b.column(i).to_pylist() for i in range(3))
             for i, j in slices(texts):
                 x, counts = passage_features(texts[i:j])
-                ends = np.cumsum(counts)
-                picks = [np.unique(np.linspace(e - n, e - 1, min(n, passages)).astype(int)) for e, n in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(marks[i:j], pa.int32()), pa.array([x[p].tobytes() for p in picks], pa.binary())], names=["id", "label", "x"])
+                bags = np.split(x, np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(marks[i:j], pa.int32()), pa.array([v.tobytes() for v in bags], pa.binary())], names=["id", "label", "x"])
 
     joined = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = joined.select("__id", "__label", "__text").mapInArrow(encode, "id long, label int, x binary").collect()
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("__text", F.lit(""))) / PASSAGE_BYTES))
+    sizes = joined.groupBy("__id").agg(F.sum(size).alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()
+    taken = [r["__id"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]).tolist(), strict=True) if total <= passages]
+    rows = joined.where(F.col("__id").isin(taken)).select("__id", "__label", "__text").mapInArrow(encode, "id long, label int, x binary").collect()
     rows = sorted({(r["id"], bytes(r["x"])): r["label"] for r in rows}.items())
     good = np.array([label for _, label in rows])
     if len(set(good.tolist())) < 2:

@@ -32,18 +32,39 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 class Sketch:
-    """The retained hashes, ascending, and up to where they are complete."""
+    """The retained hashes, ascending, and up to where they are complete.
+
+    Its text holds both, so that stored fingerprints can be read, merged and compared.
+    """
 
     __slots__ = ("hashes", "reach")
 
-    def __init__(self, shingles: np.ndarray) -> None:
-        """``shingles``: sorted distinct hashes of a text."""
+    def __init__(self, hashes: np.ndarray, reach: int) -> None:
+        self.hashes, self.reach = hashes, reach
+
+    @classmethod
+    def of(cls, shingles: np.ndarray) -> Sketch:
+        """The sketch of a text's sorted distinct shingle hashes."""
         keep = max(int(np.searchsorted(shingles, LIMIT)), min(FLOOR, len(shingles)))
-        self.hashes = shingles[:keep]
-        self.reach = 2**64 - 1 if keep == len(shingles) else max(int(LIMIT) - 1, int(shingles[keep - 1]))
+        return cls(shingles[:keep], 2**64 - 1 if keep == len(shingles) else max(int(LIMIT) - 1, int(shingles[keep - 1])))
 
     def text(self) -> str:
-        return self.hashes.astype(">u8").tobytes().hex()
+        return f"{self.reach:016x}{self.hashes.astype('>u8').tobytes().hex()}"
+
+    @classmethod
+    def parse(cls, text: str) -> Sketch:
+        data = bytes.fromhex(text)
+        return cls(np.frombuffer(data[8:], ">u8").astype(np.uint64), int.from_bytes(data[:8]))
+
+    def merge(self, other: Sketch) -> Sketch:
+        """The sketch of both sets together."""
+        both = np.union1d(self.hashes, other.hashes)
+        whole = min(self.reach, other.reach)
+        known = int(np.searchsorted(both, np.uint64(whole), side="right"))
+        keep = max(int(np.searchsorted(both, LIMIT)), min(FLOOR, known))
+        if whole == 2**64 - 1 and keep == len(both):
+            return Sketch(both, whole)
+        return Sketch(both[:keep], max(int(LIMIT) - 1, int(both[keep - 1])))
 
     def compare(self, other: Sketch) -> tuple[float, float]:
         """Estimated Jaccard likeness, and how much of this one the other contains."""
@@ -88,7 +109,7 @@ def edited_by_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = base.withColumn("to", F.explode(F.when(before[F.col("id")].isNull(), to).otherwise(F.concat(to, F.array(guest)))))
     ordered = (
         sent.select(F.col("to.range").alias("range"), F.col("to.guest").alias("guest"), "doc_id", "text", "id")
-        .repartition(shuffle_partitions(docs.sparkSession), "range")
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), "range")
         .sortWithinPartitions("range", "guest", "id", "text")
         .select("range", "guest", "doc_id", "text")
     )
@@ -99,7 +120,7 @@ def edited_by_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         """All but the last of ``group``, each with the one after it."""
         texts = [t for _, t in group]
         edited = [a[: len(a) - len(a) // 4] + b[: len(a) // 4] for a, b in zip(texts, texts[1:], strict=False)]
-        own, changed = ([Sketch(s) for s in shingler.sets(x)] for x in (texts, edited))
+        own, changed = ([Sketch.of(s) for s in shingler.sets(x)] for x in (texts, edited))
         written = [s.text() for s in own[:-1]]
         near = [a.compare(b) for a, b in zip(own, changed, strict=False)]
         columns = [

@@ -28,7 +28,7 @@ from terrastock.llm.segments import SegmentTable
 
 SPACE = "▁"
 #: Ids that one step of decoding works on; only memory depends on it.
-SLICE_IDS = 300_000
+SLICE_IDS = 200_000
 
 
 class CharacterMap:
@@ -245,7 +245,7 @@ class _Encoder:
 
     def __init__(self, path: str) -> None:
         self.model = PieceModel(path)
-        self.table = SegmentTable(self._rows, 2, [SPACE, ""], most_chars=5_000_000)
+        self.table = SegmentTable(self._rows, 2, [SPACE, ""], most_chars=3_000_000)
         self.words, self.raw = self.table.indexes
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -339,7 +339,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", spans
         encoder = _Encoder(model_path)
         for b in batches:
             texts = [t or "" for t in b.column(columns.index(text)).to_pylist()]
-            for i, j in slices(texts, 1_000_000):
+            for i, j in slices(texts, 400_000):
                 ids, starts, stops, lengths = encoder.batch(texts[i:j])
                 made = [list_array(x, lengths) for x in ((ids, starts, stops) if spans else (ids,))]
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, *made], names=[*columns, *names])

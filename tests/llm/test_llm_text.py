@@ -48,6 +48,46 @@ def test_mixture_shares():
     assert best[1] == pytest.approx([0, 0, 1], abs=0.01)
 
 
+def plain_shares(words, steps=12):
+    """Shares of one document's languages by expectation-maximisation, the set chosen by penalised likelihood."""
+    n, k = words.shape
+
+    def em(allowed):
+        share = [float(a in allowed) / len(allowed) for a in range(k)]
+        like = [[float(np.exp(words[i, a])) for a in range(k)] for i in range(n)]
+        for _ in range(steps):
+            posts = [[like[i][a] * share[a] / sum(like[i][b] * share[b] for b in range(k)) for a in range(k)] for i in range(n)]
+            share = [sum(p[a] for p in posts) / n for a in range(k)]
+        return share, sum(float(np.log(sum(like[i][a] * share[a] for a in range(k)))) for i in range(n))
+
+    full, _ = em(range(k))
+    order = sorted(range(k), key=lambda a: -full[a])
+    alone = words.sum(axis=0)
+    best, value, price = np.eye(k)[alone.argmax()], alone.max(), lang_mixture.PENALTY * np.log(n + 1)
+    for size in range(2, k + 1):
+        if full[order[size - 1]] <= 0.02:
+            break
+        share, fit = em(order[:size])
+        if fit - (size - 1) * price > value:
+            best, value = share, fit - (size - 1) * price
+    return best
+
+
+def test_mixtures_are_those_of_a_plain_version():
+    rng, bags = np.random.default_rng(9), []
+    for n, mix in ((1, [1, 0, 0]), (7, [0, 1, 0]), (60, [0.5, 0.5, 0]), (90, [0.4, 0.3, 0.3]), (40, [0.1, 0.9, 0]), (25, [0, 0.3, 0.7])):
+        of = rng.choice(3, n, p=mix)
+        bags.append(np.log(np.where(np.arange(3) == of[:, None], 0.8, 0.1) * rng.uniform(0.5, 1, (n, 3))))
+    got, _ = lang_mixture.mixture_shares(np.concatenate(bags), np.array([len(b) for b in bags]))
+    for shares, words in zip(got, bags, strict=True):
+        assert shares == pytest.approx(plain_shares(words), abs=1e-4)
+
+
+@pytest.mark.parametrize(("text", "lettered"), [("² ½ Ⅷ", False), ("\u0301 _ 7", False), ("x²", True), ("日", True), ("e\u0301", True)])
+def test_letters_are_those_of_unicode(text, lettered):
+    assert any(lang_mixture._grams(t) for t in text.split()) == lettered
+
+
 def test_language_of_odd_rows(spark):
     table = odd(spark).withColumnRenamed("lang", "score")
     names, model = lang_mixture.learn_languages(odd(spark))
@@ -79,10 +119,26 @@ def test_sketch(spark, rows):
             assert r["near_next"] == 1
 
 
+def test_sketches_are_read_and_merged():
+    """A merge of parts is the sketch of the union, and a fingerprint says all that its sketch does."""
+    rng = np.random.default_rng(5)
+    for sizes in [(0, 0), (0, 5), (3, 4), (20, 25), (33, 2), (400, 30), (3000, 50), (3000, 3000), (31, 600)]:
+        a, b = (np.unique(rng.integers(0, 2**63, n, np.uint64) * np.uint64(2)) for n in sizes)
+        b = np.union1d(b, a[: len(a) // 3])
+        one, two, both = (scaled_sketch.Sketch.of(x) for x in (a, b, np.union1d(a, b)))
+        read = scaled_sketch.Sketch.parse(one.text())
+        assert np.array_equal(read.hashes, one.hashes) and read.reach == one.reach and read.compare(two) == one.compare(two)
+        for merged in (one.merge(two), scaled_sketch.Sketch.parse(two.text()).merge(read)):
+            # what a merge knows of the union is complete up to its reach
+            assert set(merged.hashes) <= set(np.union1d(a, b)) and merged.reach <= both.reach
+            assert np.array_equal(merged.hashes, both.hashes[both.hashes <= np.uint64(merged.reach)])
+            assert merged.reach >= scaled_sketch.LIMIT - np.uint64(1) or merged.reach == both.reach
+
+
 def test_sketches_of_unequal_texts_and_odd_rows(spark):
     whole = np.unique(np.random.default_rng(1).integers(0, 2**63, 60_000, np.uint64) * np.uint64(2))
     part = np.sort(np.random.default_rng(2).choice(whole, 3000, replace=False))
-    assert scaled_sketch.Sketch(part).compare(scaled_sketch.Sketch(whole))[1] == 1
+    assert scaled_sketch.Sketch.of(part).compare(scaled_sketch.Sketch.of(whole))[1] == 1
     table = odd(spark).withColumn("range", F.lit(1)).withColumn("id", F.lit("x"))
     got = scaled_sketch.edited_by_next(table).collect()
     assert len(got) == len(ODD) and all(0 <= r["near_next"] <= 1 for r in got)
@@ -228,7 +284,7 @@ def test_cuts_are_cheapest():
 def test_lines(spark):
     line = "This very line is found in quite a few of the documents"
     docs = [(k, f"start {k}\n  {line if k % 2 else line.upper()}\t\nend\n{line}") for k in range(6)] + [(6, None), (7, ""), (8, "x" * 50), (9, "\n\n" + "y" * 40)]
-    table = odd(spark, docs).withColumn("n_lines", F.lit(-1)).withColumn("__docs", F.lit(5))
+    table = odd(spark, docs).withColumn("n_lines", F.lit(-1)).withColumns({c: F.lit(5) for c in ("row", "id", "of_text", "pos", "drop", "h1")})
     got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(table).collect()}
     for k, (n, dropped, text) in kept_lines(docs).items():
         assert (got[k]["n_lines"], got[k]["n_dropped"], got[k]["text"] or "") == (n, dropped, text)
@@ -304,6 +360,42 @@ def test_attention_finds_the_bad_passage():
     assert ((out["logit"] > 0) == (good == 1)).mean() > 0.95
 
 
+def plain_passages(text):
+    """Features of each passage of one text, counted one by one."""
+    data, out = (text or "").encode(), []
+    kind = [next((k for k, chars in enumerate(mil_quality.CLASSES) if b < 128 and chr(b) in chars), len(mil_quality.CLASSES) + (b < 128)) for b in data]
+    for a in range(0, max(1, len(data)), mil_quality.PASSAGE_BYTES):
+        end = min(len(data), a + mil_quality.PASSAGE_BYTES)
+        x = np.zeros(mil_quality.WIDTH)
+        k, n, wide = mil_quality.N_CLASSES, max(1, end - a), mil_quality.N_CLASSES * (mil_quality.N_CLASSES + 1)
+        for i in range(a, end):
+            x[kind[i]] += 1 / n
+            if i + 1 < len(data):  # a pair or three belong to the passage that they begin in
+                x[k + kind[i] * k + kind[i + 1]] += 1 / n
+            if i + 2 < len(data):
+                mixed = (data[i] * 0x9E3779B1 ^ data[i + 1] * 0x85EBCA77 ^ data[i + 2] * 0xC2B2AE3D) % 2**32 >> 24
+                x[wide + mixed] += 1 / n
+        x = np.sqrt(x)
+        x[-1] = n / mil_quality.PASSAGE_BYTES
+        out.append(x)
+    return np.array(out)
+
+
+def test_quality_is_that_of_a_plain_version():
+    """Features, attention and scores against loops over passages."""
+    texts = [None, "", "a", "ab", "Good text, of words.\n" * 90, "é日" * 400, "#$% |~" * 10]
+    x, counts = mil_quality.passage_features(texts)
+    want = [plain_passages(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.concatenate(want), atol=1e-6)
+    m = mil_quality.fit(x, counts, np.array([0, 0, 0, 1, 1, 1, 0]), steps=20)
+    for got, bag in zip(m.scores(texts), want, strict=True):
+        h = [np.tanh(((p - m.mean) * m.scale) @ m.w + m.b) for p in bag]
+        e = [np.exp(sum(np.tanh(v @ m.v) * (1 / (1 + np.exp(-(v @ m.u)))) * m.a)) for v in h]
+        z = sum(w * v for w, v in zip(e, h, strict=True)) / sum(e)
+        assert got == pytest.approx(1 / (1 + np.exp(-(z @ m.c + m.d))), abs=1e-3)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(7, 1), (5, 0), (8, 1), (8, None), (None, 1), (99, 0)], "doc_id long, quality int")
     model = mil_quality.train_quality(odd(spark), labels)
