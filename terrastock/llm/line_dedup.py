@@ -66,9 +66,12 @@ def drop_recurring_lines(
         row.withColumns({"id": key_id, "of_text": of_text})
         .join(drops, ["id", "of_text"], "left")
         .select(
-            *rest,
-            F.when(F.col("drop").isNull(), whole).otherwise(kept).alias(text),
-            F.size(lines).cast("long").alias(n_lines),
-            F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(n_dropped),
+            F.struct(
+                *rest,
+                F.when(F.col("drop").isNull(), whole).otherwise(kept).alias(text),
+                F.size(lines).cast("long").alias(n_lines),
+                F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(n_dropped),
+            ).alias("out")
         )
+        .select("out.*")
     )
