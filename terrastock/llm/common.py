@@ -36,10 +36,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    shared_folder(spark)
-
-
 def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage.
 
