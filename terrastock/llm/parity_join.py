@@ -12,10 +12,11 @@ differing element changes at most one cell, and sketches differ in no more place
    its first member.
 3. Candidates pass if their bit sketches (one parity bit for each of four cells an element) differ in at most t bits;
    the rest is compared by exact sets of 64-bit shingle hashes, built again from the texts of the documents concerned.
-4. Links join into components. Members of large groups that are still of different components are dealt to cells once
-   more, now ordered by exact counts over all of these members: cells that a set has alone come first and bring nobody
-   together. Groups that remain are compared for pairs of different components, nearest pairs first; those above
-   ``BLOCK`` sets by pairs of blocks. Only sets near a crowd of others in all but a few cells get there.
+4. Links join into components. Large groups that are still of different components are compared for pairs of
+   different ones, nearest pairs first. Members of groups above ``BLOCK`` sets are dealt to (half as many, larger) cells
+   once more for that, now ordered by exact counts over all of them: cells that sets of one component alone have come
+   first and bring nobody together. Groups that are above ``BLOCK`` even then are compared by pairs of blocks; only sets
+   near a crowd of others of different components in all but a few cells get there.
 
 Equal sets are one node, named by a 64-bit hash of the set; of a node seen before, a task sends no cells again.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrastock.llm.common import Shingler, cut, mix64, slices
+from terrastock.llm.common import Shingler, cut, mix64, release, slices
 from terrastock.llm.components import connected_components
 
 #: Groups of up to so many nodes give all their pairs at once.
@@ -84,9 +85,9 @@ def node_of(shingles: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _named_cells(shingles: np.ndarray, band: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the cells of a set in one band that hold something, and of the empty ones if those may be too few."""
-    bits, first = 2 * band + 1, np.uint64((band + 1) << 40)
+def _named_cells(shingles: np.ndarray, band: int, limit: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of those of 2**bits cells of a set in one band that hold something, and of the empty ones if those may be too few."""
+    first = np.uint64((band + 1) << 40)
     part = shingles >> np.uint64(64 - bits)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     names = mix64(np.bitwise_xor.reduceat(shingles, starts) ^ mix64(part[starts] + first)) >> np.uint64(2)
@@ -121,7 +122,7 @@ def cells_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     those with rare shingles first, empty ones last."""
     found = [np.zeros(0, np.uint64)]
     for band, limit in _bands(len(shingles)):
-        names, empty = _named_cells(shingles, band, limit)
+        names, empty = _named_cells(shingles, band, limit, 2 * band + 1)
         ranked = np.concatenate([(_rarity(shingles, band, frequent) << np.uint64(62)) | names, (np.uint64(3) << np.uint64(62)) | empty])
         found.append(np.partition(ranked, limit)[: limit + 1])
     return np.concatenate(found).view(np.int64)
@@ -262,6 +263,11 @@ def _sets(wanted: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.join(texts, "mark").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def _verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose shingle sets, built again from the texts, are alike; other columns stay."""
+    return _alike(pairs, cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), owners, docs)))
+
+
 def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose shingle sets, as ``held``, are alike; other columns stay."""
     columns = pairs.columns
@@ -300,42 +306,49 @@ def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def _open_nodes(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node) of the members of those large groups that are not of one component."""
+def _open_groups(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, n_cell, node, component) of those large groups that are not of one component; ``n_cell`` is their size."""
     large = met.where(F.col("cell").isNotNull())
     members = large.select("cell", F.col("b").alias("node")).unionByName(large.select("cell", F.col("a").alias("node")).distinct())
     known = members.join(labels, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return known.join(mixed.select("cell"), "cell", "left_semi").select("node").distinct()
+    mixed = known.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_cell")).where("low <> high")
+    return known.join(mixed.select("cell", "n_cell"), "cell").select("cell", "n_cell", "node", "component")
 
 
 def _all_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every cell of the sets of a batch; ``most`` is how many of the rarest ones of a band are needed."""
+    """Every cell, of half as many, of the sets of a batch; ``most`` is how many of the rarest ones of a band are needed."""
     for b in batches:
-        node, cell, band, most, free = [], [], [], [], []
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        kept, cell, band, most, free = [], [], [], [], []
+        for k, x in enumerate(b.column(2).to_pylist()):
             for own, limit in _bands(len(x) // 8):
-                names, empty = _named_cells(np.frombuffer(x, np.uint64), own, limit)
-                node.append(np.full(len(names) + len(empty), k))
+                names, empty = _named_cells(np.frombuffer(x, np.uint64), own, limit, 2 * own)
+                n = len(names) + len(empty)
+                kept.append(np.full(n, k))
                 cell += [names, empty]
-                band.append(np.full(len(node[-1]), own, np.int32))
-                most.append(np.full(len(node[-1]), limit + 1, np.int32))
-                free.append(np.arange(len(node[-1])) >= len(names))
-        if node:
-            made = [np.concatenate(node), np.concatenate(cell).view(np.int64), np.concatenate(band), np.concatenate(most), np.concatenate(free)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["node", "cell", "band", "most", "free"])
+                band.append(np.full(n, own, np.int8))
+                most.append(np.full(n, limit + 1, np.int32))
+                free.append(np.arange(n) >= len(names))
+        if kept:
+            made = [np.concatenate(cell).view(np.int64), np.concatenate(band), np.concatenate(most), np.concatenate(free)]
+            yield pa.RecordBatch.from_arrays([*b.select([0, 1]).take(pa.array(np.concatenate(kept))).columns, *map(pa.array, made)], names=["node", "component", "cell", "band", "most", "free"])
 
 
 def _dealt_again(held: DataFrame) -> DataFrame:
     """(cell, n_cell, node) of the rarest cells of each set, by exact counts over all sets of ``held``.
 
-    Cells of one set alone come first in the order and bring nobody together, so a set that has more of them than it may
-    differ in is done. ``n_cell`` is the count.
+    ``held``: (node, component, shingles). Cells that sets of one component alone have come first in the order, as no
+    sets of different ones share them, and bring nobody together. So a set that has more of them than it may differ in
+    is done. ``n_cell`` is the count.
     """
-    cells = cut(held.mapInArrow(_all_cells, "node long, cell long, band int, most int, free boolean"))
-    counts = cells.groupBy("cell").count().where("count > 1")
-    counted = cells.join(counts, "cell", "left").groupBy("node", "band", "most").agg(F.array_sort(F.collect_list(F.struct("free", F.coalesce("count", F.lit(1)).alias("n_cell"), "cell"))).alias("order"))
-    first = counted.select("node", F.explode(F.slice("order", F.lit(1), F.col("most"))).alias("c")).where("c.n_cell > 1")
+    cells = cut(held.mapInArrow(_all_cells, "node long, component long, cell long, band byte, most int, free boolean"))
+    counts = cells.groupBy("cell").agg(F.count("*").alias("n_cell"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    counted = cells.join(counts.select("cell", "n_cell"), "cell", "left")
+    # cells that come first need not be told apart
+    ordered = counted.groupBy("node", "band", "most").agg(
+        F.count_if(F.col("n_cell").isNull()).cast("int").alias("alone"),
+        F.array_sort(F.collect_list(F.when(F.col("n_cell").isNotNull(), F.struct("free", "n_cell", "cell")))).alias("order"),
+    )
+    first = ordered.where("most > alone").select("node", F.explode(F.slice("order", F.lit(1), F.col("most") - F.col("alone"))).alias("c"))
     return cut(first.select("c.cell", "c.n_cell", "node"), replaces=cells)
 
 
@@ -409,20 +422,18 @@ def _between_components(dealt: DataFrame, known: DataFrame, most: int) -> DataFr
     return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = b.column(1).to_pylist()
-        sketches = [parity_bits(np.frombuffer(x, np.uint64)) for x in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
-
-
-def _join_left_over(met: DataFrame, labels: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
+def _join_left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
     """``labels`` with the links inside the large groups of ``met``."""
-    nodes = cut(_open_nodes(met, labels))
-    if nodes.isEmpty():
+    groups = cut(_open_groups(met, labels))
+    if groups.isEmpty():
         return labels
-    held = cut(_sets(nodes, owners, docs), replaces=nodes)
-    dealt, sized = _dealt_again(held), cut(held.mapInArrow(_sized, "node long, n long, sketch binary"))
+    sized = cut(nodes.join(groups.select("node").distinct(), "node", "left_semi"))
+    dealt = groups.where(F.col("n_cell") <= BLOCK).select("cell", "n_cell", "node")
+    crowd = cut(groups.where(F.col("n_cell") > BLOCK).select("node", "component").distinct())
+    if not crowd.isEmpty():
+        held = cut(_sets(crowd, owners, docs).join(crowd, "node").select("node", "component", "shingles"))
+        dealt = dealt.unionByName(_dealt_again(held))
+        release(held)
     refuted = None
     for most in (1, 1 << 30):  # the nearest ones join most components, after which few pairs are left
         known = sized.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "sketch")
@@ -431,7 +442,7 @@ def _join_left_over(met: DataFrame, labels: DataFrame, owners: DataFrame, docs:
         pairs = found.where("a IS NOT NULL")
         if refuted is not None:
             pairs = pairs.join(refuted, ["a", "b"], "left_anti")
-        links = cut(_alike(pairs, held).select("ca", "cb"))
+        links = cut(_verified(pairs, owners, docs).select("ca", "cb"))
         if not links.isEmpty():
             stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = connected_components(stars.unionByName(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
@@ -451,9 +462,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("row")
     owners = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(earliest).select("node", "row.doc_id", "row.mark"))
     near = cut(_near(met.select("a", "b").distinct(), nodes))
-    held = cut(_sets(near.select(F.explode(F.array("a", "b")).alias("node")), owners, docs))
-    links = cut(_alike(near, held), replaces=held)
-    labels = _join_left_over(met, connected_components(links), owners, docs)
+    links = cut(_verified(near, owners, docs))
+    labels = _join_left_over(met, connected_components(links), nodes, owners, docs)
     named = owners.join(labels, "node", "left").select("node", "doc_id", "mark", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(earliest).select("component", F.col("row.doc_id").alias("component_id"), F.col("row.mark").alias("first"))
     by_node = named.join(least, "component").select("node", "component_id", "first")

@@ -41,13 +41,28 @@ def planted():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_components_of_near_duplicates(spark, planted, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block"), [(8, 256), (2, 256), (2, 7)])
+def test_components_of_near_duplicates(spark, planted, monkeypatch, small, block):
     monkeypatch.setattr(parity_join, "SMALL", small)
+    monkeypatch.setattr(parity_join, "BLOCK", block)
     got = parity_join.near_duplicates(odd(spark, planted).withColumn("node", F.lit("clash"))).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(planted)
 
 
+def test_large_group_of_near_copies(spark):
+    """5,000 copies of one text with a word changed in each, and as many texts that only share its first half."""
+    rng = random.Random(12)
+    words = text(rng, 120).split()
+    docs = []
+    for k in range(5000):
+        own = list(words)
+        own[rng.randrange(120)] = f"only{k}"
+        docs.append((k, " ".join(own)))
+    docs += [(10_000 + k, " ".join(words[:60]) + " " + " ".join(f"other{k}x{i}" for i in range(60))) for k in range(5000)]
+    got = parity_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    assert got.where("component_id <> case when doc_id < 10000 then 0 else doc_id end").count() == 0 and got.count() == 10_000
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = parity_join.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD)
