@@ -142,9 +142,41 @@ def segments_intersect(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def circle(lon: Column, lat: Column, radius_ft: float, points: int = 100) -> Column:
-    """Vertices at a radius in both degrees of longitude and latitude, as for the equator."""
-    r = F.degrees(F.lit(radius_ft / AREA_RADIUS_FT))
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: point(lon + r * F.cos(2 * pi * i / points), lat + r * F.sin(2 * pi * i / points)))
+    """A closed ring of ``points`` vertices, first and last alike, at a radius in degrees of both axes; from the north on."""
+    r, step = F.degrees(F.lit(radius_ft / AREA_RADIUS_FT)), 2 * pi / (points - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: point(lon + r * F.sin(step * i), lat + r * F.cos(step * i)))
+
+
+def padded_bbox(ring: Column, share: float = 0.1) -> Column:
+    """The ring's box with a share of its own width and height added on each side."""
+    b = ring_bbox(ring)
+    w, h = b["max_lon"] - b["min_lon"], b["max_lat"] - b["min_lat"]
+    return F.struct((b["min_lon"] - share * w).alias("min_lon"), (b["min_lat"] - share * h).alias("min_lat"), (b["max_lon"] + share * w).alias("max_lon"), (b["max_lat"] + share * h).alias("max_lat"))
+
+
+def tile_range(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column, zoom: int) -> Column:
+    """Array of (x, y): all tiles that a box meets."""
+    xs, ys = F.sequence(tile_x(min_lon, zoom), tile_x(max_lon, zoom)), F.sequence(tile_y(max_lat, zoom), tile_y(min_lat, zoom))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def best_zoom(longest_ft: Column) -> Column:
+    """The zoom at which 640 pixels hold a length, rounded up only from nine tenths on."""
+    exact = F.log2(F.lit(40075 * 3280.84) / (longest_ft * 256 / 640))
+    return F.when(exact - F.floor(exact) < 0.9, F.floor(exact)).otherwise(F.round(exact)).cast("long")
+
+
+def three_point_angle(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Degrees from ray ba to ray bc, against the clock, at least 0."""
+    angle = F.degrees(F.atan2(cy - by, cx - bx) - F.atan2(ay - by, ax - bx))
+    return F.when(angle < 0, angle + 360).otherwise(angle)
+
+
+def angle_from_heading(x: Column, y: Column, heading: Column) -> Column:
+    """The clockwise angle of a point as seen from the origin along a heading, negative to its left."""
+    zero = F.lit(0.0)
+    angle = 360 - three_point_angle(F.sin(F.radians(heading)), F.cos(F.radians(heading)), zero, zero, x, y)
+    return F.when(angle <= 180, angle).otherwise(angle - 360)
 
 
 def buffered_bbox(ring: Column, meters: float) -> Column:

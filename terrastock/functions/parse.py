@@ -64,6 +64,39 @@ def file_size_bytes(s: Column) -> Column:
     return number * F.when(unit == "GB", 1e9).when(unit == "MB", 1e6).when(unit == "KB", 1e3).otherwise(1.0)
 
 
+def lanes_each(total: Column, roads: Column) -> Column:
+    """Lanes of each of several roads that share a total; a half goes to the even number."""
+    return F.bround(total.try_cast("int") / roads).cast("long")
+
+
+def plural(count: Column, noun: str) -> Column:
+    return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count == 1, "").otherwise("s"))
+
+
+def image_name(prefix: str, lat: Column, lon: Column, places: int = 8) -> Column:
+    return F.format_string(f"{prefix}_%.{places}f_%.{places}f.png", lat, lon)
+
+
+def url_safe_base64(s: Column) -> Column:
+    """The bytes of base64 text in the alphabet for addresses, with its padding left out or not."""
+    bare = F.translate(F.rtrim(F.replace(s, F.lit("="), F.lit(" "))), "-_", "+/")
+    return F.try_to_binary(F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
+
+
+def parse_multilinestring(s: Column) -> Column:
+    """Lines of (lon, lat) of a WKT MultiLineString or LineString."""
+    number = lambda pair, i: F.element_at(F.split(F.trim(pair), r"\s+"), i).try_cast("double")
+    line = lambda part: F.transform(F.split(part, ","), lambda p: F.struct(number(p, 1).alias("lon"), number(p, 2).alias("lat")))
+    return F.transform(F.regexp_extract_all(s, F.lit(r"\(([^()]+)\)"), F.lit(1)), line)
+
+
+def soft_labels(year: Column, classes: tuple[int, ...] = ERA_YEARS, width: float = 10.0) -> Column:
+    """Gaussian weights of each class by its distance from a year, adding up to 1."""
+    raw = F.array(*(F.exp(-F.pow((year - c) / width, F.lit(2.0)) / 2) for c in classes))
+    total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(raw, lambda v: v / total)
+
+
 def bridge_class(kind: Column, design: Column) -> Column:
     return kind.try_cast("int") * 100 + design.try_cast("int")
 

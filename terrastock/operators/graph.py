@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastock.functions import geo
+from terrastock.operators.shared import use_shared_folder
 
 
 def node_key(p: Column) -> Column:
@@ -91,11 +92,7 @@ def contract_degree2(edges: DataFrame) -> DataFrame:
     inner = ends.groupBy("node").agg(F.count("*").alias("d"), F.min("e").alias("e1"), F.max("e").alias("e2")).where("d = 2")
     both = inner.select(F.col("e1").alias("e"), F.col("e2").alias("o")).unionByName(inner.select(F.col("e2").alias("e"), F.col("e1").alias("o")))
     label = named.select("e", F.col("e").alias("chain"))
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    use_shared_folder(edges.sparkSession)
     both, label = both.checkpoint(), label.checkpoint()
     while True:
         heard = both.join(label.withColumnRenamed("e", "o"), "o").groupBy("e").agg(F.min("chain").alias("near"))

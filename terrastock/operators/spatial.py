@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastock.functions import geo
+from terrastock.operators.shared import use_shared_folder
 
 
 def _cell(x: Column, cell: float) -> Column:
@@ -80,21 +81,24 @@ def knn_prefer_inside(rings: DataFrame, points: DataFrame, key: str, point_key:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    use_shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float = 0.05, ring: str = "ring") -> DataFrame:
-    """``knn_prefer_inside`` without a limit of distance. ``reach`` is where the search begins; it is doubled for the
-    rings that have fewer than ``k`` points so near, until it spans all. ``key`` must not be null."""
+def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float | None = None, ring: str = "ring") -> DataFrame:
+    """``knn_prefer_inside`` without a limit of distance. ``reach`` is where the search begins, if not given where about
+    ``2 * k`` evenly spread points would lie; it is doubled for the rings that have fewer than ``k`` points so near, until
+    it spans all. Only keys and first vertices meet the points; rings come back for the best ``k``. ``key`` must not be
+    null."""
     first = F.col(ring)[0]
-    todo = rings.select(key, ring, first["lon"].alias("__x"), first["lat"].alias("__y"))
+    whole = rings.select(key, ring)
+    todo = rings.select(key, first["lon"].alias("__x"), first["lat"].alias("__y"))
     places = todo.select(F.col("__x").alias("x"), F.col("__y").alias("y")).unionByName(points.select(F.col("lon").alias("x"), F.col("lat").alias("y")))
-    span = places.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    box = places.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    span = max(box["w"] or 0.0, box["h"] or 0.0)
+    if reach is None:
+        share = 2 * k / max(1, points.count())
+        reach = max((share * (box["w"] or 0.0) * (box["h"] or 0.0) / 3.14) ** 0.5, span / 2**20, 1e-9)
     d2 = (F.col("lon") - F.col("__x")) * (F.col("lon") - F.col("__x")) + (F.col("lat") - F.col("__y")) * (F.col("lat") - F.col("__y"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__d2", point_key))
     inside = geo.point_in_ring(F.col("lon"), F.col("lat"), F.col(ring))
@@ -104,7 +108,8 @@ def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_k
         spread = with_cells(todo, reach, F.col("__x") - reach, F.col("__y") - reach, F.col("__x") + reach, F.col("__y") + reach)
         near = spread.join(with_cell(points, reach), ["__cx", "__cy"]).withColumn("__d2", d2)
         near = near if last else near.where(F.col("__d2") <= reach * reach)
-        ranked = near.withColumn("__rank", rank).where(F.col("__rank") <= k).withColumn("inside", inside)
+        ranked = near.select(key, point_key, "lon", "lat", "__d2").withColumn("__rank", rank).where(F.col("__rank") <= k)
+        ranked = ranked.join(whole, key).withColumn("inside", inside).drop(ring)
         best = ranked.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(point_key, "inside"), F.struct(~F.col("inside"), F.col("__rank"))).alias("v"))
         found = _cut(best if last else best.where(F.col("n") >= k))
         out = found if out is None else out.unionByName(found)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,8 @@ def inventory_columns(df: DataFrame) -> DataFrame:
     front = [c for c in ("id", "Latitude", "Longitude", "PlanArea") if c in named.columns]
     images = {"satellite_images", "street_images", "ring"}
     rest = [c for c in named.columns if c not in front and c not in images]
-    foot = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":{"type":"Polygon","coordinates":['), ring_json(F.col("ring")), F.lit("]}}"))
+    # fixed values: order and signs of a footprint's text
+    foot = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":['), ring_json(F.col("ring")), F.lit(']},"properties":{}}'))
     return named.select(*front, *rest, foot.alias("Footprint"))
 
 
@@ -29,10 +34,33 @@ def write_csv(df: DataFrame, path: str) -> None:
 def features(df: DataFrame, geometry: Column, kind: str) -> DataFrame:
     """(value): one GeoJSON feature for each row, a line of text each, so that writing needs no single task."""
     held = [c for c in df.columns if c != "ring"]
-    text = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("{}"))
-    value = lambda c: F.coalesce(F.get_json_object(text(c), "$.v"), F.lit("NA"))
-    properties = F.to_json(F.create_map(*(x for c in held for x in (F.lit(c), value(c)))))
-    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(f',"geometry":{{"type":"{kind}","coordinates":'), geometry, F.lit("}}")).alias("value"))
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+    known = F.concat_ws(",", *(F.concat(F.to_json(F.array(F.lit(c))).substr(F.lit(2), F.char_length(F.to_json(F.array(F.lit(c)))) - 2), F.lit(":"), F.when(F.col(c).isNull(), F.lit('"NA"')).otherwise(value(c))) for c in held))
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":{'), known, F.lit(f'}},"geometry":{{"type":"{kind}","coordinates":'), geometry, F.lit("}}")).alias("value"))
+
+
+def collection_header(units: str = "ft") -> str:
+    """The metadata of a collection of features, as a JSON object without them."""
+    # fixed values: names of the coordinate system and of its fields
+    return json.dumps({"type": "FeatureCollection", "generated": datetime.now().isoformat(" "), "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}, "units": {"length": units}})
+
+
+def write_inventory(df: DataFrame, path: str, units: str = "ft") -> str:
+    """Write an inventory as CSV or GeoJSON by the path's extension, any other being replaced by geojson; gives the path.
+
+    GeoJSON is a folder: features in parts, a line each, and the collection's metadata in ``header``.
+    """
+    stem, _, extension = path.rpartition(".")
+    if extension.lower() == "csv":
+        write_csv(df, path)
+        return path
+    if extension.lower() != "geojson":
+        warnings.warn("output format unknown, writing geojson", stacklevel=2)
+        path = f"{stem or path}.geojson"
+    spark = df.sparkSession
+    write_features(df, f"{path}/features")
+    spark.createDataFrame([(collection_header(units),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    return path
 
 
 def write_features(df: DataFrame, path: str) -> None:
