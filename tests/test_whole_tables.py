@@ -21,7 +21,7 @@ def without(name, *cuts):
     return sql
 
 
-CROSSINGS = without("line_intersections", (" WHERE l_orderkey % 20 = 0", ""))
+CROSSINGS = ORACLE["line_intersections"]
 
 
 def test_all_intersections(spark):
@@ -123,8 +123,7 @@ def test_similarity_of_odd_names(spark):
 
 
 def test_nearest_without_a_window(spark):
-    sql = without("knn_contains_preference", ("ON abs(lon - x0) <= cast(0.05 as double) AND abs(lat - y0) <= cast(0.05 as double)", "ON true"))
-    same(spark, QUERIES["knn_contains_preference_all"], sql)
+    same(spark, QUERIES["knn_contains_preference_all"], ORACLE["knn_contains_preference"])
 
 
 def test_nearest_of_isolated_rings(spark):
