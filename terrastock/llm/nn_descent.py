@@ -155,6 +155,7 @@ def _first_graph(points: DataFrame, n: int) -> DataFrame:
     """Edges inside the leaves of ``TREES`` trees."""
     splits = max(LEAST_SPLITS, (-(-n // LEAF) - 1).bit_length())
     _, drawn = _drawn(points, n, DRAWN)
+    drawn = drawn if len(drawn) else np.zeros((1, 1), np.float32)  # an empty table
     rng = np.random.default_rng(0)
     planes = [drawn[rng.integers(0, len(drawn), splits)] - drawn[rng.integers(0, len(drawn), splits)] for _ in range(TREES)]
 

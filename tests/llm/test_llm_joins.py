@@ -99,9 +99,9 @@ def nearest_by_force(rows, k=20):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 100])
-def test_neighbours(spark, monkeypatch, block):
-    monkeypatch.setattr(nn_descent, "BLOCK", block)
+@pytest.mark.parametrize("leaf", [1024, 30])
+def test_neighbours(spark, monkeypatch, leaf):
+    monkeypatch.setattr(nn_descent, "LEAF", leaf)
     table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     bad = spark.createDataFrame([(1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [None] * 64), (1080, [1.0]), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
     found = nn_descent.nearest(table.unionByName(bad).withColumn("id", F.lit("x")), F.col("vec_id") % 20 == 0).collect()
@@ -114,6 +114,18 @@ def test_neighbours(spark, monkeypatch, block):
     assert sum(len(want[q] & {i for i, _ in v}) for q, v in got.items()) >= 0.9 * 20 * len(want)
 
 
+def test_recall_over_many_vectors(spark):
+    """20,000 vectors, in many leaves, of which 1,000 are queries."""
+    x = np.random.default_rng(2).normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.tolist()))
+    found = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), F.col("vec_id") % 20 == 0).collect()
+    want, hits = nearest_by_force(rows), 0
+    for r in found:
+        hits += r["vec_id"] in want[r["query_id"]]
+    assert len(found) == 20_000 and hits >= 0.9 * 20_000
+
+
 def test_few_neighbours(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nn_descent.nearest(table, F.col("vec_id") % 20 == 0).collect())
