@@ -213,3 +213,33 @@ def split_line(start: Column, end: Column, parts: Column, part: Column) -> Colum
     """The ``part``-th (from 0) of equal parts of a segment."""
     at = lambda f: point(start["lon"] + (end["lon"] - start["lon"]) * f, start["lat"] + (end["lat"] - start["lat"]) * f)
     return F.array(at(part / parts), at((part + 1) / parts))
+
+
+def clip_segment(a: Column, b: Column, min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """The part (a, b) of a segment inside a box, null where it stays outside: the parameter's range is cut at each side."""
+    dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+    low, high, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for p, d, lo, hi in ((a["lon"], dx, min_lon, max_lon), (a["lat"], dy, min_lat, max_lat)):
+        s, t = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
+        low.append(F.least(s, t))
+        high.append(F.greatest(s, t))
+        inside = inside & ((d != 0) | p.between(lo, hi))
+    t0, t1 = F.greatest(*low), F.least(*high)
+    at = lambda t: point(a["lon"] + t * dx, a["lat"] + t * dy)
+    return F.when(inside & (t0 <= t1), F.struct(at(t0).alias("a"), at(t1).alias("b")))
+
+
+def rings_intersect(r: Column, s: Column) -> Column:
+    """Whether two closed rings share a point: edges that meet, or one ring inside the other."""
+    meet = F.exists(segments(r), lambda e: F.exists(segments(s), lambda f: segments_intersect(e["a"], e["b"], f["a"], f["b"])))
+    return meet | point_in_ring(r[0]["lon"], r[0]["lat"], s) | point_in_ring(s[0]["lon"], s[0]["lat"], r)
+
+
+def field_of_view(width: Column, distance: Column) -> Column:
+    """Degrees that show a width at a distance, rounded up to tens, at most 120."""
+    return F.least(F.ceil(2 * F.degrees(F.atan2(width / 2, distance)) / 10) * 10, F.lit(120)).cast("long")
+
+
+def roof_pitch(eave: Column, ridge: Column, run: Column) -> Column:
+    """Rise of a roof over its run, to two places; null without a run."""
+    return F.round((ridge - eave) / F.nullif(run, F.lit(0.0)), 2)

@@ -125,3 +125,53 @@ def cosine_rate(rate: float, t: Column, n: int) -> Column:
     from math import pi
 
     return F.lit(0.5 * rate) * (F.cos(pi * (t % n) / n) + 1)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def softmax(scores: Column) -> Column:
+    """Shares of an array of scores, taken from the largest for precision."""
+    raw = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
+    return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, w: a + w))
+
+
+def rgb_parts(code: Column) -> Column:
+    """The inverse of ``rgb_class``."""
+    return F.struct((code % 256).alias("r"), (F.floor(code / 256) % 256).alias("g"), F.floor(code / 65536).alias("b"))
+
+
+def focal_loss(p: Column, positive: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """Loss of a probability, by how far it is from the class it should give."""
+    sure = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    right = F.when(positive, sure).otherwise(1 - sure)
+    return -F.when(positive, alpha).otherwise(1 - alpha) * F.pow(1 - right, F.lit(gamma)) * F.log(right)
+
+
+# fixed values: names and codes of states
+STATES = {
+    "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR", "California": "CA", "Colorado": "CO", "Connecticut": "CT", "Delaware": "DE",
+    "District of Columbia": "DC", "Florida": "FL", "Georgia": "GA", "Hawaii": "HI", "Idaho": "ID", "Illinois": "IL", "Indiana": "IN", "Iowa": "IA",
+    "Kansas": "KS", "Kentucky": "KY", "Louisiana": "LA", "Maine": "ME", "Maryland": "MD", "Massachusetts": "MA", "Michigan": "MI", "Minnesota": "MN",
+    "Mississippi": "MS", "Missouri": "MO", "Montana": "MT", "Nebraska": "NE", "Nevada": "NV", "New Hampshire": "NH", "New Jersey": "NJ", "New Mexico": "NM",
+    "New York": "NY", "North Carolina": "NC", "North Dakota": "ND", "Ohio": "OH", "Oklahoma": "OK", "Oregon": "OR", "Pennsylvania": "PA", "Rhode Island": "RI",
+    "South Carolina": "SC", "South Dakota": "SD", "Tennessee": "TN", "Texas": "TX", "Utah": "UT", "Vermont": "VT", "Virginia": "VA", "Washington": "WA",
+    "West Virginia": "WV", "Wisconsin": "WI", "Wyoming": "WY",
+}
+
+
+def state_of_place(display_name: Column) -> Column:
+    """The code of the state in a place's display name: the last part but one, or the one before it if that is a zip code."""
+    part = lambda i: F.trim(F.try_element_at(F.split(display_name, ","), F.lit(i)))
+    return F.coalesce(lookup(STATES, part(-2)), lookup(STATES, part(-3)))
+
+
+def page_title(html: Column) -> Column:
+    """The text of a page's title, blanks trimmed; empty without one."""
+    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def labelled_number(html: Column, label: str) -> Column:
+    """The whole number in the table cell after the cell of a label."""
+    return F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*{label}\s*</t[dh]>\s*<td[^>]*>\s*([0-9]+)", 1).try_cast("int")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Predictor(Protocol):
@@ -94,40 +95,69 @@ def overlapping_boxes(boxes: DataFrame, share: float = 0.75) -> DataFrame:
     return p.join(q, "image").where(F.col("box_id") != F.col("other_id")).where(overlap_area("p_", "q_") > share * box_area("p_")).select("image", "box_id", "other_id")
 
 
-def floor_counts(boxes: DataFrame, width: float, height: float) -> DataFrame:
-    """(image, floors): the largest stack of boxes above each other; see ``_floors`` for one image."""
+def floor_counts(boxes: DataFrame, height: float) -> DataFrame:
+    """(image, floors): floors shown by the boxes of each image, ``height`` high; see ``_floors`` for one image."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows[["x1", "y1", "x2", "y2", "score"]].to_numpy()
-        found = [(rows["image"].iat[a], _floors(table[a:b], width)) for a, b in _groups(rows, ["image"])]
+        table = rows[["x1", "y1", "x2", "y2", "score"]].to_numpy(float)
+        found = [(rows["image"].iat[a], _floors(table[a:b], height)) for a, b in _groups(rows, ["image"])]
         return pd.DataFrame(found, columns=["image", "floors"])
 
-    return _whole_groups(boxes, ["image"], [F.col("box_id")], count, "image long, floors long")
-
-
-def _share(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    return max(w, 0) * max(h, 0) / max((a[2] - a[0]) * (a[3] - a[1]), 1e-9)
-
-
-def _floors(rows: np.ndarray, width: float) -> int:
-    """Of rows (x1, y1, x2, y2, score): adapt the threshold, drop nested boxes, stack boxes whose widened columns overlap, take the most central stacks."""
-    at = lambda percent: [tuple(r) for r in rows[rows[:, 4] > percent / 100, :4].tolist()]
-    level, own = 20, at(20)
-    while not own and level > 0:
-        level -= 2
-        own = at(level)
-    if level == 20:  # too many boxes in one another: ask for higher scores while any are left
-        while any(sum(_share(o, b) > 0.75 for o in own if o is not b) > 2 for b in own) and (higher := at(level + 10)):
-            level, own = level + 10, higher
-    if not own:
+    schema = T.StructType([boxes.schema["image"], T.StructField("floors", T.LongType())])
+    return _whole_groups(boxes, ["image"], [F.desc("score"), F.col("box_id")], count, schema)
+
+
+def _shares(b: np.ndarray) -> np.ndarray:
+    """At [p, q] the share of box p that lies in box q; 0 where either has no area."""
+    w = (np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0])).clip(0)
+    h = (np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1])).clip(0)
+    area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((area[:, None] != 0) & (area[None, :] != 0), w * h / area[:, None], 0.0)
+
+
+def _joint_area(b: np.ndarray, left: float, right: float, height: float) -> tuple[float, float]:
+    """The area that boxes cover together, and how much of it lies between two columns of the image."""
+    xs, ys = np.unique(np.r_[b[:, [0, 2]].ravel(), left, right]), np.unique(np.r_[b[:, [1, 3]].ravel(), 0, height])
+    x, y = xs[:-1], ys[:-1]
+    held = ((b[:, 0, None, None] <= x[:, None]) & (x[:, None] < b[:, 2, None, None]) & (b[:, 1, None, None] <= y) & (y < b[:, 3, None, None])).any(0)
+    size = held * np.diff(xs)[:, None] * np.diff(ys)
+    middle = ((x >= left) & (x < right))[:, None] & ((y >= 0) & (y < height))
+    return size.sum(), size[middle].sum()
+
+
+def _floors(rows: np.ndarray, height: float) -> int:
+    """Floors from rows (x1, y1, x2, y2, score), best first; 0 without boxes.
+
+    The threshold starts at 0.2, falls in steps of 0.02 while nothing is found and rises in steps of 0.1 while a box
+    holds over three quarters of more than two others. Of boxes that lie mostly in one, all but the first go. Boxes
+    that are steeply above each other (1.3) make stacks; if these, or the columns over the boxes, are all one, the
+    column counts, else the larger of the two stacks that lie most in the image's middle.
+    """
+    above = lambda t: rows[rows[:, 4] > t, :4]
+    own, step = above(0.2), 1
+    while True:
+        inner = _shares(own) > 0.75
+        crowded = len(own) > 0 and (inner.sum(0) > 3).any()
+        level = 0.2 + 0.1 * step if crowded else 0.2 - 0.02 * step
+        if (len(own) and not crowded) or level > 1 or level < 1e-9:
+            break
+        own, step = above(level), step + 1
+    if not len(own):
         return 0
-    keep = [b for k, b in enumerate(own) if not any(_share(b, o) > 0.75 and (_share(o, b) <= 0.75 or j < k) for j, o in enumerate(own) if j != k)]
-    column = lambda b: (0.9 * b[0], 0.0, 1.1 * b[2], 1.0)
-    stacks = list({frozenset(j for j, o in enumerate(keep) if j == k or _share(column(b), column(o)) > 0.1) for k, b in enumerate(keep)})
-    middle = lambda s: max(0.0, min(max(keep[j][2] for j in s), 0.8 * width) - max(min(keep[j][0] for j in s), 0.2 * width)) / (0.6 * width)
-    central = sorted((s for s in stacks if middle(s) > 0.1), key=lambda s: (-middle(s), min(s)))[:2]
-    return max(map(len, central or [min(stacks, key=min)]))
+    later = np.cumsum(inner, axis=0) > 1
+    own = own[~(inner & later).any(1)]
+    wide = np.column_stack([0.9 * own[:, 0], np.zeros(len(own)), 1.1 * own[:, 2], np.full(len(own), height - 1)])
+    columns = np.unique(_shares(wide).T > 0.1, axis=0)
+    cx, cy = (own[:, 0] + own[:, 2]) / 2, (own[:, 1] + own[:, 3]) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        steep = np.abs(cy[:, None] - cy) / np.abs(cx[:, None] - cx) > 1.3
+    stacks = np.unique(steep | np.eye(len(own), dtype=bool), axis=0)[::-1]
+    if len(columns) == 1 or len(stacks) == 1:
+        return int(columns[-1].sum())
+    shares = np.array([part / whole if whole else 0.0 for whole, part in (_joint_area(own[s], height / 5, 4 * height / 5, height) for s in stacks)])
+    best = [k for k in np.argsort(-shares, kind="stable")[:2] if shares[k] > 0.1]
+    return int(max((stacks[k].sum() for k in best), default=stacks[0].sum()))
 
 
 def best_box(boxes: DataFrame, word: str, pad: float) -> DataFrame:
@@ -144,3 +174,40 @@ def images_with_all(boxes: DataFrame, labels: list[str]) -> DataFrame:
 def top_k(boxes: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("image").orderBy(F.desc("score"), "box_id")
     return boxes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def letter_box(width: Column, height: Column, size: int) -> Column:
+    """(new_w, new_h, pad_w, pad_h) of an image fitted into a square, its longer side whole."""
+    wide = width > height
+    new_w = F.when(wide, size).otherwise(F.floor(size / height * width)).cast("long")
+    new_h = F.when(wide, F.floor(size / width * height)).otherwise(size).cast("long")
+    return F.struct(new_w.alias("new_w"), new_h.alias("new_h"), (size - new_w).alias("pad_w"), (size - new_h).alias("pad_h"))
+
+
+def undo_letter_box(boxes: DataFrame, width: str, height: str, size: int) -> DataFrame:
+    """Boxes in pixels of the fitted image put back into those of the image as it was."""
+    fit = letter_box(F.col(width), F.col(height), size)
+    back = {f"x{k}": F.col(f"x{k}") / (fit["new_w"] / F.col(width)) for k in (1, 2)} | {f"y{k}": F.col(f"y{k}") / (fit["new_h"] / F.col(height)) for k in (1, 2)}
+    return boxes.withColumns(back)
+
+
+def decode_boxes(rows: DataFrame, width: float, height: float) -> DataFrame:
+    """Boxes from anchors (ax1, ay1, ax2, ay2) and offsets (dx, dy, dw, dh) in anchor sizes, clipped to the image."""
+    out = {}
+    for k, side, last in (("x", "w", width), ("y", "h", height)):
+        long = F.col(f"a{k}2") - F.col(f"a{k}1")
+        centre = (F.col(f"a{k}1") + F.col(f"a{k}2")) / 2 + F.col(f"d{k}") * long
+        half = F.exp(f"d{side}") * long / 2
+        out |= {f"{k}1": F.greatest(centre - half, F.lit(0.0)), f"{k}2": F.least(centre + half, F.lit(last - 1.0))}
+    return rows.withColumns(out)
+
+
+def class_over_scales(scores: DataFrame, key: str) -> DataFrame:
+    """(key, label, score): the class whose score, averaged over scales, is largest; ties go to the smaller label."""
+    mean = scores.groupBy(key, "label").agg(F.avg("score").alias("score"))
+    return mean.groupBy(key).agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score"))
+
+
+def in_area_range(annotations: DataFrame, least: float, most: float, crowd: bool = False) -> DataFrame:
+    """Annotations (area, crowd, ...) of an area in a range, of groups or of single things."""
+    return annotations.where(F.col("area").between(least, most) & (F.col("crowd") == crowd))

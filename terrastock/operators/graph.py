@@ -106,6 +106,89 @@ def contract_degree2(edges: DataFrame) -> DataFrame:
     return label.groupBy("chain").agg(F.count("*").alias("edges")).join(outer, "chain", "left").select("chain", "edges", "end_low", "end_high")
 
 
+def orient_edges(edges: DataFrame) -> DataFrame:
+    """(node_start, node_end, line, ...) with the two nodes swapped where the line starts at the node given as its end."""
+    swap = (node_key(F.get("line", F.lit(0))) == F.col("node_end")) & (F.col("node_start") != F.col("node_end"))
+    ends = {"node_start": F.when(swap, F.col("node_end")).otherwise(F.col("node_start")), "node_end": F.when(swap, F.col("node_start")).otherwise(F.col("node_end"))}
+    return edges.withColumns(ends)
+
+
+def _walk(halves: DataFrame) -> DataFrame:
+    """(h, last, steps, low, ring) of (h, next): where following ``next`` ends, after how many steps, the least name on
+    the way, and whether it never ends. Each round every half jumps as far again as it has come."""
+    at = halves.select("h", F.coalesce("next", "h").alias("last"), F.col("next").isNotNull().cast("long").alias("steps"), F.least("h", F.coalesce("next", "h")).alias("low"), F.col("next").isNotNull().alias("ring")).checkpoint()
+    while True:
+        ahead = at.select(F.col("h").alias("last"), F.col("last").alias("l2"), F.col("steps").alias("s2"), F.col("low").alias("w2"), F.col("ring").alias("r2"))
+        low = F.least("low", "w2")
+        changed = (low != F.col("low")) | (F.col("ring") != F.col("r2")) | (~F.col("r2") & (F.col("s2") > 0))
+        met = at.join(ahead, "last").select("h", F.col("l2").alias("last"), (F.col("steps") + F.col("s2")).alias("steps"), low.alias("low"), (F.col("ring") & F.col("r2")).alias("ring"), (F.col("ring") & changed).alias("changed"))
+        after = met.checkpoint()
+        at = after.drop("changed")
+        if after.where("changed").isEmpty():
+            return at
+
+
+def merge_chains(edges: DataFrame) -> DataFrame:
+    """Edges (edge long, node_start, node_end, line) made one line through all nodes that just two edges meet in:
+    (chain, node_start, node_end, line, edges), the chain named by its least edge. Edges from a node to itself stay alone.
+
+    Each edge is two halves, one for each direction, and points to the half that goes on from its end; following the
+    pointers by doubling gives each half its place. Rings are cut at their least half. Only a chain's own edges are
+    gathered, as they make up its line.
+    """
+    use_shared_folder(edges.sparkSession)
+    edges = edges.select("edge", "node_start", "node_end", "line").checkpoint()
+    way = F.array(F.struct((F.col("edge") * 2).alias("h"), F.col("node_start").alias("u"), F.col("node_end").alias("v")), F.struct((F.col("edge") * 2 + 1).alias("h"), F.col("node_end").alias("u"), F.col("node_start").alias("v")))
+    halves = edges.select(F.inline(way))
+    out = halves.groupBy("u").agg(F.count("*").alias("d"), F.min("h").alias("h1"), F.max("h").alias("h2")).where("d = 2 and h1 div 2 <> h2 div 2")
+    onward = out.select(F.inline(F.array(F.struct(F.col("h1").bitwiseXOR(F.lit(1)).alias("h"), F.col("h2").alias("next")), F.struct(F.col("h2").bitwiseXOR(F.lit(1)).alias("h"), F.col("h1").alias("next")))))
+    linked = halves.select("h").join(onward, "h", "left")
+    first = _walk(linked)
+    rings = first.where("ring").select("h", "low")
+    cut = linked.join(rings, "h", "left").select("h", F.when(F.col("next") == F.col("low"), None).when(F.col("next").bitwiseXOR(F.lit(1)) == F.col("h"), None).otherwise(F.col("next")).alias("next"), F.col("low").alias("ring_low"))
+    placed = first.where("not ring").select("h", "last", "steps")
+    if not rings.isEmpty():
+        # of a ring's two directions the one with the lower least half stays
+        whole = cut.where("ring_low is not null")
+        mate = whole.select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), F.col("ring_low").alias("other"))
+        walked = _walk(whole.select("h", "next")).join(whole.join(mate, "h").where("ring_low < other").select("h"), "h", "left_semi")
+        placed = placed.unionByName(walked.select("h", "last", "steps"))
+    mates = placed.select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), F.col("last").alias("back"))
+    chosen = placed.join(mates, "h", "left").where("back is null or last < back").select(F.floor(F.col("h") / 2).alias("edge"), F.col("last"), F.col("steps"), (F.col("h") % 2 == 1).alias("turned"))
+    parts = chosen.join(edges, "edge")
+    line = F.when(F.col("turned"), F.reverse("line")).otherwise(F.col("line"))
+    ends = [F.when(F.col("turned"), F.col(b)).otherwise(F.col(a)).alias(n) for n, a, b in (("u", "node_start", "node_end"), ("v", "node_end", "node_start"))]
+    item = F.struct((-F.col("steps")).alias("place"), *ends, line.alias("line"))
+    joined = parts.groupBy("last").agg(F.min("edge").alias("chain"), F.array_sort(F.collect_list(item)).alias("p"))
+    rest = F.flatten(F.transform("p", lambda x: F.slice(x["line"], F.lit(2), F.size(x["line"]))))
+    return joined.select("chain", F.get("p", F.lit(0))["u"].alias("node_start"), F.element_at("p", -1)["v"].alias("node_end"), F.concat(F.slice(F.get("p", F.lit(0))["line"], 1, 1), rest).alias("line"), F.size("p").alias("edges"))
+
+
+def number_rows(df: DataFrame, key: str, order: list[str], name: str = "id", bucket: int = 4096) -> DataFrame:
+    """``df`` with places from 0 by an integer key and further columns: counts of buckets of keys are added up first,
+    so that each task numbers some buckets only."""
+    held = df.withColumn("__b", F.floor(F.col(key) / bucket))
+    counts = held.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__b").orderBy(key, *order))
+    return held.join(before, "__b").withColumn(name, own - 1 + F.col("__o")).drop("__b", "__o")
+
+
+def split_matched(lines: DataFrame, matches: DataFrame, key: str = "line_id") -> tuple[DataFrame, DataFrame]:
+    """Lines without and with a match."""
+    return lines.join(matches, key, "left_anti"), lines.join(matches, key, "left_semi")
+
+
+def transfer_attributes(matches: DataFrame, assets: DataFrame, point_key: str, line_key: str = "line_id") -> DataFrame:
+    """(line_key, asset id, asset type, lanes, capacity) for each (asset, line): an asset's lanes are shared by its lines."""
+    from terrastock.functions import parse
+
+    per = matches.groupBy(point_key).agg(F.count("*").alias("__n"))
+    got = matches.join(per, point_key).join(assets, point_key)
+    lanes = parse.lanes_each(F.col("lanes"), F.col("__n"))
+    return got.select(line_key, point_key, "asset_type", lanes.alias("lanes"), (lanes * parse.LANE_CAPACITY).alias("capacity"))
+
+
 def _terms(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
 

@@ -95,3 +95,22 @@ def islands(df: DataFrame, key: str, order: list[str], x: str, y: str, gap: floa
     broken = F.when(F.abs(F.col(y) - F.lag(y).over(w)) < gap, 0).otherwise(1)
     marked = df.withColumn("__new", broken).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "island").agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def macro_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """One row: precision, recall and F1, each averaged over classes; a class never predicted has precision 0."""
+    per = per_class_scores(df, label, prediction)
+    zero = F.lit(0.0)
+    return per.agg(F.avg(F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero)).alias("precision"), F.avg(F.coalesce("recall", zero)).alias("recall"), F.avg("f1").alias("f1"))
+
+
+def pixel_accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """One row: the share of rows predicted rightly and the mean of the classes' shares of overlap; labels below 0 are ignored."""
+    valid = df.where(F.col(label) >= 0)
+    return valid.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy")).crossJoin(iou_by_class(valid, label, prediction).agg(F.avg("iou").alias("mean_iou")))
+
+
+def running_mean(df: DataFrame, key: str, order: list[str], value: str, weight: str) -> DataFrame:
+    """``df`` with ``mean``: of all rows of the key so far, weighted."""
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("mean", F.sum(F.col(value) * F.col(weight)).over(so_far) / F.nullif(F.sum(weight).over(so_far), F.lit(0)))

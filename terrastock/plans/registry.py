@@ -330,24 +330,21 @@ def name_match_tfidf(s, d):
 _TERMS = "regexp_extract_all(lower({}), '\\w\\w+')"
 
 
-@query(f"""WITH b AS (SELECT s_suppkey, p_name AS a FROM supplier JOIN part ON p_partkey = s_suppkey), q AS (SELECT s_suppkey, p_partkey, {_TERMS.format('a')} AS x, {_TERMS.format('p_name')} AS y FROM b JOIN part ON p_partkey % 10 = s_suppkey % 10 AND p_partkey <= 500),
+@query(f"""WITH b AS (SELECT s_suppkey, p_name AS a FROM supplier JOIN part ON p_partkey = s_suppkey), q AS (SELECT s_suppkey, p_partkey, {_TERMS.format('a')} AS x, {_TERMS.format('p_name')} AS y FROM b CROSS JOIN part),
 n AS (SELECT s_suppkey, p_partkey, list_sum(list_transform(list_intersect(x, y), lambda t: (len(list_filter(x, lambda z: z = t)) * len(list_filter(y, lambda z: z = t)))::double)) AS dot,
 sqrt(list_sum(list_transform(list_distinct(x), lambda t: pow(len(list_filter(x, lambda z: z = t)) * CASE WHEN list_contains(y, t) THEN 1 ELSE 1 + ln({D(1.5)}) END, 2)))) AS nx, sqrt(list_sum(list_transform(list_distinct(y), lambda t: pow(len(list_filter(y, lambda z: z = t)) * CASE WHEN list_contains(x, t) THEN 1 ELSE 1 + ln({D(1.5)}) END, 2)))) AS ny FROM q)
-SELECT s_suppkey, p_partkey, round(coalesce(dot / (nx * ny), 0), 6) AS score FROM n""")
+SELECT s_suppkey, p_partkey, round(dot / (nx * ny), 6) AS score FROM n WHERE dot > 0""")
 def tfidf_similarity(s, d):
-    """X6."""
+    """X6 of all suppliers and parts that share a term; any other pair scores 0."""
     part = views.table(s, d, "part")
-    b = views.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.col("p_name").alias("a"), (F.col("s_suppkey") % 10).alias("k"))
-    other = part.where("p_partkey <= 500").select("p_partkey", "p_name", (F.col("p_partkey") % 10).alias("k"))
-    return b.join(other, "k").select("s_suppkey", "p_partkey", F.round(graph.tfidf_cosine(F.col("a"), F.col("p_name")), 6).alias("score"))
+    b = views.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.col("p_name").alias("a"))
+    return graph.tfidf_pairs(b, part.select("p_partkey", "p_name"), "a", "p_name").select("s_suppkey", "p_partkey", F.round("score", 6).alias("score"))
 
 
 @query()
 def tfidf_similarity_all(s, d):
-    """X6 of all suppliers and parts that share a term; the query above is kept, with its filters, for its SQL."""
-    part = views.table(s, d, "part")
-    b = views.table(s, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.col("p_name").alias("a"))
-    return graph.tfidf_pairs(b, part.select("p_partkey", "p_name"), "a", "p_name").select("s_suppkey", "p_partkey", F.round("score", 6).alias("score"))
+    """The query above, without SQL."""
+    return tfidf_similarity(s, d)
 
 
 @query("SELECT c_custkey AS k, c_acctbal AS v, 'P' AS layer FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'S' FROM supplier UNION ALL SELECT p_partkey, NULL, 'L' FROM part")
@@ -423,7 +420,7 @@ def nms_boxes(s, d):
 @query()
 def floor_count(s, d):
     """V4, F36."""
-    return detection.floor_counts(views.boxes(s, d), 550, 550)
+    return detection.floor_counts(views.boxes(s, d), 550)
 
 
 @query(f"WITH {_BOXES}, u AS (SELECT DISTINCT * FROM boxes) SELECT DISTINCT p.image, p.box_id, q.box_id AS other_id FROM u p JOIN u q ON p.image = q.image AND p.box_id <> q.box_id WHERE greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0) > 0.1 * (p.x2 - p.x1) * (p.y2 - p.y1)")
@@ -517,4 +514,4 @@ def era_and_codes(s, d):
     return views.table(s, d, "part").select("p_partkey", parse.era_year(z % 6).alias("yr"), parse.rgb_class(z, z % 7, z % 5).cast("long").alias("rgb"), parse.round_up(z, 8).cast("long").alias("padded"))
 
 
-from terrastock.plans import registry_more  # noqa: E402, F401  further queries register themselves
+from terrastock.plans import registry_more, registry_rest  # noqa: E402, F401  further queries register themselves

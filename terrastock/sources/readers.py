@@ -112,3 +112,37 @@ def labelled_images(spark: SparkSession, path: str) -> DataFrame:
 def new_rows(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't cached yet."""
     return rows.join(cache.select(key), key, "left_anti")
+
+
+def in_box(rows: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Rows inside a box; on stored columns the four bounds reach the scan."""
+    return rows.where((F.col(lon) >= min_lon) & (F.col(lon) <= max_lon) & (F.col(lat) >= min_lat) & (F.col(lat) <= max_lat))
+
+
+def read_boxed(spark: SparkSession, path: str, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> DataFrame:
+    """Footprints stored with their boxes (min_lon, min_lat, max_lon, max_lat) that meet a box; the scan skips by the boxes' ranges."""
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("min_lon") <= max_lon) & (F.col("max_lon") >= min_lon) & (F.col("min_lat") <= max_lat) & (F.col("max_lat") >= min_lat))
+
+
+def read_tall_buildings(spark: SparkSession, path: str) -> DataFrame:
+    """Reference table of tall buildings; lines that don't fit the schema are dropped."""
+    return spark.read.schema("latitude double, longitude double, floors int, height double, year int").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+
+
+def read_download_list(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("BldgUniqueID string, CentroidX double, CentroidY double, StructureUse string").option("header", True).csv(path)
+
+
+def chunk_of(key: Column, chunks: int) -> Column:
+    """A chunk from 0 that depends on the key only."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 7), 16, 10).cast("long") % chunks
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(part, line, properties) of LineString and MultiLineString features, each part a row of its own."""
+    rows = read_features(spark, path)
+    flat = F.from_json("coordinates", "array<array<double>>")
+    parts = F.when(F.col("geometry_type") == "MultiLineString", F.from_json("coordinates", "array<array<array<double>>>")).when(F.col("geometry_type") == "LineString", F.array(flat))
+    each = rows.select("properties", F.posexplode(parts).alias("part", "c"))
+    return each.select("part", F.transform("c", lambda p: geo.point(p[0], p[1])).alias("line"), "properties")

@@ -31,9 +31,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     inventory_columns(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def features(df: DataFrame, geometry: Column, kind: str) -> DataFrame:
+def point_json(lon: str, lat: str) -> Column:
+    return F.format_string("[%.7f,%.7f]", lon, lat)
+
+
+def line_json(line: str) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(line, lambda p: F.format_string("[%.7f,%.7f]", p["lon"], p["lat"])), ","), F.lit("]"))
+
+
+def features(df: DataFrame, geometry: Column, kind: str, properties: list[str] | None = None) -> DataFrame:
     """(value): one GeoJSON feature for each row, a line of text each, so that writing needs no single task."""
-    held = [c for c in df.columns if c != "ring"]
+    held = properties or [c for c in df.columns if c != "ring"]
     value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":(.*)\}$", 1)
     known = F.concat_ws(",", *(F.concat(F.to_json(F.array(F.lit(c))).substr(F.lit(2), F.char_length(F.to_json(F.array(F.lit(c)))) - 2), F.lit(":"), F.when(F.col(c).isNull(), F.lit('"NA"')).otherwise(value(c))) for c in held))
     return df.select(F.concat(F.lit('{"type":"Feature","properties":{'), known, F.lit(f'}},"geometry":{{"type":"{kind}","coordinates":'), geometry, F.lit("}}")).alias("value"))
@@ -70,3 +78,15 @@ def write_features(df: DataFrame, path: str) -> None:
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
     edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+
+
+def write_lines(df: DataFrame, path: str, properties: list[str], line: str = "line") -> None:
+    features(df, line_json(line), "LineString", properties).write.mode("overwrite").text(path)
+
+
+def write_points(df: DataFrame, path: str, properties: list[str]) -> None:
+    features(df, point_json("lon", "lat"), "Point", properties).write.mode("overwrite").text(path)
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    df.select("image", "prediction", "probability").write.mode("overwrite").option("header", True).csv(path)
