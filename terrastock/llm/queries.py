@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrastock.llm import chat_events, lang_mixture, line_dedup, mil_quality, nn_descent, parity_join, pii, scaled_sketch, sp_codec, window_packing
+from terrastock.llm import chat_events, lang_mixture, line_dedup, mil_quality, nn_descent, parity_join, pii, scaled_sketch, sp_codec, substring_dedup, window_packing
 from terrastock.llm.common import held_out
 
 
@@ -90,6 +90,11 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), tidy=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
     "op2_scaled_sketch": op2_scaled_sketch,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_events": op8_chat_events,
     "op9_parity_join": op9_parity_join,
     "op10_mil_quality": op10_mil_quality,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,6 +134,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id""",
+    "op13_substring_dedup": r"""
+WITH worded AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS s, words FROM worded),
+windows AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS h FROM starts),
+least AS (SELECT h, min(doc_id) AS least_id FROM windows GROUP BY h),
+repeated AS (SELECT doc_id, s FROM windows JOIN least USING (h) WHERE doc_id > least_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(generate_series(s, s + 49)) AS p FROM repeated) GROUP BY doc_id),
+flat AS (SELECT doc_id, unnest(words) AS w, unnest(generate_series(1, len(words))) AS p FROM worded),
+lost AS (SELECT doc_id, unnest(places) AS p, true AS out FROM gone),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE out) AS gone, coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE out IS NULL), '') AS kept FROM flat LEFT JOIN lost USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
     "op9_parity_join": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS words
