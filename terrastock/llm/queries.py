@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrastock.llm import chat_events, lang_mixture, line_dedup, mil_quality, nn_descent, parity_join, pii, scaled_sketch, sp_codec, substring_dedup, window_packing
+from terrastock.llm import ball_kmeans, chat_events, hard_negatives, lang_mixture, line_dedup, mil_quality, nn_descent, parity_join, pii, scaled_sketch, sp_codec, substring_dedup, window_packing
 from terrastock.llm.common import held_out
 
 
@@ -90,6 +90,16 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", ball_kmeans.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), tidy=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -106,13 +116,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_events": op8_chat_events,
     "op9_parity_join": op9_parity_join,
     "op10_mil_quality": op10_mil_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ball_kmeans": op12_ball_kmeans,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_BLANK}), '{line_dedup.UPPER}', '{line_dedup.LOWER}')"
 
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round is two tables: the nearest centroid of every vector, and the floors of the means."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT n, v.x, min(CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) * {k} + c.c) AS near
+  FROM kept v CROSS JOIN c{r} c GROUP BY n, v.x)"""
+    moved = """m{r} AS (SELECT c, p, CAST(sum(v) AS BIGINT) AS s, count(*) AS m FROM (SELECT near % {k} AS c, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM a{r}) GROUP BY c, p),
+c{next} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY p) AS x FROM m{r} GROUP BY c) m USING (c))"""
+    steps = ",\n".join(f"{nearest.format(r=r, k=k)},\n{moved.format(r=r, k=k, next=r + 1)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k})),
+{steps},
+{nearest.format(r=rounds, k=k)},
+told AS (SELECT n, near % {k} AS c, near // {k} AS d FROM a{rounds})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM told JOIN kept USING (n) JOIN c{rounds} f USING (c)"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH rows_ AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+met AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 10""",
+    "op12_ball_kmeans": _kmeans_sql(),
     "op6_line_dedup": f"""
 WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 marks AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM split),
