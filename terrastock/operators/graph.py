@@ -5,11 +5,12 @@ Lines are (line_id, ring-like array of points); nodes are named by their coordin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrastock.functions import geo
-from terrastock.operators.shared import use_shared_folder
+from terrastock.operators import shared
+from terrastock.operators.shared import cut, release
 
 
 def node_key(p: Column) -> Column:
@@ -42,21 +43,43 @@ def split_long_edges(segs: DataFrame, most_ft: float, key: str = "line_id") -> D
     return parts.select(key, "part", "seg_id", F.get(cut, F.lit(0)).alias("a"), F.get(cut, F.lit(1)).alias("b"))
 
 
-def line_intersections(segs: DataFrame, cell: float, key: str = "line_id") -> DataFrame:
-    """(left_id, right_id, lon, lat) of proper crossings of segments of different lines, once each; by grid cells."""
+def crossings(segs: DataFrame, cell: float, key: str = "line_id", limit: int = 64) -> DataFrame:
+    """Points where segments of different lines meet, ends included, once for each pair of segments: (left_id, left_part, t,
+    right_id, right_part, u, lon, lat), t and u being the place on each segment from 0 to 1. Segments on one line of the
+    plane have no such point.
+
+    Segments meet in the cells that both cover, and a pair counts in the cell that holds the lower left corner of what
+    their boxes share, so that no pair comes twice. A cell with more than ``limit`` segments is cut into finer ones.
+    """
     lo, hi = (lambda k: F.least(f"a.{k}", f"b.{k}")), (lambda k: F.greatest(f"a.{k}", f"b.{k}"))
+    axes = {"x": "lon", "y": "lat"}
     at = lambda x: F.floor(x / cell).cast("long")
-    cells = segs.withColumn("cx", F.explode(F.sequence(at(lo("lon")), at(hi("lon"))))).withColumn("cy", F.explode(F.sequence(at(lo("lat")), at(hi("lat")))))
-    left = cells.select("cx", "cy", F.col(key).alias("left_id"), F.col("a").alias("a"), F.col("b").alias("b"))
-    right = cells.select("cx", "cy", F.col(key).alias("right_id"), F.col("a").alias("c"), F.col("b").alias("d"))
-    met = left.join(right, ["cx", "cy"]).where("left_id < right_id")
+    boxed = segs.select(F.col(key).alias("id"), "part", "a", "b", *(f(k).alias(f"{n}{c}") for c, k in axes.items() for n, f in (("lo", lo), ("hi", hi))))
+    covered = boxed.withColumn("cx", F.explode(F.sequence(at(F.col("lox")), at(F.col("hix"))))).withColumn("cy", F.explode(F.sequence(at(F.col("loy")), at(F.col("hiy")))))
+    finer = covered.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("cx", "cy", F.least(F.ceil(F.sqrt(F.col("n") / limit)), F.lit(1024)).cast("long").alias("f"))
+    cells = covered.join(finer, ["cx", "cy"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    # the finer cell of a place in a cell, kept inside it
+    fine = lambda x, c: F.greatest(F.lit(0), F.least(F.col("f") - 1, F.floor((x / cell - F.col(c)) * F.col("f"))))
+    for c in axes:
+        cells = cells.withColumn(f"s{c}", F.explode(F.sequence(fine(F.col(f"lo{c}"), f"c{c}"), fine(F.col(f"hi{c}"), f"c{c}"))))
+    places = ["cx", "cy", "sx", "sy"]
+    left = cells.select(*places, "f", F.col("id").alias("left_id"), F.col("part").alias("left_part"), "a", "b", "lox", "loy", "hix", "hiy")
+    right = cells.select(*places, F.col("id").alias("right_id"), F.col("part").alias("right_part"), F.col("a").alias("c"), F.col("b").alias("d"), *(F.col(f"{n}{c}").alias(f"{n}{c}2") for c in axes for n in ("lo", "hi")))
+    met = left.join(right, places).where("left_id < right_id")
+    for c in axes:
+        corner = F.greatest(f"lo{c}", f"lo{c}2")
+        met = met.where((corner <= F.least(f"hi{c}", f"hi{c}2")) & (at(corner) == F.col(f"c{c}")) & (fine(corner, f"c{c}") == F.col(f"s{c}")))
     rx, ry, sx, sy = (F.col(f"{q}.{k}") - F.col(f"{p}.{k}") for p, q, k in (("a", "b", "lon"), ("a", "b", "lat"), ("c", "d", "lon"), ("c", "d", "lat")))
     det = rx * sy - ry * sx
     ox, oy = F.col("c.lon") - F.col("a.lon"), F.col("c.lat") - F.col("a.lat")
     t, u = (ox * sy - oy * sx) / F.nullif(det, F.lit(0.0)), (ox * ry - oy * rx) / F.nullif(det, F.lit(0.0))
     crossing = met.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1))
-    lon, lat = F.col("a.lon") + F.col("t") * rx, F.col("a.lat") + F.col("t") * ry
-    return crossing.select("left_id", "right_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat")).distinct()
+    return crossing.select("left_id", "left_part", "t", "right_id", "right_part", "u", (F.col("a.lon") + F.col("t") * rx).alias("lon"), (F.col("a.lat") + F.col("t") * ry).alias("lat"))
+
+
+def line_intersections(segs: DataFrame, cell: float, key: str = "line_id") -> DataFrame:
+    """(left_id, right_id, lon, lat) of proper crossings of segments of different lines, once each."""
+    return crossings(segs, cell, key).select("left_id", "right_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat")).distinct()
 
 
 def cut_segments(segs: DataFrame, points: DataFrame, key: str = "line_id") -> DataFrame:
@@ -92,17 +115,18 @@ def contract_degree2(edges: DataFrame) -> DataFrame:
     inner = ends.groupBy("node").agg(F.count("*").alias("d"), F.min("e").alias("e1"), F.max("e").alias("e2")).where("d = 2")
     both = inner.select(F.col("e1").alias("e"), F.col("e2").alias("o")).unionByName(inner.select(F.col("e2").alias("e"), F.col("e1").alias("o")))
     label = named.select("e", F.col("e").alias("chain"))
-    use_shared_folder(edges.sparkSession)
-    both, label = both.checkpoint(), label.checkpoint()
+    both, label = cut(both), cut(label)
     while True:
-        heard = both.join(label.withColumnRenamed("e", "o"), "o").groupBy("e").agg(F.min("chain").alias("near"))
+        heard = both.join(label.select(F.col("e").alias("o"), "chain"), "o").groupBy("e").agg(F.min("chain").alias("near"))
         nearer = label.join(heard, "e", "left").select("e", F.least("chain", F.coalesce("near", "chain")).alias("chain"), F.col("chain").alias("old"))
         jump = nearer.select(F.col("e").alias("chain"), F.col("chain").alias("further"))
-        after = nearer.join(jump, "chain", "left").select("e", F.least("chain", F.coalesce("further", "chain")).alias("chain"), "old").checkpoint()
-        label = after.select("e", "chain")
-        if after.where("chain <> old").isEmpty():
+        after = nearer.join(jump, "chain", "left").select("e", F.least("chain", F.coalesce("further", "chain")).alias("chain"), "old")
+        label, before = cut(after), label
+        release(before)
+        if label.where("chain <> old").isEmpty():
             break
-    outer = ends.join(inner.select("node"), "node", "left_anti").join(label, "e").groupBy("chain").agg(F.min("node").alias("end_low"), F.max("node").alias("end_high"))
+    release(both)
+    outer = ends.join(inner.select("node"), "node", "left_anti").join(label.select("e", "chain"), "e").groupBy("chain").agg(F.min("node").alias("end_low"), F.max("node").alias("end_high"))
     return label.groupBy("chain").agg(F.count("*").alias("edges")).join(outer, "chain", "left").select("chain", "edges", "end_low", "end_high")
 
 
@@ -116,16 +140,17 @@ def orient_edges(edges: DataFrame) -> DataFrame:
 def _walk(halves: DataFrame) -> DataFrame:
     """(h, last, steps, low, ring) of (h, next): where following ``next`` ends, after how many steps, the least name on
     the way, and whether it never ends. Each round every half jumps as far again as it has come."""
-    at = halves.select("h", F.coalesce("next", "h").alias("last"), F.col("next").isNotNull().cast("long").alias("steps"), F.least("h", F.coalesce("next", "h")).alias("low"), F.col("next").isNotNull().alias("ring")).checkpoint()
+    at = halves.select("h", F.coalesce("next", "h").alias("last"), F.col("next").isNotNull().cast("long").alias("steps"), F.least("h", F.coalesce("next", "h")).alias("low"), F.col("next").isNotNull().alias("ring"))
+    at = cut(at)
     while True:
         ahead = at.select(F.col("h").alias("last"), F.col("last").alias("l2"), F.col("steps").alias("s2"), F.col("low").alias("w2"), F.col("ring").alias("r2"))
         low = F.least("low", "w2")
         changed = (low != F.col("low")) | (F.col("ring") != F.col("r2")) | (~F.col("r2") & (F.col("s2") > 0))
         met = at.join(ahead, "last").select("h", F.col("l2").alias("last"), (F.col("steps") + F.col("s2")).alias("steps"), low.alias("low"), (F.col("ring") & F.col("r2")).alias("ring"), (F.col("ring") & changed).alias("changed"))
-        after = met.checkpoint()
-        at = after.drop("changed")
-        if after.where("changed").isEmpty():
-            return at
+        at, before = cut(met), at
+        release(before)
+        if at.where("changed").isEmpty():
+            return at.drop("changed")
 
 
 def merge_chains(edges: DataFrame) -> DataFrame:
@@ -136,8 +161,7 @@ def merge_chains(edges: DataFrame) -> DataFrame:
     pointers by doubling gives each half its place. Rings are cut at their least half. Only a chain's own edges are
     gathered, as they make up its line.
     """
-    use_shared_folder(edges.sparkSession)
-    edges = edges.select("edge", "node_start", "node_end", "line").checkpoint()
+    edges = cut(edges.select("edge", "node_start", "node_end", "line"))
     way = F.array(F.struct((F.col("edge") * 2).alias("h"), F.col("node_start").alias("u"), F.col("node_end").alias("v")), F.struct((F.col("edge") * 2 + 1).alias("h"), F.col("node_end").alias("u"), F.col("node_start").alias("v")))
     halves = edges.select(F.inline(way))
     out = halves.groupBy("u").agg(F.count("*").alias("d"), F.min("h").alias("h1"), F.max("h").alias("h2")).where("d = 2 and h1 div 2 <> h2 div 2")
@@ -145,11 +169,11 @@ def merge_chains(edges: DataFrame) -> DataFrame:
     linked = halves.select("h").join(onward, "h", "left")
     first = _walk(linked)
     rings = first.where("ring").select("h", "low")
-    cut = linked.join(rings, "h", "left").select("h", F.when(F.col("next") == F.col("low"), None).when(F.col("next").bitwiseXOR(F.lit(1)) == F.col("h"), None).otherwise(F.col("next")).alias("next"), F.col("low").alias("ring_low"))
+    opened = linked.join(rings, "h", "left").select("h", F.when(F.col("next") == F.col("low"), None).when(F.col("next").bitwiseXOR(F.lit(1)) == F.col("h"), None).otherwise(F.col("next")).alias("next"), F.col("low").alias("ring_low"))
     placed = first.where("not ring").select("h", "last", "steps")
     if not rings.isEmpty():
         # of a ring's two directions the one with the lower least half stays
-        whole = cut.where("ring_low is not null")
+        whole = opened.where("ring_low is not null")
         mate = whole.select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), F.col("ring_low").alias("other"))
         walked = _walk(whole.select("h", "next")).join(whole.join(mate, "h").where("ring_low < other").select("h"), "h", "left_semi")
         placed = placed.unionByName(walked.select("h", "last", "steps"))
@@ -164,14 +188,9 @@ def merge_chains(edges: DataFrame) -> DataFrame:
     return joined.select("chain", F.get("p", F.lit(0))["u"].alias("node_start"), F.element_at("p", -1)["v"].alias("node_end"), F.concat(F.slice(F.get("p", F.lit(0))["line"], 1, 1), rest).alias("line"), F.size("p").alias("edges"))
 
 
-def number_rows(df: DataFrame, key: str, order: list[str], name: str = "id", bucket: int = 4096) -> DataFrame:
-    """``df`` with places from 0 by an integer key and further columns: counts of buckets of keys are added up first,
-    so that each task numbers some buckets only."""
-    held = df.withColumn("__b", F.floor(F.col(key) / bucket))
-    counts = held.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(key, *order))
-    return held.join(before, "__b").withColumn(name, own - 1 + F.col("__o")).drop("__b", "__o")
+def number_rows(df: DataFrame, key: str, order: list[str], name: str = "id") -> DataFrame:
+    """``df`` with places from 0 by a key and further columns."""
+    return shared.number_rows(df, [key, *order], name)
 
 
 def split_matched(lines: DataFrame, matches: DataFrame, key: str = "line_id") -> tuple[DataFrame, DataFrame]:

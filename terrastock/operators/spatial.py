@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastock.functions import geo
-from terrastock.operators.shared import use_shared_folder
+from terrastock.operators.shared import cut, release
 
 
 def _cell(x: Column, cell: float) -> Column:
@@ -80,11 +80,6 @@ def knn_prefer_inside(rings: DataFrame, points: DataFrame, key: str, point_key:
     return best.select(key, F.col(f"v.{point_key}").alias(point_key), F.col("v.inside").alias("inside"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float | None = None, ring: str = "ring") -> DataFrame:
     """``knn_prefer_inside`` without a limit of distance. ``reach`` is where the search begins, if not given where about
     ``2 * k`` evenly spread points would lie; it is doubled for the rings that have fewer than ``k`` points so near, until
@@ -111,11 +106,14 @@ def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_k
         ranked = near.select(key, point_key, "lon", "lat", "__d2").withColumn("__rank", rank).where(F.col("__rank") <= k)
         ranked = ranked.join(whole, key).withColumn("inside", inside).drop(ring)
         best = ranked.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(point_key, "inside"), F.struct(~F.col("inside"), F.col("__rank"))).alias("v"))
-        found = _cut(best if last else best.where(F.col("n") >= k))
+        found = cut(best if last else best.where(F.col("n") >= k))
         out = found if out is None else out.unionByName(found)
         if last:
             break
-        todo = _cut(todo.join(found.select(key), key, "left_anti"))
+        left, before = cut(todo.join(found.select(key), key, "left_anti")), todo
+        if hasattr(before, "cut_path"):
+            release(before)
+        todo = left
         if todo.isEmpty():
             break
         reach *= 2

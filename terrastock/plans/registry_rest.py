@@ -72,14 +72,14 @@ _KEY = "printf('%.7f', {0}x) || ' ' || printf('%.7f', {0}y)"
 SELECT line_id, part, u AS node_start, v AS node_end FROM g""")
 def oriented_edges(s, d):
     """Edges of odd roads are given backwards and turned again."""
-    edges = graph.graph_edges(_segments(s, d)).join(_segments(s, d).select("line_id", "part", F.array("a", "b").alias("line")), ["line_id", "part"])
+    edges = _segments(s, d).select("line_id", "part", graph.node_key(F.col("a")).alias("node_start"), graph.node_key(F.col("b")).alias("node_end"), F.array("a", "b").alias("line"))
     odd = F.col("line_id") % 2 == 1
     given = edges.withColumns({"node_start": F.when(odd, F.col("node_end")).otherwise(F.col("node_start")), "node_end": F.when(odd, F.col("node_start")).otherwise(F.col("node_end"))})
     return graph.orient_edges(given).select("line_id", "part", "node_start", "node_end")
 
 
 def _simple_edges(s, d):
-    edges = graph.graph_edges(_segments(s, d)).join(_segments(s, d).select("line_id", "part", F.array("a", "b").alias("line")), ["line_id", "part"])
+    edges = _segments(s, d).select("line_id", "part", graph.node_key(F.col("a")).alias("node_start"), graph.node_key(F.col("b")).alias("node_end"), F.array("a", "b").alias("line"))
     pair = edges.where("node_start <> node_end").groupBy(F.least("node_start", "node_end").alias("k1"), F.greatest("node_start", "node_end").alias("k2"))
     one = pair.agg(F.min(F.struct((F.col("line_id") * 16 + F.col("part")).alias("edge"), "node_start", "node_end", "line")).alias("e"))
     return one.select("e.*")
