@@ -63,3 +63,17 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, truth, pred, toxic) of labelled documents: predicted good where long."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").alias("truth"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("pred"), "toxic")
+
+
+#: Cosines and sines of four turns, as whole numbers over a whole number, so that all engines turn alike.
+TURNS = ((3, 4, 5), (5, 12, 13), (8, 15, 17), (20, 21, 29))
+#: Corners of a footprint with a wing and a cut corner, in shares of its width and height.
+CORNERS = ((0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5), (0.5, 1.0), (0.25, 1.0), (0.0, 0.75), (0.0, 0.0))
+
+
+def turned_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bldg_id, ring): footprints with a wing, turned by one of four angles, at the points of parts."""
+    of = lambda k: F.element_at(F.array(*(F.lit(float(t[k])) for t in TURNS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = points(spark, sf_dir, "part", "p_size").withColumns({"c": of(0) / of(2), "s": of(1) / of(2), "w": (10 + F.col("p_size")) / F.lit(100000.0), "h": (5 + F.col("p_partkey") % 23) / F.lit(100000.0)})
+    corner = lambda x, y: geo.point(F.col("lon") + F.col("c") * (F.col("w") * x) - F.col("s") * (F.col("h") * y), F.col("lat") + F.col("s") * (F.col("w") * x) + F.col("c") * (F.col("h") * y))
+    return p.select(F.col("p_partkey").alias("bldg_id"), F.array(*(corner(F.lit(x), F.lit(y)) for x, y in CORNERS)).alias("ring"))
