@@ -39,28 +39,65 @@ def clean_property(name: str) -> str:
 
 
 def outer_ring(coordinates: Column) -> Column:
-    """The ring of a polygon given as JSON text of nested coordinates: of several rings the longest."""
-    deep = F.from_json(coordinates, "array<array<array<double>>>")
+    """The ring of a polygon given as JSON text of coordinates nested two, three or four deep: of several rings the longest,
+    the first of those as long."""
+    four = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))
+    deep = F.coalesce(F.when(F.size(F.flatten(F.flatten(four))) > 0, four), F.from_json(coordinates, "array<array<array<double>>>"))
     flat = F.from_json(coordinates, "array<array<double>>")
     longest = F.get(F.array_sort(deep, lambda a, b: F.size(b) - F.size(a)), F.lit(0))
     return F.transform(F.coalesce(longest, flat), lambda p: geo.point(p[0], p[1]))
 
 
-def read_features(spark: SparkSession, path: str, renames: dict[str, str] | None = None) -> DataFrame:
-    """(geometry_type, coordinates as JSON text, properties...) of a feature collection; MultiPolygons are left out."""
-    schema = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    rows = rows.where(F.col("f.geometry.type") != "MultiPolygon")
-    named = [F.element_at("f.properties", source).alias(target) for source, target in (renames or {}).items()]
-    return rows.select(F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), *(named or [F.col("f.properties").alias("properties")]))
+def _whole_features(spark: SparkSession, path: str) -> DataFrame:
+    """(geometry, properties) as JSON text from files read whole, one task each."""
+    schema = "features array<struct<geometry:string,properties:string>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
 
 
-def read_footprints(spark: SparkSession, path: str, renames: dict[str, str] | None = None) -> DataFrame:
-    """Polygon features with a ring of at least four points."""
-    rows = read_features(spark, path, renames).where("geometry_type = 'Polygon'").withColumn("ring", outer_ring(F.col("coordinates")))
+def _split_features(spark: SparkSession, path: str) -> DataFrame:
+    """(geometry, properties) as JSON text from files read in byte ranges, so that one large file is many tasks' work.
+
+    A feature begins at its type, which must be its first field, as writers of such files have it; what follows its closing
+    brace is left alone. A piece that is no feature, but for each file's head, is an error, so that none is lost: such
+    files are read whole.
+    """
+    mark = '"Feature"'
+    pieces = spark.read.option("lineSep", mark).text(path).select("value")
+    fields = F.from_json(F.concat(F.lit('{"type":' + mark), F.col("value")), "map<string,string>")
+    read = pieces.select("value", fields.alias("m"))
+    head = F.col("value").rlike("^[\\s\ufeff]*\\{")  # what follows a feature's type is a comma or a brace that closes
+    wrong = F.raise_error(F.concat(F.lit("not a feature that begins with its type, read the file whole: "), F.substring("value", 1, 80)))
+    sure = F.when(head, F.lit(None)).when(F.map_contains_key("m", "geometry"), F.col("m")).otherwise(wrong.cast("map<string,string>"))
+    return read.select(sure.alias("m")).where("m is not null").select(F.element_at("m", "geometry").alias("geometry"), F.element_at("m", "properties").alias("properties"))
+
+
+def read_features(spark: SparkSession, path: str, renames: dict[str, str] | None = None, split: bool = True) -> DataFrame:
+    """(geometry_type, coordinates as JSON text, properties...) of feature collections; features without a geometry are
+    left out. Files are read in byte ranges unless ``split`` is off; see ``_split_features``."""
+    rows = _split_features(spark, path) if split else _whole_features(spark, path)
+    told = rows.select(F.from_json("geometry", "type string, coordinates string").alias("g"), F.from_json("properties", "map<string,string>").alias("properties")).where("g.type is not null")
+    named = [F.element_at("properties", source).alias(target) for source, target in (renames or {}).items()]
+    return told.select(F.col("g.type").alias("geometry_type"), F.col("g.coordinates").alias("coordinates"), *(named or ["properties"]))
+
+
+def read_footprints(spark: SparkSession, path: str, renames: dict[str, str] | None = None, split: bool = True) -> DataFrame:
+    """Polygon features with a ring of at least four points; MultiPolygons are left out (``left_out`` counts them)."""
+    rows = read_features(spark, path, renames, split).where("geometry_type = 'Polygon'").withColumn("ring", outer_ring(F.col("coordinates")))
     return rows.where(F.size("ring") >= 4).drop("coordinates", "geometry_type")
 
 
+def left_out(features: DataFrame) -> DataFrame:
+    """(geometry_type, n) of features that are neither polygons nor points."""
+    return features.where(~F.col("geometry_type").isin("Polygon", "Point")).groupBy("geometry_type").agg(F.count("*").alias("n"))
+
+
+def read_point_features(spark: SparkSession, path: str, renames: dict[str, str] | None = None, split: bool = True) -> DataFrame:
+    """(lon, lat, properties...) of a collection of points; an error where any feature is something else."""
+    rows = read_features(spark, path, renames, split)
+    sure = F.when(F.col("geometry_type") == "Point", F.from_json("coordinates", "array<double>")).otherwise(F.raise_error(F.concat(F.lit("not a point: "), "geometry_type")).cast("array<double>"))
+    return rows.withColumn("__p", sure).select(F.get("__p", F.lit(0)).alias("lon"), F.get("__p", F.lit(1)).alias("lat"), *(c for c in rows.columns if c not in ("geometry_type", "coordinates")))
+
+
 def osm_footprints(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(way_id, ring, tags): node coordinates looked up for each way, in order; only complete closed ways."""
     at = ways.select("way_id", "tags", F.posexplode("nodes").alias("pos", "node_id"), F.size("nodes").alias("want"))

@@ -53,10 +53,52 @@ def collection_header(units: str = "ft") -> str:
     return json.dumps({"type": "FeatureCollection", "generated": datetime.now().isoformat(" "), "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}, "units": {"length": units}})
 
 
+def ring_geometry(ring: str = "ring") -> Column:
+    return F.concat(F.lit("["), ring_json(F.col(ring)), F.lit("]"))
+
+
+def multi_polygon_json(polygons: Column) -> Column:
+    """Coordinates of a MultiPolygon: an array of polygons, each an array of rings."""
+    return F.to_json(F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))))
+
+
+def write_collection(df: DataFrame, path: str, geometry: Column, kind: str, properties: list[str] | None = None, units: str = "ft") -> None:
+    """Write feature collections: every file of the folder ``path`` is a whole one, with the metadata, that any reader of
+    such files opens, and no task has to see them all. ``kind`` is the type of geometry whose coordinates are given."""
+    opening = collection_header(units)[:-1] + ', "features": ['
+
+    def whole(batches):
+        import pyarrow as pa
+
+        before = None
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if not lines:
+                continue
+            out = [opening] if before is None else [before + ","]
+            yield pa.RecordBatch.from_arrays([pa.array(out + [f"{x}," for x in lines[:-1]])], names=["value"])
+            before = lines[-1]
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([before, "]}"])], names=["value"])
+
+    features(df, geometry, kind, properties).mapInArrow(whole, "value string").write.mode("overwrite").text(path)
+
+
+def write_layers(layers: dict[str, tuple[DataFrame, Column, str]], path: str, units: str = "ft") -> list[str]:
+    """Write each layer (rows, geometry, kind) that has rows as feature collections below ``path``; gives the names written."""
+    written = []
+    for name, (df, geometry, kind) in layers.items():
+        if not df.isEmpty():
+            write_collection(df, f"{path}/{name}", geometry, kind, [c for c in df.columns if c not in ("ring", "line", "lon", "lat")], units)
+            written.append(name)
+    return written
+
+
 def write_inventory(df: DataFrame, path: str, units: str = "ft") -> str:
     """Write an inventory as CSV or GeoJSON by the path's extension, any other being replaced by geojson; gives the path.
 
-    GeoJSON is a folder: features in parts, a line each, and the collection's metadata in ``header``.
+    Either is a folder of files; each GeoJSON file is a whole feature collection of ``type`` Building with the inventory's
+    header names.
     """
     stem, _, extension = path.rpartition(".")
     if extension.lower() == "csv":
@@ -65,9 +107,8 @@ def write_inventory(df: DataFrame, path: str, units: str = "ft") -> str:
     if extension.lower() != "geojson":
         warnings.warn("output format unknown, writing geojson", stacklevel=2)
         path = f"{stem or path}.geojson"
-    spark = df.sparkSession
-    write_features(df, f"{path}/features")
-    spark.createDataFrame([(collection_header(units),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    named = df.withColumnsRenamed({a: h for a, h in HEADERS.items() if a in df.columns}).withColumn("type", F.lit("Building"))
+    write_collection(named, path, ring_geometry(), "Polygon", [c for c in named.columns if c != "ring"], units)
     return path
 
 
@@ -76,8 +117,9 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
-    edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+    """Nodes and edges of a network as CSV, fields parted by a comma and a blank."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.write.mode("overwrite").option("header", True).option("sep", ", ").csv(f"{path}/{name}")
 
 
 def write_lines(df: DataFrame, path: str, properties: list[str], line: str = "line") -> None:
