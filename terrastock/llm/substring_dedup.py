@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrastock.llm.common import _WordHashes, cut, mix64, slices
+from terrastock.llm.common import _WordHashes, cut, mix64, shuffles_removed, slices
 
 WINDOW, PERIOD = 50, 31
 #: Anchors, or windows, that a task compares by itself at a time; only cost depends on it.
 CHUNK = 600_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SPAN = "from_ int, to_ int"
-#: state: 0 to be judged, 1 known to be shared, 2 known to be repeated.
-DEALT = f"k long, x long, id long, of_text long, {SPAN}, state int"
+#: Rows that are dealt out are narrow: a span holds the first window, how many follow it, and the state, which is 0 for
+#: rows to be judged, 1 for those known to be shared, 2 for those known to be repeated.
+DEALT = "k long, x long, id long, of_text long, span long"
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -96,9 +96,9 @@ def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 
 def _batch(k, x, ids, of_text, lo, hi, state) -> pa.RecordBatch:
-    longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (k, x, ids, of_text)]
-    ints = [pa.array(np.asarray(c).astype(np.int32)) for c in (lo, hi, state)]
-    return pa.RecordBatch.from_arrays([*longs, *ints], names=[c.split()[0] for c in DEALT.split(", ")])
+    span = (lo.astype(np.int64) << 32) | ((hi - lo).astype(np.int64) << 2) | np.asarray(state).astype(np.int64)
+    longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (k, x, ids, of_text, span)]
+    return pa.RecordBatch.from_arrays(longs, names=[c.split()[0] for c in DEALT.split(", ")])
 
 
 def _first_of_chunk(k, x, ids, of_text, lo, hi, single: bool) -> Iterator[pa.RecordBatch]:
@@ -238,10 +238,12 @@ def _kept(window: int, tidy: bool):
 def _judged(rows: DataFrame, repeats_only: bool) -> DataFrame:
     """(id, of_text, from_, to_, repeated) of dealt rows: those of a key that one document has are left out."""
     key, alike = Window.partitionBy("k"), Window.partitionBy("k", "x")
-    repeated = (F.col("state") == 2) | (F.col("id") > F.min("id").over(alike))
+    state, first = F.col("span").bitwiseAND(F.lit(3)), F.shiftright("span", 32)
     if not repeats_only:
-        rows = rows.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key)}).where("state > 0 or low < high")
-    return rows.select("id", "of_text", "from_", "to_", repeated.alias("repeated"))
+        rows = rows.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key)}).where((state > 0) | (F.col("low") < F.col("high")))
+    repeated = (state == 2) | (F.col("id") > F.min("id").over(alike))
+    last = first + F.shiftright(F.col("span").bitwiseAND(F.lit(2**32 - 1)), 2)
+    return rows.select("id", "of_text", first.cast("int").alias("from_"), last.cast("int").alias("to_"), repeated.alias("repeated"))
 
 
 def drop_repeats(
@@ -260,20 +262,22 @@ def drop_repeats(
     ids = row.select(key.alias("id")).where("id is not null").groupBy("id").count()
     unique = ids.where("count > 1").isEmpty()  # then ids alone tell rows apart
     of_text = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(whole, F.lit("")))
-    told = row.select("row", key.alias("id"), of_text.alias("of_text"))
-    short = told.select("id", "of_text", whole.alias("text")).where("id is not null and text is not null")
+    rest = [c for c in docs.columns if c not in (text, n_words, n_removed)]
+    beside = F.struct(F.lit(0).alias("__none"), *(F.col("row").getField(c).alias(c) for c in rest)).alias("rest")
+    told = row.select(key.alias("id"), of_text.alias("of_text"), whole.alias("body"), beside)
+    dealt = told.where("id is not null")  # met twice in one form, so that Spark shuffles the texts once
+    span = F.struct("from_", "to_")
 
     def gathered(marks: DataFrame, **kinds) -> DataFrame:
-        span = F.struct("from_", "to_")
         return marks.groupBy("id", "of_text").agg(*(F.collect_set(F.when(v, span)).alias(k) for k, v in kinds.items()))
 
-    marks = cut(_judged(short.mapInArrow(_anchors(window, period), DEALT), repeats_only=False))
+    with shuffles_removed(docs.sparkSession):
+        marks = cut(_judged(dealt.select("id", "of_text", "body").mapInArrow(_anchors(window, period), DEALT), repeats_only=False))
     doubtful = gathered(marks, known=F.col("repeated"), doubtful=~F.col("repeated")).where(F.size("doubtful") > 0)
-    windows = short.join(doubtful, ["id", "of_text"]).select("id", "of_text", "text", "known", "doubtful").mapInArrow(_windows(window), DEALT)
+    windows = dealt.join(doubtful, ["id", "of_text"]).select("id", "of_text", "body", "known", "doubtful", "rest").mapInArrow(_windows(window), DEALT)
     found = marks.where("repeated").unionByName(_judged(windows, repeats_only=True).where("repeated")).select("id", "of_text", "from_", "to_")
-    rest = [c for c in docs.columns if c not in (text, n_words, n_removed)]
-    beside = F.struct(F.lit(0).alias("__none"), *(F.col("row").getField(c).alias(c) for c in rest)).alias("rest")
-    met = told.join(gathered(found, known=F.lit(True)), ["id", "of_text"], "left").select(beside, whole.alias("text"), "known")
+    met = dealt.join(gathered(found, known=F.lit(True)), ["id", "of_text"], "left").select("rest", "body", "known")
+    met = met.unionByName(told.where("id is null").select("rest", "body", F.lit(None).cast("array<struct<from_:int,to_:int>>").alias("known")))
     fields = [("rest", met.schema["rest"].dataType), ("text", T.StringType()), ("n", T.LongType()), ("gone", T.LongType())]
     out = T.StructType([T.StructField(*f) for f in fields])
     kept = met.mapInArrow(_kept(window, tidy), out)
