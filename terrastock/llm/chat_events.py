@@ -73,6 +73,28 @@ def fold_events(log: DataFrame, conv: str = "conv_id", seq: str = "seq", kind: s
     return messages.withColumn("__cut", latest).where(F.col("__cut").isNull() | (F.col("begun") > F.col("__cut"))).select("conv_id", F.col("message").alias("turn"), "role", "text")
 
 
+def events_of_turns(turns: DataFrame) -> DataFrame:
+    """A log of events (conv_id, seq, kind, message, role, text) that folds to given turns (conv_id, place, role, text), as
+    a chat's server would have kept it: by a hash, a turn came whole, streamed, edited or regenerated.
+
+    An edited or regenerated turn first had another text, and was followed by an answer that the change takes away.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.char_length(text) / 3).cast("int")
+    cuts = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, 2 * third + 1, F.char_length(text))]
+    event = lambda step, kind, own, role=F.col("role"), later=0: F.struct((F.col("place") * 16 + step).alias("seq"), F.lit(kind).alias("kind"), (F.col("place") * 2 + later).alias("message"), role.alias("role"), own.alias("text"))
+    streamed = [event(8 + k, "delta", c) for k, c in enumerate(cuts)]
+    gone = [event(0, "message", F.concat(F.lit("superseded "), cuts[0])), event(1, "delta", F.lit(" and more")), event(2, "message", F.lit("an answer to what is gone"), F.lit("assistant"), 1)]
+    how = F.pmod(F.xxhash64("conv_id", "place", text), F.lit(4))
+    log = (
+        F.when(how == 0, F.array(event(0, "message", text)))
+        .when(how == 1, F.array(event(0, "message", F.lit("")), *streamed))
+        .when(how == 2, F.array(*gone, event(7, "edit", cuts[0]), *streamed[1:]))
+        .otherwise(F.array(*gone, event(7, "regenerate", F.lit("")), *streamed))
+    )
+    return turns.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def ordered(messages: DataFrame) -> DataFrame:
     """Messages with each conversation in one partition and in order."""
     return messages.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -136,7 +136,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Fit on a bounded sample of labelled documents. ``labels`` must hold only rows that may be learned from.
 
     The sample's ids (at most ``sample`` of them) go to every task; its passages come to the driver, at most
-    ``passages`` rows of 4 * ``WIDTH`` bytes. A document that goes beyond that is left out whole, with those after it.
+    ``passages`` rows of 4 * ``WIDTH`` bytes. A document that would go beyond that is left out whole, and no other one.
     Without labels of both kinds: the share of good ones.
     """
     chosen = (
@@ -158,7 +158,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     joined = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
     size = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("__text", F.lit(""))) / PASSAGE_BYTES))
     sizes = joined.groupBy("__id").agg(F.sum(size).alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()
-    taken = [r["__id"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]).tolist(), strict=True) if total <= passages]
+    taken, left = [], passages
+    for r in sizes:
+        if r["n"] <= left:
+            taken.append(r["__id"])
+            left -= r["n"]
     rows = joined.where(F.col("__id").isin(taken)).select("__id", "__label", "__text").mapInArrow(encode, "id long, label int, x binary").collect()
     rows = sorted({(r["id"], bytes(r["x"])): r["label"] for r in rows}.items())
     good = np.array([label for _, label in rows])

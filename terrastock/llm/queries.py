@@ -72,7 +72,7 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    log = own.unionByName(planted).repartition("conv_id").withColumn("seq", place).withColumns({"message": F.col("seq"), "kind": F.lit("message")})
+    log = chat_events.events_of_turns(own.unionByName(planted).repartition("conv_id").withColumn("place", place.cast("long")))
     return chat_events.read_back(chat_events.render_turns(chat_events.ordered(chat_events.fold_events(log))))
 
 

@@ -11,7 +11,7 @@ from brute import BLANK, ODD, odd
 from oracle import SF, same
 from pyspark.sql import functions as F
 
-from terrastock.llm import ball_kmeans, hard_negatives, substring_dedup
+from terrastock.llm import ball_kmeans, chat_events, hard_negatives, mil_quality, substring_dedup
 from terrastock.llm.queries import ORACLE, QUERIES
 
 VECTORS = "vec_id long, embedding array<double>, label int, extra string"
@@ -204,3 +204,24 @@ def test_cover_gives_every_shift(period):
 def test_passages_of_the_small_table_recur(spark):
     got = QUERIES["op13_substring_dedup"](spark, SF)
     assert got.where("n_removed > 0").count() > 0
+
+
+def test_logs_of_turns_fold_back(spark):
+    turns = spark.createDataFrame([(c, p, ("user", "assistant", None)[p % 3], t) for c in (1, 2, None) for p, t in enumerate(["", None, "a", "äß😀 three", "x" * 500, "<|im_end|>", "superseded", "b\nc"] * 4, 1)], "conv_id long, place long, role string, text string")
+    log = chat_events.events_of_turns(turns)
+    kinds = {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"} and log.where("text = 'an answer to what is gone'").count() > 9
+    got = sorted((r["conv_id"] or 0, r["turn"], r["role"], r["text"]) for r in chat_events.fold_events(log).collect())
+    assert got == sorted((r["conv_id"] or 0, 2 * r["place"], r["role"] or "", r["text"] or "") for r in turns.collect())
+
+
+def test_one_long_labelled_text_does_not_stop_the_fit(spark):
+    good, bad = "A plain sentence about the weather in spring, and another one. ", "$$$ CLICK >>> http 0000 !!! "
+    docs = [(k, (good if k % 2 else bad) * (3 + k % 5), "en", "s", 0) for k in range(60)]
+    ids = spark.createDataFrame([(k,) for k in range(60)], "doc_id long").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    docs[ids] = (ids, good * 500_000, "en", "s", 0)  # 31 MB, the first by hash
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = mil_quality.train_quality(df, labels)
+    scored = {r["doc_id"]: r["score"] for r in mil_quality.score_quality(df.where(F.col("doc_id") != ids), model).collect()}
+    assert all((s >= 0.5) == bool(k % 2) for k, s in scored.items())
