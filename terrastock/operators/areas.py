@@ -59,25 +59,43 @@ def clip_lines(lines: DataFrame, polygon: Polygon, key: str = "line_id", line: s
     return joined.select(key, "piece", F.concat(F.array(F.get("v", F.lit(0))["p"]), F.transform("v", lambda x: x["q"])).alias("line"))
 
 
-def clip_ring(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """A closed ring cut down to a box, side by side; empty where nothing is left."""
-    for k, other, bound, keep in (("lon", "lat", x0, 1), ("lon", "lat", x1, -1), ("lat", "lon", y0, 1), ("lat", "lon", y1, -1)):
+def clip_polygon(points: Polygon, box: Box) -> Polygon:
+    """The vertices of a polygon cut down to a box, side by side; none where nothing is left."""
+    points = points[:-1] if points[0] == points[-1] else points
+    for axis, bound, keep in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        left = []
+        for p, q in zip(points[-1:] + points[:-1], points, strict=True):
+            inp, inq = (p[axis] - bound) * keep >= 0, (q[axis] - bound) * keep >= 0
+            if inp != inq:
+                t = (bound - p[axis]) / (q[axis] - p[axis])
+                met = p[1 - axis] + (q[1 - axis] - p[1 - axis]) * t
+                left.append((bound, met) if axis == 0 else (met, bound))
+            if inq:
+                left.append(q)
+        points = left
+        if not points:
+            break
+    return points
+
+
+def _envelopes(cells: DataFrame, polygon: Polygon) -> DataFrame:
+    """Cells (x0, y0, x1, y1) made the envelopes of what a polygon has in each; those it has no area in go."""
 
-        def step(s: Column, k=k, other=other, bound=bound, keep=keep) -> Column:
-            a, b = s["a"], s["b"]
-            ina, inb = (a[k] - bound) * keep >= 0, (b[k] - bound) * keep >= 0
-            met = a[other] + (b[other] - a[other]) * (bound - a[k]) / F.nullif(b[k] - a[k], F.lit(0.0))
-            cross = geo.point(*((bound, met) if k == "lon" else (met, bound)))
-            return F.when(ina & inb, F.array(b)).when(ina, F.array(cross)).when(inb, F.array(cross, b)).otherwise(F.slice(F.array(b), 1, 0))
+    def run(batches):
+        for b in batches:
+            boxes = list(zip(b["x0"], b["y0"], b["x1"], b["y1"], strict=True))
+            left = [clip_polygon(polygon, box) for box in boxes]
+            bounds = [bounds_of(p) if p else (0.0, 0.0, 0.0, 0.0) for p in left]
+            for k, c in enumerate(("x0", "y0", "x1", "y1")):
+                b[c] = [float(v[k]) for v in bounds]
+            yield b[(b["x1"] > b["x0"]) & (b["y1"] > b["y0"])]
 
-        kept = F.flatten(F.transform(geo.segments(ring), step))
-        ring = F.when(F.size(kept) > 0, F.concat(kept, F.slice(kept, 1, 1))).otherwise(kept)
-    return ring
+    return cells.mapInPandas(run, cells.schema)
 
 
 def _grid(cells: DataFrame, limit: int) -> DataFrame:
-    """``cells`` (level, x0, y0, x1, y1, n) with the rows and columns that each is cut into: about 1.2 n / limit cells, as
-    many more along the longer side as it is longer; at least two."""
+    """``cells`` (x0, y0, x1, y1, n) with the rows and columns that each is cut into: about 1.2 n / limit cells, at least two;
+    as many times more rows than columns as a cell is wider than high, or columns than rows as it is higher."""
     wide = geo.haversine_ft(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y0"))
     high = geo.haversine_ft(F.col("x0"), F.col("y0"), F.col("x0"), F.col("y1"))
     sized = cells.withColumns({"__w": wide, "__h": high, "__k": F.bround(F.lit(1.2) * F.col("n") / limit)})
@@ -101,7 +119,7 @@ def row_limited_mesh(boxes: DataFrame, key: str, area: Box | Polygon, limit: int
 
     ``boxes``: (key, min_lon, min_lat, max_lon, max_lat). Cells over the limit are cut again, round by round, into about
     as many cells as their number asks for; empty ones go. Of a polygon the first cells are the envelopes of what lies in
-    each. A cell narrower than 1e-9 degrees, or one that all its boxes cover whole, is not cut again, whatever it holds.
+    each. A cell narrower or lower than 1e-9 degrees, or one that all its boxes cover whole, is not cut again, whatever it holds.
     """
     polygon = None if isinstance(area[0], (int, float)) else area
     x0, y0, x1, y1 = area if polygon is None else bounds_of(area)
@@ -133,9 +151,7 @@ def row_limited_mesh(boxes: DataFrame, key: str, area: Box | Polygon, limit: int
             break
         subs = _cut_cells(over, limit)
         if polygon is not None and level == 0:
-            clipped = clip_ring(ring_of(polygon), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-            left = subs.withColumn("__b", F.when(F.size(clipped) > 0, geo.ring_bbox(clipped)))
-            subs = left.where("__b.max_lon > __b.min_lon and __b.max_lat > __b.min_lat").select("cell", "sub", "i", "j", *(F.col(f"__b.{b}").alias(a) for a, b in (("x0", "min_lon"), ("y0", "min_lat"), ("x1", "max_lon"), ("y1", "max_lat"))))
+            subs = _envelopes(subs, polygon)
         # a box can only meet the subcells of the rows and columns that it spans, and their neighbours
         ways = _grid(over, limit).select("cell", F.col("x0").alias("__x"), F.col("y0").alias("__y"), ((F.col("x1") - F.col("x0")) / F.col("cols")).alias("__w"), ((F.col("y1") - F.col("y0")) / F.col("rows")).alias("__h"), "rows", "cols")
         span = lambda lo, hi, at, size, n: F.sequence(F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor((F.col(lo) - F.col(at)) / F.col(size)) - 1)).cast("long"), F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor((F.col(hi) - F.col(at)) / F.col(size)) + 1)).cast("long"))

@@ -64,22 +64,6 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, draws: DataFrame, u: str = "u") -> DataFrame:
-    """For each draw (a number from 0 to 1) the row whose share of the total weight holds it.
-
-    Cumulative shares are made in two steps, buckets of the key first, so no task sees all rows.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(256))
-    rows = df.select(key, F.col(weight).cast("double").alias("w"), bucket.alias("b"))
-    per = rows.groupBy("b").agg(F.sum("w").alias("s"))
-    before = F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    base = per.select("b", F.coalesce(before, F.lit(0.0)).alias("base"), F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"), "s")
-    at = draws.select(u).join(F.broadcast(base), (F.col(u) * F.col("total") >= F.col("base")) & (F.col(u) * F.col("total") < F.col("base") + F.col("s")))
-    own = rows.withColumn("hi", F.sum("w").over(Window.partitionBy("b").orderBy(key))).join(F.broadcast(base.select("b", "base")), "b")
-    own = own.select("b", key, (F.col("base") + F.col("hi") - F.col("w")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
-    return at.select(u, "b", (F.col(u) * F.col("total")).alias("__t")).join(own, "b").where("__t >= lo and __t < hi").select(u, key)
-
-
 def union_tagged(layers: dict[str, DataFrame], tag: str) -> DataFrame:
     """All layers under each other with their name in ``tag``; columns that a layer lacks are null."""
     out = None

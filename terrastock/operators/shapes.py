@@ -48,7 +48,8 @@ def main_directions(segments: DataFrame, key: str) -> DataFrame:
 
 def roof_runs(footprints: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     """(key, run): the shortest side, in feet, of the quadrilateral that the outermost edges of a footprint's two main
-    directions enclose; null for footprints without two such directions."""
+    directions enclose; null for footprints without two such directions. Of edges that run almost north the slopes may
+    be far apart, and such edges then be of different directions."""
     segs = ring_segments(footprints, key, ring)
     own = segs.join(main_directions(segs, key), [key, "cluster"])
     # how far an edge's ends lie to the side of its own direction
