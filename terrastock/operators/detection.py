@@ -117,13 +117,22 @@ def _shares(b: np.ndarray) -> np.ndarray:
 
 
 def _joint_area(b: np.ndarray, left: float, right: float, height: float) -> tuple[float, float]:
-    """The area that boxes cover together, and how much of it lies between two columns of the image."""
-    xs, ys = np.unique(np.r_[b[:, [0, 2]].ravel(), left, right]), np.unique(np.r_[b[:, [1, 3]].ravel(), 0, height])
-    x, y = xs[:-1], ys[:-1]
-    held = ((b[:, 0, None, None] <= x[:, None]) & (x[:, None] < b[:, 2, None, None]) & (b[:, 1, None, None] <= y) & (y < b[:, 3, None, None])).any(0)
-    size = held * np.diff(xs)[:, None] * np.diff(ys)
-    middle = ((x >= left) & (x < right))[:, None] & ((y >= 0) & (y < height))
-    return size.sum(), size[middle].sum()
+    """The area that boxes cover together, and how much of it lies between two columns of the image.
+
+    Columns are swept from one side or edge of a box to the next; over each, the rows that boxes hold are united in order.
+    """
+    b = b[np.lexsort((b[:, 3], b[:, 1]))]
+    xs, whole, middle = np.unique(np.r_[b[:, [0, 2]].ravel(), left, right]), 0.0, 0.0
+    for x, after in zip(xs, xs[1:], strict=False):
+        y0, y1 = b[(b[:, 0] <= x) & (x < b[:, 2])][:, [1, 3]].T
+        if not len(y0):
+            continue
+        reach = np.maximum.accumulate(y1)
+        from_ = np.maximum(y0, np.r_[-np.inf, reach[:-1]])
+        whole += (after - x) * np.maximum(0, reach - from_).sum()
+        if left <= x < right:
+            middle += (after - x) * np.maximum(0, np.minimum(reach, height) - np.maximum(from_, 0)).sum()
+    return whole, middle
 
 
 def _floors(rows: np.ndarray, height: float) -> int:

@@ -224,21 +224,26 @@ def tfidf_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot / F.nullif(norm(x, y) * norm(y, x), F.lit(0.0)), F.lit(0.0))
 
 
-def tfidf_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """``tfidf_cosine`` of all pairs of rows that share a term, as ``score``; that of any other pair is 0. The columns of
-    the two tables differ in name. Distinct names meet by their terms, with counts, and rows by their names."""
-    lone2 = (1 + F.log(F.lit(1.5))) ** 2
+def _term_counts(names: DataFrame, name: str, k: str) -> DataFrame:
+    """(__k, __t, __ck, __wk) of distinct names: terms with their counts, and the sum of the squared counts of all of them."""
+    each = names.select(F.col(name).alias(f"__{k}")).distinct().withColumn("__t", F.explode(_terms(F.col(f"__{k}")))).groupBy(f"__{k}", "__t").agg(F.count("*").cast("double").alias(f"__c{k}"))
+    whole = each.groupBy(f"__{k}").agg(F.sum(F.col(f"__c{k}") * F.col(f"__c{k}")).alias(f"__w{k}"))
+    return each.join(whole, f"__{k}")
 
-    def terms(df: DataFrame, name: str, k: str) -> DataFrame:
-        each = df.select(F.col(name).alias(f"__{k}")).distinct().withColumn("__t", F.explode(_terms(F.col(f"__{k}")))).groupBy(f"__{k}", "__t").agg(F.count("*").cast("double").alias(f"__c{k}"))
-        whole = each.groupBy(f"__{k}").agg(F.sum(F.col(f"__c{k}") * F.col(f"__c{k}")).alias(f"__w{k}"))
-        return each.join(whole, f"__{k}")
 
-    met = terms(left, left_name, "x").join(terms(right, right_name, "y"), "__t")
+def _scores(met: DataFrame) -> DataFrame:
+    """(__x, __y, score) of names that meet by a term, from their counts."""
+    lone2 = (1 + F.log(F.lit(1.5))) ** 2
     square = lambda k: F.sum(F.col(f"__c{k}") * F.col(f"__c{k}"))
     sums = met.groupBy("__x", "__y").agg(F.sum(F.col("__cx") * F.col("__cy")).alias("dot"), square("x").alias("sx"), square("y").alias("sy"), F.first("__wx").alias("wx"), F.first("__wy").alias("wy"))
     norm = lambda k: F.sqrt(F.col(f"s{k}") + lone2 * (F.col(f"w{k}") - F.col(f"s{k}")))
-    scored = sums.select("__x", "__y", (F.col("dot") / (norm("x") * norm("y"))).alias("score"))
+    return sums.select("__x", "__y", (F.col("dot") / (norm("x") * norm("y"))).alias("score"))
+
+
+def tfidf_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """``tfidf_cosine`` of all pairs of rows that share a term, as ``score``; that of any other pair is 0. The columns of
+    the two tables differ in name. Distinct names meet by their terms, with counts, and rows by their names."""
+    scored = _scores(_term_counts(left, left_name, "x").join(_term_counts(right, right_name, "y"), "__t"))
     return scored.join(left, F.col("__x") == F.col(left_name)).join(right, F.col("__y") == F.col(right_name)).drop("__x", "__y")
 
 
@@ -247,8 +252,13 @@ def match_names(pairs: DataFrame, point_key: str, line_key: str, point_name: str
 
     A line without a name scores -1; where no name is alike at all, only such lines are kept.
     """
-    score = F.when(F.col(line_name).isNull() | (F.trim(line_name) == ""), -1.0).otherwise(F.round(tfidf_cosine(F.col(point_name), F.col(line_name)), 9))
-    scored = pairs.select(point_key, line_key, score.alias("score"))
+    named = F.coalesce(F.trim(line_name) != "", F.lit(False))
+    # each two names are scored once, however many rows bear them, over the terms that both have
+    both = pairs.where(named).select(F.col(point_name).alias("__x"), F.col(line_name).alias("__y")).distinct()
+    met = both.join(_term_counts(both, "__x", "x"), "__x").join(_term_counts(both, "__y", "y"), ["__y", "__t"])
+    alike = _scores(met).withColumnsRenamed({"__x": point_name, "__y": line_name, "score": "__s"})
+    score = F.when(~named, -1.0).otherwise(F.round(F.coalesce("__s", F.lit(0.0)), 9))
+    scored = pairs.join(alike, [point_name, line_name], "left").select(point_key, line_key, score.alias("score"))
     best = scored.groupBy(point_key).agg(F.max("score").alias("top"))
     kept = scored.join(best, point_key).where((F.col("score") == F.col("top")) & (F.col("top") > 0) | (F.col("top") <= 0) & (F.col("score") == -1))
     return kept.groupBy(point_key).agg(F.array_join(F.array_sort(F.collect_set(line_key)), ",").alias("lines"), F.max("score").alias("score"))

@@ -36,12 +36,14 @@ def iou_by_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return per.select("cls", F.col("tp").alias("intersection"), (F.col("tp") + F.col("fp") + F.col("fn")).alias("union_"), (F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn"))).alias("iou"))
 
 
-def weighted_knn(queries: DataFrame, bank: DataFrame, k: int, sigma: float, blocks: int = 16) -> DataFrame:
+def weighted_knn(queries: DataFrame, bank: DataFrame, k: int, sigma: float, blocks: int | None = None) -> DataFrame:
     """(query_id, label, score): classes by the weights exp(similarity / sigma) of the ``k`` largest inner products.
 
     ``queries``: (query_id, q); ``bank``: (vec_id, v, label). Queries are a stated set against all vectors, compared
-    in blocks: the bank is dealt once, the queries go to every block, and each block keeps its own best.
+    in blocks, by default of about 8,192 vectors and as many as partitions at least: the bank is dealt once, the queries
+    go to every block, and each block keeps its own best.
     """
+    blocks = blocks or max(int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bank.count() // 8192))
     dealt = bank.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     sent = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
