@@ -4,12 +4,12 @@ A sketch retains every hash of a word shingle below a fixed fraction of the hash
 smallest, so that short texts keep something. Sketches merge by union, and two of them compare over the hashes that
 both are sure to hold, however unequal the texts.
 
-Neighbours in order of id are found without ordering the table in one place: bounds from approximate quantiles of the
-ids split it into ranges, the first row of each range (a bounded list) is also sent to the range before, and each
-range is streamed in order. Texts are shuffled once.
+Neighbours in order of id are found without ordering the table in one place: it is split into ranges of (id, hash of the
+text), the first row of each range (a list as long as there are partitions) is also sent to the range before, and each
+range is streamed in order. Texts are shuffled once. A range that would hold one id only is split by the hashes.
 
 Defined results: a null text counts as empty; an empty sketch is the empty string, as like to an empty one as can be
-(1) and not at all to others (0); rows with equal ids follow by text; null ids come first; extra columns are left
+(1) and not at all to others (0); rows with equal ids follow by a hash of their text; null ids come first; extra columns are left
 out by ``edited_by_next``; an empty table gives an empty table; a single row is its own neighbour.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrastock.llm.common import Shingler, shuffle_partitions, slices
@@ -78,39 +78,40 @@ class Sketch:
         return both / (len(a) + len(b) - both), both / len(a)
 
 
-def _ranges(docs: DataFrame, doc_id: str) -> tuple[list[int], dict[int, int]]:
-    """Bounds between ranges of ids, and for the first id of each range that has rows the range before it."""
-    n = shuffle_partitions(docs.sparkSession)
-    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"))
-    shares = [k / n for k in range(1, n)]
-    found = ids.agg(F.percentile_approx("id", shares, 10 * n).alias("b")).first()["b"] if shares else None
-    bounds = sorted(set(found or []))
-    firsts = ids.groupBy(_range_of("id", bounds).alias("range")).agg(F.min("id").alias("first")).collect()
-    order = sorted((r["range"], r["first"]) for r in firsts)
-    return bounds, {first: order[k - 1][0] for k, (_, first) in enumerate(order)}
+def _firsts(places: DataFrame) -> list[tuple[int, int]]:
+    """The first place (id, h) of each range that places are dealt to, in order, as many ranges as partitions at most.
+    Equal ids are parted by their hashes, so that many rows of one id are many ranges."""
+    n = shuffle_partitions(places.sparkSession)
+    found = places.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("id", "h")).alias("first")).collect()
+    return sorted({(r["first"]["id"], r["first"]["h"]) for r in found})
 
 
-def _range_of(column: str, bounds: list[int]):
-    if not bounds:
-        return F.lit(0)
-    literal = F.expr(f"array({', '.join(f'{b}L' if b > -(2**63) else '-9223372036854775807L - 1L' for b in bounds)})")
-    return F.size(F.filter(literal, lambda b: b <= F.col(column)))
+def _range_of(firsts: list[tuple[int, int]], shift: int = 0) -> Column:
+    """The number of the range that a place lies in, by halving the list of first places."""
+    if len(firsts) <= 1:
+        return F.lit(shift)
+    half = len(firsts) // 2
+    i, h = (F.lit(v).cast("long") for v in firsts[half])
+    before = (F.col("id") < i) | ((F.col("id") == i) & (F.col("h") < h))
+    return F.when(before, _range_of(firsts[:half], shift)).otherwise(_range_of(firsts[half:], shift + half))
 
 
 def edited_by_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is replaced by the next document's start."""
-    bounds, firsts = _ranges(docs, doc_id)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("range", _range_of("id", bounds))
-    before = F.create_map(*(F.lit(x) for pair in firsts.items() for x in pair)) if firsts else F.expr("map(0L, 0)")
-    # a first row goes to its own range and, as a guest, to the range before; the very first to the end of the last
-    to = F.array(F.struct("range", F.lit(0).alias("guest")))
-    guest = F.struct(before[F.col("id")].alias("range"), F.lit(1).alias("guest"))
-    sent = base.withColumn("to", F.explode(F.when(before[F.col("id")].isNull(), to).otherwise(F.concat(to, F.array(guest)))))
+    base = base.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    firsts = _firsts(base.select("id", "h"))
+    base = base.withColumn("range", _range_of(firsts))
+    # rows at a range's first place go to it and, as guests, to the range before; those at the very first to the end of the last
+    longs = lambda k: F.array(*(F.lit(f[k]).cast("long") for f in firsts or [(0, 0)]))
+    is_first = (F.get(longs(0), F.col("range")) == F.col("id")) & (F.get(longs(1), F.col("range")) == F.col("h"))
+    own = F.struct(F.col("range"), F.lit(0).alias("guest"))
+    guest = F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).alias("range"), F.lit(1).alias("guest"))
+    sent = base.withColumn("to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
     ordered = (
-        sent.select(F.col("to.range").alias("range"), F.col("to.guest").alias("guest"), "doc_id", "text", "id")
+        sent.select(F.col("to.range").cast("long").alias("range"), F.col("to.guest").cast("long").alias("guest"), "doc_id", "text", "id", "h")
         .repartitionByRange(shuffle_partitions(docs.sparkSession), "range")
-        .sortWithinPartitions("range", "guest", "id", "text")
+        .sortWithinPartitions("range", "guest", "id", "h", "text")
         .select("range", "guest", "doc_id", "text")
     )
     names = [x.split()[0] for x in EDITED.split(", ")]
@@ -141,7 +142,7 @@ def edited_by_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                         held, closed, now = [], False, ranges[k]
                     if not closed:
                         held.append((ids[k], texts[k]))
-                        closed = guests[k] == 1  # of equal first ids, the first by text is the neighbour
+                        closed = guests[k] == 1  # of rows at one place, which are alike, the first is the neighbour
                 if len(held) > 1:
                     yield rows(shingler, held)
                     held = held[-1:]

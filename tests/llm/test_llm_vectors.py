@@ -11,7 +11,8 @@ from brute import BLANK, ODD, odd
 from oracle import SF, same
 from pyspark.sql import functions as F
 
-from terrastock.llm import ball_kmeans, chat_events, hard_negatives, mil_quality, substring_dedup
+from terrastock.llm import ball_kmeans, chat_events, hard_negatives, mil_quality, scaled_sketch, substring_dedup
+from terrastock.llm.common import Shingler
 from terrastock.llm.queries import ORACLE, QUERIES
 
 VECTORS = "vec_id long, embedding array<double>, label int, extra string"
@@ -225,3 +226,38 @@ def test_one_long_labelled_text_does_not_stop_the_fit(spark):
     model = mil_quality.train_quality(df, labels)
     scored = {r["doc_id"]: r["score"] for r in mil_quality.score_quality(df.where(F.col("doc_id") != ids), model).collect()}
     assert all((s >= 0.5) == bool(k % 2) for k, s in scored.items())
+
+
+def plain_sketches(spark, docs):
+    """Neighbours and sketches of (doc_id, text) one by one, in the order of id and the text's hash."""
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = sorted(((-(2**63) if k is None else k, hashes[t or ""], k, t or "") for k, t in docs), key=lambda r: r[:2])
+    sets = Shingler().sets
+    kept = lambda t: sorted(int(h) for i, h in enumerate(s) if int(h) < 2**60 or i < 32) if len(s := sets([t])[0]) else []
+    out = []
+    for n, (_, _, k, text) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][3]
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + after[:quarter]
+
+        def near(a, b):
+            x, y = ([int(h) for h in sets([t])[0]] for t in (a, b))
+            if not x or not y:
+                return float(len(x) == len(y) == 0)
+            reach = min(2**64 if len(kept(t)) == len(v) else max(2**60 - 1, kept(t)[-1]) for t, v in ((a, x), (b, y)))
+            x, y = ({h for h in kept(t) if h <= reach} for t in (a, b))
+            return len(x & y) / len(x | y) if x and y else 0.0
+
+        out.append((k, len(text), hashlib.sha256(edited.encode()).hexdigest(), kept(text), kept(edited), near(text, edited), near(text, after)))
+    return sorted(out, key=str)
+
+
+def test_sketches_of_many_rows_of_one_id(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(rng.choice([None, None, k // 3]), " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 40, 600])))) for k in range(90)]
+    docs += ODD + [(7, docs[5][1]), (None, docs[5][1])] + [(None, "twice " * 9)] * 2
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], [int(h) for h in scaled_sketch.Sketch.parse(r["fingerprint"]).hashes], [int(h) for h in scaled_sketch.Sketch.parse(r["edited_fingerprint"]).hashes], r["near_edited"], r["near_next"]) for r in scaled_sketch.edited_by_next(odd(spark, docs).repartition(3)).collect()]
+    assert [(*r[:5], pytest.approx(r[5]), pytest.approx(r[6])) for r in sorted(got, key=str)] == plain_sketches(spark, docs)
+    places = odd(spark, [(None, f"t{k}") for k in range(4000)]).select(F.lit(-(2**63)).alias("id"), F.xxhash64("text").alias("h"))
+    assert len(scaled_sketch._firsts(places)) > 2  # one id is many ranges
