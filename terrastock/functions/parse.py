@@ -175,3 +175,14 @@ def page_title(html: Column) -> Column:
 def labelled_number(html: Column, label: str) -> Column:
     """The whole number in the table cell after the cell of a label."""
     return F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*{label}\s*</t[dh]>\s*<td[^>]*>\s*([0-9]+)", 1).try_cast("int")
+
+
+def labelled_text(html: Column, label: str) -> Column:
+    """The text of the table cell after the cell of a label, without tags and blanks at its ends; empty without one."""
+    cell = F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*{label}\s*</t[dh]>\s*<td[^>]*>(.*?)</td>", 1)
+    return F.trim(F.regexp_replace(cell, "<[^>]*>", ""))
+
+
+def building_of_page(html: Column) -> Column:
+    """(country, floors, height, year) of a page of key and value cells; numbers null where missing or not whole."""
+    return F.struct(labelled_text(html, "Country").alias("country"), labelled_number(html, "Floors").alias("floors"), labelled_number(html, "Height").alias("height"), labelled_number(html, "Year").alias("year"))

@@ -220,3 +220,11 @@ def class_over_scales(scores: DataFrame, key: str) -> DataFrame:
 def in_area_range(annotations: DataFrame, least: float, most: float, crowd: bool = False) -> DataFrame:
     """Annotations (area, crowd, ...) of an area in a range, of groups or of single things."""
     return annotations.where(F.col("area").between(least, most) & (F.col("crowd") == crowd))
+
+
+def of_categories(annotations: DataFrame, categories: DataFrame, names: list[str] | None = None, supercategories: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Annotations (category_id, ...) of categories (id, name, supercategory) that are in every list given."""
+    kept = categories
+    for column, values in (("name", names), ("supercategory", supercategories), ("id", ids)):
+        kept = kept if values is None else kept.where(F.col(column).isin(values))
+    return annotations.join(kept.select(F.col("id").alias("category_id")), "category_id", "left_semi")

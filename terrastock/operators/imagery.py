@@ -198,3 +198,31 @@ def seen_edges(ring: Column, camera: Column) -> Column:
         return ~F.exists(F.filter(edges, lambda o: (o["a"] != e["a"]) | (o["b"] != e["b"])), lambda o: geo.segments_intersect(camera, middle, o["a"], o["b"]))
 
     return F.filter(edges, free)
+
+
+def camera_parameters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, foot_lat, foot_lon, distance_ft, plane_lat1, plane_lon1, plane_lat2, plane_lon2, fov, scale_ft, heading) of a
+    camera (lat, lon) that looks at a line (lat1, lon1, lat2, lon2): the foot of the perpendicular from the camera to it,
+    the plane of the image, which reaches from the end further from the foot as far to the other side, the field of view
+    in tens of degrees, at most 120, then with the plane that this shows, feet in each of 640 columns, and the bearing.
+
+    Null where the line is level or upright in degrees.
+    """
+    m = (F.col("lon1") - F.col("lon2")) / F.nullif(F.col("lat1") - F.col("lat2"), F.lit(0.0))
+    slope = F.nullif(m, F.lit(0.0))
+    x = slope / (1 + slope * slope) * (F.col("lat") / slope + slope * F.col("lat1") + F.col("lon") - F.col("lon1"))
+    feet = lambda a, b: geo.haversine_ft(F.col(a[1]), F.col(a[0]), F.col(b[1]), F.col(b[0]))
+    foot, cam, ends = ("foot_lat", "foot_lon"), ("lat", "lon"), (("lat1", "lon1"), ("lat2", "lon2"))
+    at = rows.select(*keys, *cam, *ends[0], *ends[1], slope.alias("__m"), x.alias("foot_lat")).withColumn("foot_lon", F.col("__m") * (F.col("foot_lat") - F.col("lat1")) + F.col("lon1"))
+    at = at.withColumns({"distance_ft": feet(cam, foot), "__d1": feet(foot, ends[0]), "__d2": feet(foot, ends[1])})
+    first = F.col("__d1") >= F.col("__d2")
+    at = at.withColumns({"__a": F.when(first, F.col("lat1")).otherwise(F.col("lat2")), "__b": F.when(first, F.col("lon1")).otherwise(F.col("lon2")), "__e": F.greatest("__d1", "__d2")})
+    wide = F.ceil(2 * F.degrees(F.atan2("__e", "distance_ft")) / 10) * 10
+    at = at.withColumns({"__w": wide, "__c": 2 * F.col("foot_lat") - F.col("__a"), "__f": 2 * F.col("foot_lon") - F.col("__b")})
+    # beyond 120 degrees the plane is drawn in to what 120 show
+    share = F.col("distance_ft") * F.tan(F.lit(pi / 3)) / (feet(("__a", "__b"), ("__c", "__f")) / 2)
+    at = at.withColumn("__s", F.when(F.col("__w") > 120, share).otherwise(1.0))
+    side = lambda f, v, sign: F.when(F.col("__w") > 120, F.col(f) + sign * F.col("__s") * (F.col(f) - F.col(v))).otherwise(F.col(v) if sign < 0 else 2 * F.col(f) - F.col(v))
+    at = at.withColumns({"plane_lat1": side("foot_lat", "__a", -1), "plane_lon1": side("foot_lon", "__b", -1), "plane_lat2": side("foot_lat", "__a", 1), "plane_lon2": side("foot_lon", "__b", 1)})
+    out = {"fov": F.least(F.col("__w"), F.lit(120)).cast("long"), "scale_ft": feet(("plane_lat1", "plane_lon1"), ("plane_lat2", "plane_lon2")) / 640, "heading": F.bround(geo.bearing_deg(F.col("lon"), F.col("lat"), F.col("foot_lon"), F.col("foot_lat")), 2)}
+    return at.withColumns(out).select(*keys, "foot_lat", "foot_lon", "distance_ft", "plane_lat1", "plane_lon1", "plane_lat2", "plane_lon2", *out)

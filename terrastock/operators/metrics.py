@@ -116,3 +116,12 @@ def running_mean(df: DataFrame, key: str, order: list[str], value: str, weight:
     """``df`` with ``mean``: of all rows of the key so far, weighted."""
     so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("mean", F.sum(F.col(value) * F.col(weight)).over(so_far) / F.nullif(F.sum(weight).over(so_far), F.lit(0)))
+
+
+def top_k_accuracy(scores: DataFrame, truths: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """One row: for each k the share of queries whose true class (query_id, truth) is among the k best of (query_id, label,
+    score), ties to the smaller label; a query without scores is wrong."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
+    ranked = scores.withColumn("__r", rank).select("query_id", F.col("label").alias("truth"), "__r")
+    met = truths.join(ranked, ["query_id", "truth"], "left")
+    return met.agg(*(F.avg(F.coalesce(F.col("__r") <= k, F.lit(False)).cast("double")).alias(f"top_{k}") for k in ks))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrastock.functions import geo
-from terrastock.operators import anchors, draws, imagery, rasters
+from terrastock.functions import geo, parse
+from terrastock.operators import anchors, detection, draws, imagery, metrics, rasters
 from terrastock.plans import views
-from terrastock.plans.registry import _BOXES, _FPS, _HAV, _PTS, D, query
+from terrastock.plans.registry import _BOXES, _HAV, _PTS, D, query
+from terrastock.plans.registry_shapes import _TURNED
 
 _KINDS = ", ".join(f"({k}, {s}, {D(repr(w))}, {D(repr(h))})" for k, s, w, h in anchors.kinds())
 _ASSIGNED = f"""{_BOXES}, kinds(kind, stride, hw, hh) AS (VALUES {_KINDS}), sized AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, least(x2 - x1, 2 * hw) * least(y2 - y1, 2 * hh) AS shared FROM boxes, kinds),
@@ -173,3 +174,61 @@ def parts_drawn_by_size(s, d):
     """A part for each order, the larger the likelier; tested by shares, alike in every run."""
     orders = views.table(s, d, "orders").select("o_orderkey")
     return draws.weighted_draws(views.table(s, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", orders, "o_orderkey", seed=5)
+
+
+_FEET = "2 * 3958.8::double * 5280 * asin(sqrt(pow(sin(radians({q0} - {p0}) / 2), 2) + cos(radians({p0})) * cos(radians({q0})) * pow(sin(radians({q1} - {p1}) / 2), 2)))"
+
+
+def _feet(p: str, q: str) -> str:
+    (p0, p1), (q0, q1) = p.split(), q.split()
+    return _FEET.format(p0=p0, p1=p1, q0=q0, q1=q1)
+
+
+_HEAD = "degrees(atan2(sin(radians(fy - lon)) * cos(radians(fx)), cos(radians(lat)) * sin(radians(fx)) - sin(radians(lat)) * cos(radians(fx)) * cos(radians(fy - lon))))"
+
+
+@query(f"""WITH {_TURNED[: _TURNED.index("rs AS (")].rstrip().rstrip(",")}, e AS (SELECT t.bldg_id, ring[1].lat AS lat1, ring[1].lon AS lon1, ring[2].lat AS lat2, ring[2].lon AS lon2, p.lat - ((t.bldg_id % 9) + 1) / {D(20000)} AS lat, p.lon - ((t.bldg_id % 7) + 1) / {D(20000)} AS lon FROM turned t JOIN tp p USING (bldg_id)),
+m AS (SELECT *, (lon1 - lon2) / (lat1 - lat2) AS m FROM e), f AS (SELECT *, m / (1 + m * m) * (lat / m + m * lat1 + lon - lon1) AS fx FROM m), g AS (SELECT *, m * (fx - lat1) + lon1 AS fy FROM f),
+d AS (SELECT *, {_feet('lat lon', 'fx fy')} AS dist, {_feet('fx fy', 'lat1 lon1')} AS d1, {_feet('fx fy', 'lat2 lon2')} AS d2 FROM g), s AS (SELECT *, CASE WHEN d1 >= d2 THEN lat1 ELSE lat2 END AS a, CASE WHEN d1 >= d2 THEN lon1 ELSE lon2 END AS b, greatest(d1, d2) AS ext FROM d),
+w AS (SELECT *, ceil(2 * degrees(atan2(ext, dist)) / 10) * 10 AS w, 2 * fx - a AS c, 2 * fy - b AS h FROM s), k AS (SELECT *, CASE WHEN w > 120 THEN dist * tan(pi() / 3) / ({_feet('a b', 'c h')} / 2) ELSE 1 END AS k FROM w),
+q AS (SELECT *, CASE WHEN w > 120 THEN fx - k * (fx - a) ELSE a END AS px, CASE WHEN w > 120 THEN fy - k * (fy - b) ELSE b END AS py, CASE WHEN w > 120 THEN fx + k * (fx - a) ELSE c END AS qx, CASE WHEN w > 120 THEN fy + k * (fy - b) ELSE h END AS qy FROM k)
+SELECT bldg_id, round(fx, 6) AS foot_lat, round(fy, 6) AS foot_lon, round(dist, 2) AS distance_ft, cast(least(w, 120) AS bigint) AS fov, round({_feet('px py', 'qx qy')} / 640, 4) AS scale_ft, round_even({_TURN.format(x=_HEAD, y=D(360))}, 2) AS heading FROM q""")
+def cameras_of_fronts(s, d):
+    """foot, distance, field of view, scale and heading of a camera beside each turned footprint's first edge."""
+    fps = views.turned_footprints(s, d).join(views.points(s, d, "part").withColumnRenamed("p_partkey", "bldg_id"), "bldg_id")
+    end = lambda i, k: F.get("ring", F.lit(i))[k]
+    rows = fps.select("bldg_id", end(0, "lat").alias("lat1"), end(0, "lon").alias("lon1"), end(1, "lat").alias("lat2"), end(1, "lon").alias("lon2"), (F.col("lat") - ((F.col("bldg_id") % 9) + 1) / F.lit(20000.0)).alias("lat"), (F.col("lon") - ((F.col("bldg_id") % 7) + 1) / F.lit(20000.0)).alias("lon"))
+    got = imagery.camera_parameters(rows, ["bldg_id"])
+    return got.select("bldg_id", *(F.round(c, n).alias(c) for c, n in (("foot_lat", 6), ("foot_lon", 6), ("distance_ft", 2))), "fov", F.round("scale_ft", 4).alias("scale_ft"), "heading")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS truth, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id, label, list_dot_product(q::double[], embedding::double[]) AS sim FROM q, embeddings WHERE vec_id <> query_id),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 50), t AS (SELECT query_id, label, sum(exp(sim / 0.07)) AS s FROM k GROUP BY 1, 2), r AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) AS r FROM t)
+SELECT round(avg(coalesce(r <= 1, false)::int), 6) AS top_1, round(avg(coalesce(r <= 5, false)::int), 6) AS top_5 FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.label = q.truth""")
+def accuracy_of_neighbours(s, d):
+    """How often the true class is the best, or among the best five, of fifty neighbours."""
+    e = views.table(s, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("truth"))
+    scores = metrics.weighted_knn(asked.drop("truth"), e.select("vec_id", F.col("embedding").alias("v"), "label"), 50, 0.07)
+    return metrics.top_k_accuracy(scores, asked.select("query_id", "truth")).select(F.round("top_1", 6).alias("top_1"), F.round("top_5", 6).alias("top_5"))
+
+
+@query("""SELECT c_nationkey AS category_id, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (1, 2, 3) AND n_nationkey NOT IN (2, 3) GROUP BY 1""")
+def annotations_of_categories(s, d):
+    """Annotations by supercategory and by id; nations are categories, regions supercategories."""
+    nations = views.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("supercategory"))
+    rows = views.table(s, d, "customer").select(F.col("c_nationkey").alias("category_id"), "c_custkey")
+    got = detection.of_categories(rows, nations, supercategories=["1", "2", "3"], ids=[k for k in range(25) if k not in (2, 3)])
+    return got.groupBy("category_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, p_size AS floors, p_size * 4 AS height, cast(1900 + p_partkey % 120 AS integer) AS "year" FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 0""")
+def buildings_of_pages(s, d):
+    """Floors, height and year read off a page of cells for each part, of those in the United States that have all."""
+    row = lambda label, value: F.concat(F.lit(f"<tr>\n<TH class='k'> {label} </TH><td>"), value, F.lit("</td></tr>"))
+    k = F.col("p_partkey")
+    country = F.when(k % 3 == 0, "Canada").otherwise("<a href='/us'>United States</a> ")
+    floors = F.when(k % 4 == 0, "unknown").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" above ground")))
+    html = F.concat(F.lit("<table>"), row("Country", country), row("Floors", floors), row("Height", F.concat((F.col("p_size") * 4).cast("string"), F.lit(" ft"))), row("Year", (1900 + k % 120).cast("string")), F.lit("</table>"))
+    read = views.table(s, d, "part").select("p_partkey", parse.building_of_page(html).alias("b")).where("b.country = 'United States' and b.floors is not null and b.height is not null and b.year is not null")
+    return read.select("p_partkey", "b.floors", "b.height", "b.year")
