@@ -514,4 +514,4 @@ def era_and_codes(s, d):
     return views.table(s, d, "part").select("p_partkey", parse.era_year(z % 6).alias("yr"), parse.rgb_class(z, z % 7, z % 5).cast("long").alias("rgb"), parse.round_up(z, 8).cast("long").alias("padded"))
 
 
-from terrastock.plans import registry_images, registry_more, registry_rest, registry_roads, registry_shapes  # noqa: E402, F401  further queries register themselves
+from terrastock.plans import inventory, registry_images, registry_more, registry_rest, registry_roads, registry_shapes  # noqa: E402, F401  further queries register themselves
