@@ -11,6 +11,7 @@ from brute import BLANK, ODD, odd
 from oracle import SF, same
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terrastock.llm import ball_kmeans, chat_events, hard_negatives, mil_quality, scaled_sketch, substring_dedup
 from terrastock.llm.common import Shingler
 from terrastock.llm.queries import ORACLE, QUERIES
@@ -261,3 +262,13 @@ def test_sketches_of_many_rows_of_one_id(spark):
     assert [(*r[:5], pytest.approx(r[5]), pytest.approx(r[6])) for r in sorted(got, key=str)] == plain_sketches(spark, docs)
     places = odd(spark, [(None, f"t{k}") for k in range(4000)]).select(F.lit(-(2**63)).alias("id"), F.xxhash64("text").alias("h"))
     assert len(scaled_sketch._firsts(places)) > 2  # one id is many ranges
+
+
+def test_pipeline_and_new_queries_over_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "embeddings", "conversations"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name in ("op2_scaled_sketch", "op11_hard_negatives", "op12_ball_kmeans", "op13_substring_dedup"):
+        got, full = QUERIES[name](spark, str(tmp_path)), QUERIES[name](spark, SF)
+        assert got.count() == 0 and got.dtypes == full.dtypes
+    assert [r["conv_id"] for r in QUERIES["op8_chat_events"](spark, str(tmp_path)).collect()] == [-1]
