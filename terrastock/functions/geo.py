@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column
@@ -58,8 +59,17 @@ def ring_bbox(ring: Column) -> Column:
     return F.struct(side(F.array_min, "lon").alias("min_lon"), side(F.array_min, "lat").alias("min_lat"), side(F.array_max, "lon").alias("max_lon"), side(F.array_max, "lat").alias("max_lat"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once: inside functions on arrays a column's expression would be for each item."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ring_centroid(ring: Column) -> Column:
     """Area-weighted centre of a closed ring, taken about its first point for precision."""
+    return once(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     lon0, lat0 = ring[0]["lon"], ring[0]["lat"]
     x, y = (lambda p: p["lon"] - lon0), (lambda p: p["lat"] - lat0)
     cross = lambda s: x(s["a"]) * y(s["b"]) - x(s["b"]) * y(s["a"])

@@ -191,13 +191,12 @@ def front_lines(views: DataFrame, key: str) -> DataFrame:
 
 def seen_edges(ring: Column, camera: Column) -> Column:
     """The edges of a closed ring whose middle no other edge hides from a camera."""
-    edges = geo.segments(ring)
 
-    def free(e: Column) -> Column:
+    def free(e: Column, edges: Column) -> Column:
         middle = geo.point((e["a"]["lon"] + e["b"]["lon"]) / 2, (e["a"]["lat"] + e["b"]["lat"]) / 2)
-        return ~F.exists(F.filter(edges, lambda o: (o["a"] != e["a"]) | (o["b"] != e["b"])), lambda o: geo.segments_intersect(camera, middle, o["a"], o["b"]))
+        return ~F.exists(edges, lambda o: ((o["a"] != e["a"]) | (o["b"] != e["b"])) & geo.segments_intersect(camera, middle, o["a"], o["b"]))
 
-    return F.filter(edges, free)
+    return geo.once(geo.segments(ring), lambda edges: F.filter(edges, lambda e: free(e, edges)))
 
 
 def camera_parameters(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,21 +26,37 @@ def with_cells(df: DataFrame, cell: float, min_lon: Column, min_lat: Column, max
     return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
 
 
-def points_in_rings(rings: DataFrame, points: DataFrame, cell: float = 0.02, mode: str = "envelope", ring: str = "ring") -> DataFrame:
-    """All (ring row, point row) pairs with the point in the ring's envelope, or inside the ring if mode is contains."""
-    box = geo.ring_bbox(F.col(ring))
-    spread = with_cells(rings.withColumn("__box", box), cell, *(F.col(f"__box.{k}") for k in ("min_lon", "min_lat", "max_lon", "max_lat")))
+def _in_boxes(rows: DataFrame, points: DataFrame, cell: float, limit: int) -> DataFrame:
+    """Pairs of rows and the points in their ``__box``. A cell with more than ``limit`` points is cut into finer ones, so that
+    no key of the join holds many more; points at one place stay together."""
+    bounds = {"x": ("lon", "min_lon", "max_lon"), "y": ("lat", "min_lat", "max_lat")}
+    spread = with_cells(rows, cell, *(F.col(f"__box.{k}") for k in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    placed = with_cell(points, cell)
+    crowded = placed.groupBy("__cx", "__cy").agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    finer = crowded.select("__cx", "__cy", F.least(F.ceil(F.sqrt(F.col("__n") / limit)), F.lit(1024)).cast("int").alias("__f"))
+    split = lambda df: df.join(finer, ["__cx", "__cy"], "left").na.fill(1, ["__f"])
+    # the finer cell of a place in its cell; what lies beyond the cell counts to its edge
+    fine = lambda x, c: F.greatest(F.lit(0), F.least(F.col("__f") - 1, F.floor((x / cell - F.col(f"__c{c}")) * F.col("__f")).cast("int")))
+    spread, placed = split(spread), split(placed)
+    for c, (at, low, high) in bounds.items():
+        spread = spread.withColumn(f"__s{c}", F.explode(F.sequence(fine(F.col(f"__box.{low}"), c), fine(F.col(f"__box.{high}"), c))))
+        placed = placed.withColumn(f"__s{c}", fine(F.col(at), c))
     inside = F.col("lon").between(F.col("__box.min_lon"), F.col("__box.max_lon")) & F.col("lat").between(F.col("__box.min_lat"), F.col("__box.max_lat"))
-    if mode == "contains":
-        inside = inside & geo.point_in_ring(F.col("lon"), F.col("lat"), F.col(ring))
-    return spread.join(with_cell(points, cell), ["__cx", "__cy"]).where(inside).drop("__cx", "__cy", "__box")
+    keys = ["__cx", "__cy", "__sx", "__sy"]
+    return spread.drop("__f").join(placed.drop("__f"), keys).where(inside).drop(*keys, "__box")
+
 
+def points_in_rings(rings: DataFrame, points: DataFrame, cell: float = 0.02, mode: str = "envelope", ring: str = "ring", limit: int = 4096) -> DataFrame:
+    """All (ring row, point row) pairs with the point in the ring's envelope, or inside the ring if mode is contains."""
+    met = _in_boxes(rings.withColumn("__box", geo.ring_bbox(F.col(ring))), points, cell, limit)
+    return met.where(geo.point_in_ring(F.col("lon"), F.col("lat"), F.col(ring))) if mode == "contains" else met
 
-def first_match(pairs: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the pair that is smallest by ``order``."""
-    values = [c for c in pairs.columns if c != key]
-    best = pairs.groupBy(key).agg(F.min_by(F.struct(*values), order).alias("__v"))
-    return best.select(key, *(F.col(f"__v.{c}").alias(c) for c in values))
+
+def first_in_rings(rings: DataFrame, points: DataFrame, key: str, order: str, cell: float = 0.02, ring: str = "ring", limit: int = 4096) -> DataFrame:
+    """(order, key, other columns of ``points``): of the points in each ring's envelope the one with the smallest ``order``, a
+    key of ``points``. Only keys and envelopes meet the places; a point's other columns come to the one chosen."""
+    met = _in_boxes(rings.select(key, geo.ring_bbox(F.col(ring)).alias("__box")), points.select(order, "lon", "lat"), cell, limit)
+    return met.groupBy(key).agg(F.min(order).alias(order)).join(points.drop("lon", "lat"), order)
 
 
 def points_in_roi(points: DataFrame, roi: list[tuple[float, float]]) -> DataFrame:
@@ -66,22 +82,8 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_ft: float, lat_limit:
     return near.withColumn("dist_ft", geo.haversine_ft(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat"))).where(F.col("dist_ft") <= radius_ft).drop("__cx", "__cy")
 
 
-def knn_prefer_inside(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float = 0.05, ring: str = "ring") -> DataFrame:
-    """Of the ``k`` points nearest to a ring's first vertex (within ``reach`` degrees each way), the nearest one inside
-    the ring, or the nearest one."""
-    x, y = F.col(ring)[0]["lon"], F.col(ring)[0]["lat"]
-    spread = with_cells(rings.withColumns({"__x": x, "__y": y}), reach, F.col("__x") - reach, F.col("__y") - reach, F.col("__x") + reach, F.col("__y") + reach)
-    near = spread.join(with_cell(points, reach), ["__cx", "__cy"]).where((F.abs(F.col("lon") - F.col("__x")) <= reach) & (F.abs(F.col("lat") - F.col("__y")) <= reach))
-    d2 = (F.col("lon") - F.col("__x")) * (F.col("lon") - F.col("__x")) + (F.col("lat") - F.col("__y")) * (F.col("lat") - F.col("__y"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("__d2", point_key))
-    ranked = near.withColumn("__d2", d2).withColumn("__rank", rank).where(F.col("__rank") <= k)
-    inside = geo.point_in_ring(F.col("lon"), F.col("lat"), F.col(ring))
-    best = ranked.withColumn("inside", inside).groupBy(key).agg(F.min_by(F.struct(point_key, "inside"), F.struct(~F.col("inside"), F.col("__rank"))).alias("v"))
-    return best.select(key, F.col(f"v.{point_key}").alias(point_key), F.col("v.inside").alias("inside"))
-
-
 def knn_prefer_inside_all(rings: DataFrame, points: DataFrame, key: str, point_key: str, k: int = 10, reach: float | None = None, ring: str = "ring") -> DataFrame:
-    """``knn_prefer_inside`` without a limit of distance. ``reach`` is where the search begins, if not given where about
+    """Of the ``k`` points nearest to a ring's first vertex the nearest one inside the ring, or the nearest one. ``reach`` is where the search begins, if not given where about
     ``2 * k`` evenly spread points would lie; it is doubled for the rings that have fewer than ``k`` points so near, until
     it spans all. Only keys and first vertices meet the points; rings come back for the best ``k``. ``key`` must not be
     null."""

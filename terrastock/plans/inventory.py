@@ -26,8 +26,7 @@ def regional_inventory(footprints: DataFrame, structures: DataFrame, area: areas
     placed = footprints.withColumn("__m", middle).withColumns({"Longitude": F.round("__m.lon", 6), "Latitude": F.round("__m.lat", 6)}).drop("__m")
     ours = placed.where(geo.point_in_ring(F.col("Longitude"), F.col("Latitude"), areas.ring_of(area)))
     own = [c for c in wanted if c in structures.columns]
-    pairs = spatial.points_in_rings(ours.select("bldg_id", "ring"), structures.select("struct_id", "lon", "lat", *(F.col(c).alias(f"s_{c}") for c in own)), cell)
-    first = spatial.first_match(pairs.select("bldg_id", "struct_id", *(f"s_{c}" for c in own)), "bldg_id", "struct_id")
+    first = spatial.first_in_rings(ours.select("bldg_id", "ring"), structures.select("struct_id", "lon", "lat", *(F.col(c).alias(f"s_{c}") for c in own)), "bldg_id", "struct_id", cell)
     met = ours.join(first, "bldg_id", "left")
     value = lambda c: F.coalesce(*(F.col(n) for n in (f"s_{c}", c) if n in met.columns))
     held = [c for c in wanted if c in own or c in footprints.columns]

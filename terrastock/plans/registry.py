@@ -56,8 +56,8 @@ def nsi_point_in_envelope(s, d):
     """The first structure in each footprint's envelope, its value before the footprint's."""
     fps = views.footprints(s, d)
     points = _customers(s, d, "c_custkey as struct_id", "c_acctbal as value", "c_mktsegment as segment")
-    pairs = spatial.points_in_rings(fps.select("bldg_id", "ring"), points).select("bldg_id", "struct_id", "value", "segment")
-    return fps.join(spatial.first_match(pairs, "bldg_id", "struct_id"), "bldg_id", "left").select("bldg_id", "struct_id", F.coalesce("occupancy", "segment").alias("occupancy"), F.coalesce("value", "repaircost").alias("repaircost"), "numstories")
+    first = spatial.first_in_rings(fps.select("bldg_id", "ring"), points, "bldg_id", "struct_id")
+    return fps.join(first, "bldg_id", "left").select("bldg_id", "struct_id", F.coalesce("occupancy", "segment").alias("occupancy"), F.coalesce("value", "repaircost").alias("repaircost"), "numstories")
 
 
 @query(f"WITH {_FPS}, {_PTS['customer']} SELECT bldg_id, c_custkey FROM fps JOIN customer_pts ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1")
@@ -234,8 +234,8 @@ def bridge_format(s, d):
     return views.table(s, d, "supplier").select("s_suppkey", parse.bridge_class(F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 10).cast("string")).cast("long").alias("bridge_class"), F.lit("BRIDGE").alias("kind"))
 
 
-def _segments(s, d, modulus=1):
-    return graph.explode_segments(views.roads(s, d, modulus))
+def _segments(s, d):
+    return graph.explode_segments(views.roads(s, d))
 
 
 @query(f"WITH {_ROADS} SELECT line_id, part, round(alon, 6) AS a_lon, round(blat, 6) AS b_lat FROM segs")

@@ -38,9 +38,9 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("bldg_id"), ring.alias("ring"), F.col("p_retailprice").alias("repaircost"), F.col("p_size").alias("numstories"), F.col("p_type").alias("occupancy"), F.col("p_brand").alias("constype"))
 
 
-def roads(spark: SparkSession, sf_dir: str, modulus: int = 1) -> DataFrame:
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, line, cls, name) of orders: vertices from their items in order."""
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lon = f"{lon_sql('l_orderkey', 'orders')} + ((l_partkey % 11) - 5) / cast(1000 as double)"
     lat = f"{lat_sql('l_orderkey', 'orders')} + ((l_suppkey % 11) - 5) / cast(1000 as double)"
     placed = items.selectExpr("l_orderkey as line_id", "struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as o", f"{lon} as lon", f"{lat} as lat")

@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 
-from terrastock.operators import detection, graph
+from terrastock.functions import geo
+from terrastock.operators import detection, graph, spatial
 from terrastock.plans import views
 from terrastock.plans.registry import QUERIES
 
@@ -75,3 +77,28 @@ def test_a_thousand_boxes_need_little_memory():
     b[:, 2:] += b[:, :2]
     whole, middle = detection._joint_area(b, 200, 400, 1000)
     assert 0 < middle < whole < 10**6
+
+
+@pytest.mark.parametrize("limit", [2, 50, 4096])
+def test_points_in_rings_where_a_third_lie_in_one_place(spark, limit):
+    rng = random.Random(limit)
+    places = [(k, 5.0, 5.0) if k % 3 == 0 else (k, rng.choice([rng.uniform(-3, 12), 5 + rng.random() / 100, float(rng.randrange(10))]), rng.uniform(-3, 12)) for k in range(300)]
+    rings = [(k, float(x), float(y), x + w, y + h) for k in range(40) for x, y, w, h in [(rng.randrange(-2, 9) + rng.choice([0.0, 0.3]), rng.randrange(-2, 9), rng.choice([0.0, 0.5, 2.0]), rng.choice([0.25, 3.0]))]]
+    points = spark.createDataFrame([*places, (900, None, 1.0), (901, 2.0, None)], "p int, lon double, lat double").withColumn("name", F.concat(F.lit("n"), "p"))
+    corner = lambda x, y: geo.point(F.col(x), F.col(y))
+    drawn = spark.createDataFrame(rings, "k int, x0 double, y0 double, x1 double, y1 double")
+    drawn = drawn.select("k", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")).alias("ring"))
+    want = {(k, p) for k, x0, y0, x1, y1 in rings for p, x, y in places if x0 <= x <= x1 and y0 <= y <= y1}
+    got = [(r["k"], r["p"]) for r in spatial.points_in_rings(drawn, points, 1.0, limit=limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = {r["k"]: (r["p"], r["name"]) for r in spatial.first_in_rings(drawn, points, "k", "p", 1.0, limit=limit).collect()}
+    assert first == {k: (p, f"n{p}") for k in {k for k, _ in want} for p in [min(p for j, p in want if j == k)]}
+    assert spatial.points_in_rings(drawn.limit(0), points, 1.0).isEmpty() and spatial.points_in_rings(drawn, points.limit(0), 1.0).isEmpty()
+
+
+def test_anchors_stay_in_the_task_of_their_box(spark):
+    plan = QUERIES["anchors_of_boxes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # nothing is shuffled between the places of boxes and the choice of each anchor's box
+    placed = plan.index("Generate explode(CASE")
+    chosen = plan[:placed].rindex("min(struct(")
+    assert "Exchange" not in plan[chosen:placed]
