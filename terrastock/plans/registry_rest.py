@@ -9,7 +9,7 @@ from terrastock.functions import geo, parse
 from terrastock.operators import detection, fusion, graph, metrics
 from terrastock.plans import views
 from terrastock.plans.registry import _BOXES, _FPS, _HAV, _JUDGED, _PTS, _ROADS, D, _segments, query
-from terrastock.sources import readers, writers
+from terrastock.sources import images, readers, writers
 
 #: An area by its corners, and one that is no box.
 AREA = (-122.4, 37.6, -122.2, 37.8)
@@ -318,6 +318,25 @@ def image_positions(s, d):
     return readers.exif_position(rows).select(F.col("image").alias("p_partkey"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def _photographs(s, d):
+    """(p_partkey, content): the first bytes of a photograph taken at a place that the part's key and size give."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    number = lambda x: F.lpad(F.hex((F.lit(x) if isinstance(x, int) else x).cast("long")), 8, "0")
+    field = lambda tag, kind, n, value: F.concat(F.lit(f"{tag:04X}{kind:04X}{n:08X}"), value)
+    place = lambda deg: [number(x) for x in (deg, 1, k % 60, 1, k % 59 * 100, 100)]
+    refs = [F.when(k % n == 0, F.lit(f"{ord(a):02X}000000")).otherwise(F.lit(f"{ord(b):02X}000000")) for n, a, b in ((2, "S", "N"), (3, "W", "E"))]
+    table = [field(1, 2, 2, refs[0]), field(2, 5, 3, number(92)), field(3, 2, 2, refs[1]), field(4, 5, 3, number(116)), field(17, 5, 1, number(140))]
+    start = F.lit("FFD8FFE1009C" + b"Exif\0\0MM".hex() + "002A00000008" + "0001" + "88250004000000010000001A" + "00000000" + "0005")
+    return views.table(s, d, "part").select(k, F.unhex(F.concat(start, *table, number(0), *place(size), *place(size + 1), number(k % 3600), number(10))).alias("content"))
+
+
+@query(f"SELECT p_partkey, round((p_size + (p_partkey % 60) / {D(60)} + (p_partkey % 59) / {D(3600)}) * CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END, 6) AS lat, round((p_size + 1 + (p_partkey % 60) / {D(60)} + (p_partkey % 59) / {D(3600)}) * CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END, 6) AS lon, (p_partkey % 3600) / {D(10)} AS heading FROM part")
+def positions_in_headers(s, d):
+    """Places and headings read from the bytes of photographs' headers."""
+    got = images.header_positions(_photographs(s, d), "p_partkey")
+    return got.select(F.col("image").alias("p_partkey"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heading")
+
+
 @query(f"WITH {_BOXES}, b AS (SELECT * FROM boxes WHERE label = 'R') SELECT image, x1 - 5 AS x1, y1 - 5 AS y1, x2 + 5 AS x2, y2 + 5 AS y2 FROM b QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) = 1")
 def best_boxes(s, d):
     """V10."""
