@@ -26,9 +26,10 @@ def image_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("
 
 def _number(content: Column, at: Column, size: int, little: Column | bool = False) -> Column:
     """The unsigned number of ``size`` bytes at a place from 0; null beyond the end."""
-    parts = [F.conv(F.hex(F.substring(content, at.cast("int") + 1 + i, F.lit(1))), 16, 10).cast("long") for i in range(size)]
-    value = lambda items: sum((p * 256**k for k, p in enumerate(items)), F.lit(0).cast("long"))
-    return F.when(F.lit(little) if isinstance(little, bool) else little, value(parts)).otherwise(value(parts[::-1]))
+    held = F.hex(F.substring(content, at.cast("int") + 1, F.lit(size)))
+    turned = F.regexp_replace(F.reverse(held), "(.)(.)", "$2$1")
+    order = held if little is False else F.when(little, turned).otherwise(held)
+    return F.when(at + size <= F.octet_length(content), F.conv(order, 16, 10).cast("long"))
 
 
 def _bytes_at(content: Column, at: Column, size: int) -> Column:
@@ -55,13 +56,15 @@ def header_positions(images: DataFrame, image: str = "path", content: str = "con
     # places in the header count from its first byte
     rows = rows.withColumn("__t", F.when(found(F.col("__at")), F.col("__at") + 10)).withColumn("__little", _bytes_at(c, F.col("__t"), 2) == F.lit(b"II"))
     little, start = F.col("__little"), F.col("__t")
-    at_value = lambda e: start + _number(c, e + 8, 4, little)
-    rows = rows.withColumn("__gps", at_value(_field(c, start + _number(c, start + 4, 4, little), GPS, little)))
-    for tag in (LAT_REF, LAT, LON_REF, LON, DIRECTION):
-        rows = rows.withColumn(f"__f{tag}", _field(c, F.col("__gps"), tag, little))
+    at_value = lambda e: start + _number(c, F.col(e) + 8, 4, little)
+    # one step at a time, so that each is a column and no expression holds copies of those before it
+    rows = rows.withColumn("__first", start + _number(c, start + 4, 4, little)).withColumn("__e", _field(c, F.col("__first"), GPS, little)).withColumn("__gps", at_value("__e"))
+    tags = (LAT_REF, LAT, LON_REF, LON, DIRECTION)
+    rows = rows.withColumns({f"__f{tag}": _field(c, F.col("__gps"), tag, little) for tag in tags})
+    rows = rows.withColumns({f"__v{tag}": at_value(f"__f{tag}") for tag in (LAT, LON, DIRECTION)})
 
     def ratio(tag: int, k: int = 0) -> Column:
-        at = at_value(F.col(f"__f{tag}")) + 8 * k
+        at = F.col(f"__v{tag}") + 8 * k
         return _number(c, at, 4, little) / F.nullif(_number(c, at + 4, 4, little), F.lit(0).cast("long"))
 
     side = lambda tag: F.upper(_bytes_at(c, F.col(f"__f{tag}") + 8, 1).cast("string"))
