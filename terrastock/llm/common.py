@@ -130,6 +130,10 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text, its sorted distinct 64-bit shingle hashes."""
+        return [np.unique(s) for s in self.sequences(texts)]
+
+    def sequences(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text, the 64-bit hashes of its shingles, one after the other."""
         if len(self.hashes) >= _WordHashes.MOST:
             self.hashes.clear()
         split = [(t or "").encode().lower().split() for t in texts]
@@ -142,7 +146,7 @@ class Shingler:
         rolled, ends, out = mix64(rolled), np.cumsum(lengths), []
         for n, end in zip(lengths.tolist(), ends.tolist(), strict=True):
             if n >= k:
-                out.append(np.unique(rolled[end - n : end - k + 1]))
+                out.append(rolled[end - n : end - k + 1])
             elif n:
                 h = np.uint64(n)
                 with np.errstate(over="ignore"):

@@ -7,7 +7,7 @@ differing element changes at most one cell, and sketches differ in no more place
 1. Sets of one size band (by powers of four; one near the next band takes part there too) are hashed to the same
    number of cells, a 64-bit exclusive or in each. With at most t differing cells, the t + 1 cells that come first in
    any order common to all documents share one between two alike sets (pigeonhole). The order puts cells with rare
-   shingles first, by a table of those that are frequent in a bounded sample of documents; it steers cost, not results.
+   shingles first, by counts over all documents, kept by hash in a table of bounded size.
 2. Equal cells are brought together by a shuffle and a sort. A small group gives its pairs; a large one gives pairs with
    its first member.
 3. Candidates pass if their bit sketches (one parity bit for each of four cells an element) differ in at most t bits;
@@ -41,8 +41,9 @@ from terrastock.llm.components import connected_components
 #: Groups of up to so many nodes give all their pairs at once.
 SMALL = 8
 BLOCK = 256
-SAMPLE_DOCS, FREQUENT = 4096, 8
-_TABLE_BITS, _BITMAP_BITS = 23, 22
+_TABLE_BITS, _BITMAP_BITS = 22, 22
+#: Places of the table of counts that make one row.
+_ROW = 4096
 SIGNATURES = "doc_id long, mark long, n long, node long, cells array<long>, sketch binary"
 
 
@@ -97,12 +98,19 @@ def _named_cells(shingles: np.ndarray, band: int, limit: int, bits: int) -> tupl
     return names, mix64(mix64(free)) >> np.uint64(2)
 
 
-def _rarity(shingles: np.ndarray, band: int, frequent: np.ndarray) -> np.ndarray:
-    """For each cell that holds something: 0 with two rare shingles or more, 1 with one, 2 with none."""
-    part = shingles >> np.uint64(64 - 2 * band - 1)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    rare = np.add.reduceat(~frequent[(shingles >> np.uint64(8)).astype(np.int64) & (len(frequent) - 1)], starts, dtype=np.int64)
-    return np.uint64(2) - np.minimum(rare, 2).astype(np.uint64)
+def _places(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Their places in a table of a power of two."""
+    return (shingles >> np.uint64(8)).astype(np.int64) & (size - 1)
+
+
+def _commonness(shingles: np.ndarray, bits: int, common: np.ndarray) -> np.ndarray:
+    """For each cell that holds something, below 1023: the level of its rarest shingle, then of the next (31 if it has one alone)."""
+    part = shingles >> np.uint64(64 - bits)
+    same = part[1:] == part[:-1]
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    level = np.sort((part << np.uint64(5)) | common[_places(shingles, len(common))].astype(np.uint64)) & np.uint64(31)
+    following = np.where(np.append(same, False), np.append(level[1:], level[:1]), np.uint64(31))
+    return (level[starts] << np.uint64(5)) | following[starts]
 
 
 def _bands(n: int) -> list[tuple[int, int]]:
@@ -117,44 +125,62 @@ def _bands(n: int) -> list[tuple[int, int]]:
     return found
 
 
-def cells_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def cells_of(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Cells by which a set must meet every set like it but not equal: in each band as many as may differ and one more,
-    those with rare shingles first, empty ones last."""
+    those with rare shingles first, empty ones last. ``common``: levels (up to 30) by place, low ones for rare shingles."""
     found = [np.zeros(0, np.uint64)]
     for band, limit in _bands(len(shingles)):
-        names, empty = _named_cells(shingles, band, limit, 2 * band + 1)
-        ranked = np.concatenate([(_rarity(shingles, band, frequent) << np.uint64(62)) | names, (np.uint64(3) << np.uint64(62)) | empty])
+        bits = 2 * band + 1
+        names, empty = (x >> np.uint64(8) for x in _named_cells(shingles, band, limit, bits))
+        ranked = np.concatenate([(_commonness(shingles, bits, common) << np.uint64(54)) | names, (np.uint64(1023) << np.uint64(54)) | empty])
         found.append(np.partition(ranked, limit)[: limit + 1])
     return np.concatenate(found).view(np.int64)
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """A table by hash of shingles found in many of about ``SAMPLE_DOCS`` documents; at most 2**_TABLE_BITS flags."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """A table by hash of how often shingles occur in all texts of ``docs``, as binary logarithms rounded down.
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+    Each task counts into a table of its own, whose rows are then added up by Spark.
+    """
+    size = 1 << _TABLE_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(), np.zeros(size, np.uint32)
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in slices(texts):
-                places = np.concatenate([np.zeros(0, np.int64), *(np.unique((s >> np.uint64(8)).astype(np.int64) & ((1 << _TABLE_BITS) - 1)) for s in shingler.sets(texts[i:j]))])
-                yield pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
+                for s in shingler.sequences(texts[i:j]):
+                    np.add.at(counts, _places(s, size), np.uint32(1))
+        for shift in (0, 8, 16, 24):  # by bytes, as most counts are small
+            part = (counts >> np.uint32(shift)).astype(np.uint8).reshape(-1, _ROW)
+            rows = np.flatnonzero(part.any(axis=1))
+            made = [pa.array(rows, pa.int64()), pa.array(np.full(len(rows), shift), pa.int64()), pa.array([x.tobytes() for x in part[rows]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "shift", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row, shift, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums.setdefault(row, np.zeros(_ROW, np.int64))
+                sums[row] += np.frombuffer(counts, np.uint8).astype(np.int64) << shift
+        levels = [np.minimum(np.frexp(np.maximum(x, 1))[1] - 1, 30).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], names=["row", "levels"])
 
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    rows = sampled.mapInArrow(shingles, "place long").groupBy("place").count().where(F.col("count") >= FREQUENT).select("place").toArrow()
-    table = np.zeros(1 << _TABLE_BITS, bool)
-    table[rows.column(0).to_numpy()] = True
-    return table
+    counted = docs.select("text").mapInArrow(count, "row long, shift long, counts binary").repartition("row").mapInArrow(add, "row long, levels binary")
+    table = np.zeros((size // _ROW, _ROW), np.uint8)
+    for r in cut(counted).toLocalIterator():
+        table[r["row"]] = np.frombuffer(r["levels"], np.uint8)
+    return table.ravel()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, n, node, cells, sketch) of (doc_id, text). Node is null without shingles; cells and sketch are null
     too for a node that the task has met before."""
     spark = docs.sparkSession
-    packed = spark.sparkContext.broadcast(np.packbits(_frequent(docs)).tobytes())
+    shared = spark.sparkContext.broadcast(common_shingles(docs).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
+        common = np.frombuffer(shared.value, np.uint8)
         shingler, met = Shingler(), set()
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -168,7 +194,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     met.add(node)
                     n.append(len(s))
                     nodes.append(node)
-                    cells.append(cells_of(s, frequent) if fresh else None)
+                    cells.append(cells_of(s, common) if fresh else None)
                     sketches.append(parity_bits(s) if fresh else None)
                 made = [pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *made], names=["doc_id", "mark", "n", "node", "cells", "sketch"])

@@ -9,6 +9,7 @@ from test_llm_text import check_pieces
 
 import corpus_pipeline
 from terrastock.llm import nn_descent, parity_join
+from terrastock.llm.common import Shingler
 from terrastock.llm.components import connected_components
 
 
@@ -83,6 +84,27 @@ def test_cells_meet():
             assert parity_join.bit_distance(parity_join.parity_bits(a), parity_join.parity_bits(b)) <= parity_join.difference_limit(len(a), len(b))
 
 
+def test_counts_of_shingles_cover_all_texts(spark):
+    """The order of cells follows counts over every document, also those after the first few thousand."""
+    rng = random.Random(3)
+    passage = text(rng, 30)
+    texts = [f"{k} {passage} {k}" if k % 50 == 0 else f"{k} " + text(rng, 12) for k in range(12_000)] + [None, "", "alone"]
+    table = parity_join.common_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(6))
+    places = np.concatenate([parity_join._places(s, len(table)) for s in Shingler().sequences(texts)])
+    assert table.tolist() == [max(n, 1).bit_length() - 1 for n in np.bincount(places, minlength=len(table)).tolist()]
+    assert table[parity_join._places(Shingler().sets([passage])[0], len(table))].min() >= 7  # 240 documents
+
+
+def test_cells_with_rare_shingles_come_first():
+    rng = np.random.default_rng(2)
+    s, common = np.unique(rng.integers(0, 2**63, 200, np.uint64) * np.uint64(2)), np.full(1 << 12, 9, np.uint8)
+    common[parity_join._places(s[::2], len(common))] = rng.integers(0, 5, len(s[::2]))
+    part = (s >> np.uint64(64 - 7)).tolist()
+    level = common[parity_join._places(s, len(common))].tolist()
+    cells = [sorted(b for a, b in zip(part, level, strict=True) if a == p) for p in sorted(set(part))]
+    assert parity_join._commonness(s, 7, common).tolist() == [32 * x[0] + (x[1] if len(x) > 1 else 31) for x in cells]
+
+
 def test_connected_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
