@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrastock.llm.common import Shingler, cut, mix64, release, slices
+from terrastock.llm.common import Shingler, cut, mix64, release, shuffles_removed, slices
 from terrastock.llm.components import connected_components
 
 #: Groups of up to so many nodes give all their pairs at once.
@@ -481,9 +481,15 @@ def _join_left_over(met: DataFrame, labels: DataFrame, nodes: DataFrame, owners:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, node, mark, first) of every row of ``docs``; ``first`` is the mark of its component's first row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(signatures(docs))
-    cells = signed.select(F.explode("cells").alias("cell"), "node")
+    with shuffles_removed(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
+    with_cells = cut(signatures(docs))
+    cells = with_cells.select(F.explode("cells").alias("cell"), "node")
     met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_meet, "cell long, a long, b long").distinct())
+    signed = cut(with_cells.drop("cells"), replaces=with_cells)
     nodes = signed.where(F.col("sketch").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("row")
     owners = cut(signed.where(F.col("node").isNotNull()).groupBy("node").agg(earliest).select("node", "row.doc_id", "row.mark"))

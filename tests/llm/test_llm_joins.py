@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from test_llm_text import check_pieces
 
 import corpus_pipeline
 from terrastock.llm import nn_descent, parity_join
-from terrastock.llm.common import Shingler
+from terrastock.llm.common import Shingler, shared_folder
 from terrastock.llm.components import connected_components
 
 
@@ -105,6 +106,17 @@ def test_cells_with_rare_shingles_come_first():
     assert parity_join._commonness(s, 7, common).tolist() == [32 * x[0] + (x[1] if len(x) > 1 else 31) for x in cells]
 
 
+def test_cells_are_not_kept(spark, planted):
+    """What only the meeting of cells needs is gone after it, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before, setting = set(folder.iterdir()), spark.conf.get(name, "false")
+    parity_join.near_duplicates(spark.createDataFrame(planted, "doc_id long, text string"))
+    left = [c for p in set(folder.iterdir()) - before if any(p.glob("*.parquet")) for c in spark.read.parquet(str(p)).columns]
+    assert "sketch" in left and "cells" not in left
+    assert spark.conf.get(name, "false") == setting
+
+
 def test_connected_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
