@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import pi
+from math import asin, cos, isfinite, pi, sin, sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,7 @@ from terrastock.operators import spatial
 def footprints_by_image(footprints: DataFrame, images: DataFrame, radius_ft: float, key: str = "bldg_id", image: str = "image") -> DataFrame:
     """(image, n, footprints, nearest_ft): footprints (key, lon, lat) gathered by the nearest image (image, rlon, rlat) within
     a radius, ties to the smaller image; footprints in their order. Images without one aren't listed."""
-    pairs = spatial.pairs_within(footprints.select(key, "lon", "lat"), images.select(image, "rlon", "rlat"), radius_ft)
-    nearest = pairs.groupBy(key).agg(F.min(F.struct("dist_ft", image)).alias("o")).select(key, "o.dist_ft", F.col(f"o.{image}").alias(image))
+    nearest = spatial.nearest_within(footprints.select(key, "lon", "lat"), images.select(image, "rlon", "rlat"), radius_ft, key, image)
     return nearest.groupBy(image).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("footprints"), F.min("dist_ft").alias("nearest_ft"))
 
 
@@ -124,12 +123,13 @@ def eave_box(facade: Column, roof: Column) -> Column:
 
 
 Point = tuple[float, float]
+RADIAN = pi / 180
 
 
 def _feet(p: Point, q: Point) -> float:
-    (y0, x0), (y1, x1) = np.radians(p), np.radians(q)
-    a = np.sin((y1 - y0) / 2) ** 2 + np.cos(y0) * np.cos(y1) * np.sin((x1 - x0) / 2) ** 2
-    return 2 * geo.RADIUS_FT * np.arcsin(np.sqrt(a))
+    y0, x0, y1, x1 = (v * RADIAN for v in (*p, *q))
+    a = sin((y1 - y0) / 2) ** 2 + cos(y0) * cos(y1) * sin((x1 - x0) / 2) ** 2
+    return 2 * geo.RADIUS_FT * asin(sqrt(a))
 
 
 def _slope(p: Point, q: Point) -> float:
@@ -148,7 +148,7 @@ def front_line(ring: list[Point], seen: list[tuple[Point, Point]], camera: Point
     line = seen[0]
     if len(seen) > 1:
         slopes = [_slope(*e) for e in seen]
-        if not np.isfinite(slopes).all() or slopes[0] == 0:
+        if not all(map(isfinite, slopes)) or slopes[0] == 0:
             return None
         like = [abs((s - slopes[0]) / slopes[0]) < 0.5 for s in slopes]
         sets = [[e for e, k in zip(seen, like, strict=True) if k is own] for own in (True, False)]
@@ -164,14 +164,14 @@ def front_line(ring: list[Point], seen: list[tuple[Point, Point]], camera: Point
             before = ring[at - 1] if at else ring[-2]
             other = ring[at + 1] if (before, v) in kept or (v, before) in kept else before
             m, n = _slope(*front), _slope(v, other)
-            if not np.isfinite(n):
+            if not isfinite(n):
                 return v[0], m * (v[0] - front[0][0]) + front[0][1]
             x = (m * front[0][0] - n * other[0] - front[0][1] + other[1]) / (m - n) if m != n else np.nan
             return x, m * (x - front[0][0]) + front[0][1]
 
         line = tuple(v if v in front else drawn_out(v) for v in rough)
     slope = _slope(*line)
-    return line if np.isfinite(line).all() and np.isfinite(slope) and round(abs(slope), 4) != 0 else None
+    return line if all(map(isfinite, (*line[0], *line[1], slope))) and round(abs(slope), 4) != 0 else None
 
 
 def front_lines(views: DataFrame, key: str) -> DataFrame:
