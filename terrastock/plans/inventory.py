@@ -22,16 +22,17 @@ def regional_inventory(footprints: DataFrame, structures: DataFrame, area: areas
     square feet, coordinates in six places.
     """
     wanted = fusion.requested_attributes(attributes)
-    middle = geo.ring_centroid(F.col("ring"))
-    placed = footprints.withColumn("__m", middle).withColumns({"Longitude": F.round("__m.lon", 6), "Latitude": F.round("__m.lat", 6)}).drop("__m")
-    ours = placed.where(geo.point_in_ring(F.col("Longitude"), F.col("Latitude"), areas.ring_of(area)))
+    middle = geo.once(geo.ring_centroid(F.col("ring")), lambda m: geo.point(F.round(m["lon"], 6), F.round(m["lat"], 6)))
+    # the middle is worked out once for the border's edges, and once more for the rows that stay
+    inside = geo.once(middle, lambda m: geo.point_in_ring(m["lon"], m["lat"], areas.ring_of(area)))
+    ours = footprints.where(inside).withColumn("__m", middle)
     own = [c for c in wanted if c in structures.columns]
     first = spatial.first_in_rings(ours.select("bldg_id", "ring"), structures.select("struct_id", "lon", "lat", *(F.col(c).alias(f"s_{c}") for c in own)), "bldg_id", "struct_id", cell)
-    met = ours.join(first, "bldg_id", "left")
+    met = ours.hint("merge").join(first, "bldg_id", "left")
     value = lambda c: F.coalesce(*(F.col(n) for n in (f"s_{c}", c) if n in met.columns))
     held = [c for c in wanted if c in own or c in footprints.columns]
     area_ft2 = F.round(geo.spherical_area_ft2(F.col("ring")) / 1000).cast("long") * 1000
-    return met.select(F.col("bldg_id").alias("id"), "Latitude", "Longitude", area_ft2.alias("PlanArea"), *(value(c).alias(fusion.HEADERS[c]) for c in held), "ring")
+    return met.select(F.col("bldg_id").alias("id"), F.col("__m.lat").alias("Latitude"), F.col("__m.lon").alias("Longitude"), area_ft2.alias("PlanArea"), *(value(c).alias(fusion.HEADERS[c]) for c in held), "ring")
 
 
 def write_regional_inventory(footprints: DataFrame, structures: DataFrame, area: areas.Polygon, path: str, attributes: str | list[str] = "all", units: str = "ft") -> str:
