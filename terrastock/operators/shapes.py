@@ -51,7 +51,8 @@ def roof_runs(footprints: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     directions enclose; null for footprints without two such directions. Of edges that run almost north the slopes may
     be far apart, and such edges then be of different directions."""
     segs = ring_segments(footprints, key, ring)
-    own = segs.join(main_directions(segs, key), [key, "cluster"])
+    # of a footprint's edges and directions no estimate tells how many they are
+    own = segs.hint("merge").join(main_directions(segs, key), [key, "cluster"])
     # how far an edge's ends lie to the side of its own direction
     turn = F.coalesce(F.lit(pi / 2) - F.atan("slope"), F.lit(0.0))
     side = lambda x, y: F.col(x) * F.cos(turn) - F.col(y) * F.sin(turn)
@@ -71,4 +72,4 @@ def roof_runs(footprints: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     long = lambda p, q: F.sqrt(F.pow(F.col(p)["x"] - F.col(q)["x"], F.lit(2.0)) + F.pow(F.col(p)["y"] - F.col(q)["y"], F.lit(2.0)))
     sides = [long("ac", "ad"), long("ad", "bd"), long("bd", "bc"), long("bc", "ac")]
     whole = F.when(sides[0].isNotNull() & sides[2].isNotNull(), F.least(*sides))
-    return footprints.select(key).join(corners.select(key, whole.alias("run")), key, "left")
+    return footprints.select(key).hint("merge").join(corners.select(key, whole.alias("run")), key, "left")
