@@ -14,7 +14,7 @@ from terrastock.operators.shared import cut, release
 
 
 def node_key(p: Column) -> Column:
-    return F.concat_ws(" ", F.format_string("%.7f", p["lon"]), F.format_string("%.7f", p["lat"]))
+    return F.concat(geo.seven_places(p["lon"]), F.lit(" "), geo.seven_places(p["lat"]))
 
 
 def explode_segments(lines: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:

@@ -83,3 +83,13 @@ def test_nms(spark):
     rows = [("i", 1, 0.0, 0.0, 10.0, 10.0, 0.9, "w"), ("i", 2, 1.0, 1.0, 10.0, 10.0, 0.8, "w"), ("i", 3, 20.0, 20.0, 30.0, 30.0, 0.7, "w"), ("j", 4, 0.0, 0.0, 10.0, 10.0, 0.1, "w")]
     boxes = spark.createDataFrame(rows, "image string, box_id long, x1 double, y1 double, x2 double, y2 double, score double, label string")
     assert sorted(r["box_id"] for r in detection.non_maximum_suppression(boxes).collect()) == [1, 3, 4]
+
+
+def test_seven_places_by_the_exact_value(spark):
+    """Numbers next to a half of the seventh place: their shortest text ends in 5, their value lies to either side."""
+    ties = [54.57347025, 103.94040645, -102.02421695, -100.19100005, 37.00390625, -122.01171875, 0.00000005, 9.99999995, 0.0, -0.0, -1e-9, 1e-12, 123456789.12345675, 3e9]
+    rows = spark.createDataFrame([(x, k) for k, x in enumerate(ties)], "x double, k int").orderBy("k")
+    got = rows.select(geo.wkt_point(F.col("x"), F.col("x")).alias("p"), geo.wkt_line(F.array(geo.point(F.col("x"), F.col("x")))).alias("l"), graph.node_key(geo.point(F.col("x"), F.col("x"))).alias("n")).collect()
+    text = [f"{x:.7f} {x:.7f}" for x in ties]
+    assert [r["p"] for r in got] == [f"POINT ({t})" for t in text]
+    assert [r["l"] for r in got] == [f"LINESTRING ({t})" for t in text] and [r["n"] for r in got] == text
