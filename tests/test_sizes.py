@@ -7,7 +7,7 @@ import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from terrastock.operators import imagery, spatial
+from terrastock.operators import areas, imagery, spatial
 from terrastock.plans.registry import QUERIES
 
 
@@ -98,3 +98,13 @@ def test_fronts_by_the_nearest_image_only(spark):
     assert [(r["image"], r["footprints"]) for r in got.collect()] == [(8, [2]), (9, [1])]
     assert joins_of(got) == []
     assert got.agg(F.sum("n")).first()[0] == 2
+
+
+def test_cells_that_too_many_boxes_cover_are_not_cut(spark):
+    """Forty boxes over all of an area, and borders of others in it: no cut brings a cell under the limit."""
+    boxes = [(k, -1.0, -1.0, 2.0, 2.0) for k in range(40)] + [(100 + k, k / 50, k / 70, 2.0, 2.0) for k in range(30)]
+    df = spark.createDataFrame(boxes, "k long, min_lon double, min_lat double, max_lon double, max_lat double")
+    cells, members = areas.row_limited_mesh(df, "k", (0.0, 0.0, 1.0, 1.0), 10)
+    got = cells.collect()
+    assert {r["level"] for r in got} == {1} and min(r["n"] for r in got) >= 40
+    assert members.count() == sum(r["n"] for r in got)
