@@ -7,7 +7,7 @@ import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from terrastock.operators import areas, imagery, spatial
+from terrastock.operators import areas, graph, imagery, spatial
 from terrastock.plans.registry import QUERIES
 
 
@@ -108,3 +108,28 @@ def test_cells_that_too_many_boxes_cover_are_not_cut(spark):
     got = cells.collect()
     assert {r["level"] for r in got} == {1} and min(r["n"] for r in got) >= 40
     assert members.count() == sum(r["n"] for r in got)
+
+
+def test_crossings_of_a_cell_in_many_batches(spark):
+    """A crowded cell over several batches, beside sparse ones, against all pairs; its segments are not laid out finer than they are."""
+    draw = random.Random(9)
+    segs = [(k // 2, k % 2, (draw.random() * (1 if k < 160 else 9), draw.random()), (draw.random() * (1 if k < 160 else 9), draw.random())) for k in range(200)]
+    df = spark.createDataFrame(segs, "line_id long, part int, a struct<lon:double,lat:double>, b struct<lon:double,lat:double>")
+    want = set()
+    for i, p, a, b in segs:
+        for j, q, c, d in segs:
+            det = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if i < j and det:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / det
+                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / det
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    want.add((i, p, j, q))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        met = graph.crossings(df, 1.0, limit=8)
+        rows = met.select("left_id", "left_part", "right_id", "right_part").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(map(tuple, rows)) == want and len(rows) == len(want)
+    assert not [line for line in joins_of(met) if "sx" in line]
