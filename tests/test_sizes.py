@@ -1,13 +1,13 @@
 """What tables many times larger ask of plans: nothing laid out in cells is broadcast, searches end early, with brute force beside them."""
 
 import random
-from math import asin, cos, radians, sin, sqrt
+from math import asin, cos, exp, radians, sin, sqrt
 
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from terrastock.operators import areas, graph, imagery, spatial
+from terrastock.operators import areas, graph, imagery, metrics, spatial
 from terrastock.plans.registry import QUERIES
 
 
@@ -133,3 +133,21 @@ def test_crossings_of_a_cell_in_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert set(map(tuple, rows)) == want and len(rows) == len(want)
     assert not [line for line in joins_of(met) if "sx" in line]
+
+
+def test_weighted_knn_compares_blocks_as_matrices(spark):
+    """Equal vectors in several blocks tie to the smaller number; one that is null or shorter is left out."""
+    draw = random.Random(4)
+    vectors = [[draw.gauss(0, 1) for _ in range(19)] for _ in range(60)]
+    bank = [(k, vectors[k % 60], k % 7) for k in range(180)] + [(180, None, 0), (181, [1.0], 0)]
+    df = spark.createDataFrame(bank, "vec_id long, v array<double>, label int")
+    asked = df.where("vec_id % 30 = 0 and vec_id < 180").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    want = {}
+    for k in range(0, 180, 30):
+        near = sorted((-sum(x * y for x, y in zip(vectors[k % 60], v, strict=True)), j, c) for j, v, c in bank[:180] if j != k)[:10]
+        for s, _, c in near:
+            want[k, c] = want.get((k, c), 0) + exp(-s / 9)
+    scored = metrics.weighted_knn(asked, df, 10, 9.0, blocks=5)
+    got = {(r["query_id"], r["label"]): r["score"] for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] / want[x] - 1) < 1e-9 for x in want)
+    assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
