@@ -1,5 +1,6 @@
 """What tables many times larger ask of plans: nothing laid out in cells is broadcast, searches end early, with brute force beside them."""
 
+import pathlib
 import random
 from math import asin, cos, exp, radians, sin, sqrt
 
@@ -7,7 +8,7 @@ import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from terrastock.operators import areas, graph, imagery, metrics, spatial
+from terrastock.operators import areas, graph, imagery, metrics, roads, shared, spatial
 from terrastock.plans.registry import QUERIES
 
 
@@ -151,3 +152,14 @@ def test_weighted_knn_compares_blocks_as_matrices(spark):
     got = {(r["query_id"], r["label"]): r["score"] for r in scored.collect()}
     assert got.keys() == want.keys() and all(abs(got[x] / want[x] - 1) < 1e-9 for x in want)
     assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_chains_are_made_of_goes(spark):
+    """After a network is built the shared folder holds its chains, pieces and numbered rows, not the edges and walks before."""
+    lines = [(k, [(k / 100, j / 100) for j in range(6)]) for k in range(50)]
+    df = spark.createDataFrame(lines, "line_id long, line array<struct<lon:double,lat:double>>")
+    folder = shared.use_shared_folder(spark)
+    before = {p.name for p in pathlib.Path(folder.removeprefix("file:")).glob("cut-*")}
+    nodes, edges = roads.road_network(df, 1000)
+    left = {p.name for p in pathlib.Path(folder.removeprefix("file:")).glob("cut-*")} - before
+    assert len(left) == 4 and nodes.count() and edges.count()
